@@ -127,10 +127,15 @@ def redact_and_count(
     names: Sequence[str] | None = None,
     hash_len: int = 4,
     normalize: bool = False,
+    keep_found: bool = False,
 ) -> Column:
-    """STRUCT<text, count>: patterns applied in order, replacements counted along the way."""
+    """STRUCT<text, count>: patterns applied in order, replacements counted along the way.
 
-    def step(pattern: Pattern):
+    ``keep_found`` adds ``found``, the replaced values as ARRAY<STRUCT<nth, type, value>>
+    where ``nth`` is the place of the pattern in the selection.
+    """
+
+    def step(nth: int, pattern: Pattern):
         def apply(state: Column) -> Column:
             def rebuild(found: Column) -> Column:
                 marks = F.transform(
@@ -140,22 +145,32 @@ def redact_and_count(
                 pieces = F.zip_with(
                     around, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)
                 )
-                return F.when(
-                    F.size(found) > 0,
-                    F.struct(
-                        F.array_join(pieces, "").alias("text"),
-                        (state["count"] + F.size(found)).alias("count"),
-                    ),
-                ).otherwise(state)
+                changed = [
+                    F.array_join(pieces, "").alias("text"),
+                    (state["count"] + F.size(found)).alias("count"),
+                ]
+                if keep_found:
+                    values = F.transform(
+                        found,
+                        lambda v: F.struct(
+                            F.lit(nth).alias("nth"), F.lit(pattern.type).alias("type"), v.alias("value")
+                        ),
+                    )
+                    changed.append(F.concat(state["found"], values).alias("found"))
+                return F.when(F.size(found) > 0, F.struct(*changed)).otherwise(state)
 
             found = F.regexp_extract_all(state["text"], F.lit(pattern.regex), F.lit(0))
             return F.when(pattern.may_match(state["text"]), bind(found, rebuild)).otherwise(state)
 
         return apply
 
-    state = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("count"))
-    for pattern in select_patterns(names):
-        state = bind(state, step(pattern))
+    start = [text.alias("text"), F.lit(0).cast("bigint").alias("count")]
+    if keep_found:
+        none = F.array().cast("array<struct<nth:int,type:string,value:string>>")
+        start.append(none.alias("found"))
+    state = F.struct(*start)
+    for nth, pattern in enumerate(select_patterns(names)):
+        state = bind(state, step(nth, pattern))
     return state
 
 

@@ -51,22 +51,21 @@ def parse_datetime(text: Column) -> Column:
     return F.when(text.rlike(_WHOLE_DATETIME), _cast(plain))
 
 
+def from_parts(year: Column, month_name: Column, day: Column, clock: Column) -> Column:
+    return _cast(
+        F.concat(
+            year.cast("string"), F.lit("-"), _month_number(month_name), F.lit("-"),
+            F.lpad(day, 2, "0"), F.lit(" "), clock,
+        )
+    )
+
+
 def parse_month_day(text: Column, year: Column) -> Column:
     """``Jan 26 10:00:01`` / ``Jan  6 10:00:01`` (blanks only) in the given year."""
     clock_at = F.instr(text, ":") - 2
     day = F.trim(F.substr(text, F.lit(4), clock_at - 4))
-    return _cast(
-        F.concat_ws(
-            "",
-            F.lpad(year.cast("string"), 4, "0"),
-            F.lit("-"),
-            F.coalesce(_month_number(F.substring(text, 1, 3)), F.lit("xx")),
-            F.lit("-"),
-            F.lpad(day, 2, "0"),
-            F.lit(" "),
-            F.translate(F.substr(text, clock_at), ",", "."),
-        )
-    )
+    clock = F.translate(F.substr(text, clock_at), ",", ".")
+    return from_parts(year, F.substring(text, 1, 3), day, clock)
 
 
 def parse_clf(text: Column) -> Column:
@@ -90,7 +89,9 @@ def parse_clf(text: Column) -> Column:
         F.size(pieces) == 6,
         build(pieces[2], pieces[1], pieces[0], F.translate(pieces[3], ",", "."), pieces[4], pieces[5]),
     )
-    return F.when((F.length(text) == 26) & shape, usual).otherwise(rare)
+    return F.when(
+        part(3, 1) == "/", F.when((F.length(text) == 26) & shape, usual).otherwise(rare)
+    )
 
 
 def pattern_width(fmt: str) -> int:
@@ -130,11 +131,15 @@ def find_timestamp(line: Column, formats: Sequence[str], year: Column) -> Column
         F.substring(us, 7, 4), F.lit("-"), F.substring(us, 1, 2), F.lit("-"),
         F.substring(us, 4, 2), F.substring(us, 11, 9),
     )
+    # plain substring tests spare most lines the searches that cannot succeed; the UTC
+    # form is a special case of the first, so it is only worth a look after it
     attempts = [
-        # the UTC form is a special case of the first, so it is only worth a look after it
-        F.when(iso != "", F.coalesce(_cast(iso), F.when(iso_utc != "", _cast(iso_utc)))),
-        F.when(date_time != "", _cast(date_time)),
-        F.when(us != "", _cast(us_iso)),
+        F.when(
+            line.contains("T") & (iso != ""),
+            F.coalesce(_cast(iso), F.when(iso_utc != "", _cast(iso_utc))),
+        ),
+        F.when(line.contains("-") & (date_time != ""), _cast(date_time)),
+        F.when(line.contains("/") & (us != ""), _cast(us_iso)),
     ]
     for fmt in formats:
         # ISO and DATETIME prefixes are always found by the searches above

@@ -18,7 +18,7 @@ from timberline.session import configure
 
 # Line shapes. \s and \S are spelled out (ASCII blanks without \x0B).
 SYSLOG_LINE = (
-    r"(?s)^(?:<(\d+)>)?(\w{3}[\t\n\f\r ]+\d{1,2}[\t\n\f\r ]+\d{2}:\d{2}:\d{2})[\t\n\f\r ]+"
+    r"(?s)^(?:<(\d+)>)?(\w{3})([\t\n\f\r ]+)(\d{1,2})([\t\n\f\r ]+)(\d{2}:\d{2}:\d{2})[\t\n\f\r ]+"
     r"([^\t\n\f\r ]+)[\t\n\f\r ]+([^\t\n\f\r ]+?)(?:\[(\d+)\])?:[\t\n\f\r ]+(.*)\z"
 )
 COMBINED_LINE = (
@@ -33,6 +33,10 @@ LEADING_NOISE = (
     r"(?:[\t\n\f\r ]*[\[\(]?(?:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)[\]\)]?"
     r"[\t\n\f\r ]*[-:]?[\t\n\f\r ]*)?"
 )
+# Groups of the two patterns, from 0.
+(PRIORITY, MONTH, GAP_1, DAY, GAP_2, CLOCK, HOST, PROCESS, PID, TEXT) = range(10)
+(REMOTE, IDENTITY, USER, TIME, METHOD, PATH, PROTOCOL, STATUS, SIZE, REFERER, AGENT) = range(11)
+
 # JSON keys, by precedence.
 MESSAGE_KEYS = ("msg", "message", "text")
 LEVEL_KEYS = ("level", "severity", "lvl")
@@ -66,21 +70,30 @@ def _json_string(doc: Column, key: str) -> Column:
     )
 
 
-def _json_time(doc: Column, key: str, formats: Sequence[str], year: Column) -> tuple[Column, Column]:
-    """(is usable, timestamp): a string in a known format, or epoch seconds / milliseconds."""
-    kind = _json_kind(doc, key)
-    is_string = kind == "STRING"
-    is_number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    as_text = F.try_variant_get(doc, f'$[0]["{key}"]', "string")
-    number = F.try_variant_get(doc, f'$[0]["{key}"]', "double")
-    whole = number.try_cast("bigint")
-    moment = (
-        F.when(is_string, timestamps.parse_with_formats(as_text, formats, year))
-        .when(F.abs(number) > 9e15, F.lit(None).cast("timestamp"))
-        .when(number > 1e12, F.timestamp_millis(whole))
-        .when(F.abs(number) <= 2e11, F.timestamp_seconds(whole))
+def _json_time_value(doc: Column) -> Column:
+    """The first string or number among the time keys."""
+    candidates = []
+    for key in TIME_KEYS:
+        usable = _json_kind(doc, key).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        candidates.append(F.when(usable, _json_value(doc, key)))
+    return F.coalesce(*candidates)
+
+
+def _json_time(value: Column, formats: Sequence[str], year: Column) -> Column:
+    """A string in a known format, or epoch seconds / milliseconds (fractions cut off)."""
+    number = F.try_variant_get(value, "$", "double")
+    in_seconds = F.abs(number) <= 2e11
+    in_millis = number.between(1e12, 9e15) & (number > 1e12)
+    return (
+        F.when(
+            F.schema_of_variant(value) == "STRING",
+            timestamps.parse_with_formats(
+                F.try_variant_get(value, "$", "string"), formats, year
+            ),
+        )
+        .when(in_millis, F.timestamp_millis(number.cast("bigint")))
+        .when(in_seconds, F.timestamp_seconds(number.cast("bigint")))
     )
-    return is_string | is_number, moment
 
 
 def _detect(df: DataFrame) -> DataFrame:
@@ -99,8 +112,8 @@ def _detect(df: DataFrame) -> DataFrame:
             "_json",
             F.when(F.try_variant_get("_doc", "$[1]", "variant").isNull(), F.col("_doc")),
         )
-        .withColumn("_sys", F.when(F.col("_json").isNull(), _captures(raw, SYSLOG_LINE, 6)))
-        .withColumn("_sys", F.when(F.size("_sys") == 6, F.col("_sys")))
+        .withColumn("_sys", F.when(F.col("_json").isNull(), _captures(raw, SYSLOG_LINE, 10)))
+        .withColumn("_sys", F.when(F.size("_sys") == 10, F.col("_sys")))
         .withColumn(
             "_web",
             F.when(
@@ -119,8 +132,10 @@ def _detect(df: DataFrame) -> DataFrame:
     staged = staged.withColumn("_format", fmt).withColumn(
         "_word", F.when(F.col("_format") == "generic", levels.extract_level_word(raw))
     )
+    staged = staged.withColumn("_time", _json_time_value(F.col("_json")))
     line = F.struct(
         F.col("_json").alias("json"),
+        F.col("_time").alias("time"),
         F.col("_sys").alias("sys"),
         F.col("_web").alias("web"),
         F.col("_format").alias("format"),
@@ -142,30 +157,28 @@ def _json_level(doc: Column) -> Column:
 
 def _syslog_level(parts: Column) -> Column:
     # severity is the priority modulo 8, i.e. given by its last three digits
-    severity = F.pmod(F.right(parts[0], F.lit(3)).try_cast("int"), F.lit(8))
-    by_priority = (
-        F.when(severity == 7, "DEBUG")
-        .when(severity.isin(5, 6), "INFO")
-        .when(severity == 4, "WARN")
-        .when(severity == 3, "ERROR")
-        .when(severity <= 2, "FATAL")
+    priority = parts[PRIORITY]
+    severity = F.pmod(F.right(priority, F.lit(3)).cast("int"), F.lit(8))
+    # one literal array lookup; a CASE would repeat the expression
+    by_severity = F.array(
+        *[F.lit(x) for x in ("FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG")]
     )
-    in_message = levels.parse_level(levels.extract_level_word(parts[5]))
-    return F.coalesce(by_priority, in_message)
+    in_message = levels.parse_level(levels.extract_level_word(parts[TEXT]))
+    return F.when(priority != "", F.get(by_severity, severity)).otherwise(in_message)
 
 
 def _web_level(parts: Column) -> Column:
-    status_class = F.substring(parts[7], 1, 1)
+    status = parts[STATUS]
     return (
-        F.when(status_class.isin("2", "3"), "INFO")
-        .when(status_class == "4", "WARN")
-        .when(status_class == "5", "ERROR")
+        F.when(status.startswith("2") | status.startswith("3"), "INFO")
+        .when(status.startswith("4"), "WARN")
+        .when(status.startswith("5"), "ERROR")
         .otherwise(levels.UNKNOWN)
     )
 
 
 def _web_protocol(parts: Column) -> Column:
-    return F.when(parts[6] == "", "HTTP/1.0").otherwise(parts[6])
+    return F.when(parts[PROTOCOL] == "", "HTTP/1.0").otherwise(parts[PROTOCOL])
 
 
 def _generic_message(raw: Column, word: Column) -> Column:
@@ -198,17 +211,18 @@ def _fields() -> Column:
         F.from_json(raw, "map<string,string>"), lambda k, v: ~k.isin(*KNOWN_KEYS)
     )
     syslog_fields = _pairs(
-        ("process", F.nullif(sys_parts[3], F.lit(""))), ("pid", F.nullif(sys_parts[4], F.lit("")))
+        ("process", F.nullif(sys_parts[PROCESS], F.lit(""))),
+        ("pid", F.nullif(sys_parts[PID], F.lit(""))),
     )
     web_fields = _pairs(
-        ("method", web[4]),
-        ("path", web[5]),
+        ("method", web[METHOD]),
+        ("path", web[PATH]),
         ("protocol", _web_protocol(web)),
-        ("status_code", web[7]),
-        ("size", F.nullif(web[8], F.lit("-"))),
-        ("referer", F.when(~web[9].isin("-", ""), web[9])),
-        ("user_agent", F.nullif(web[10], F.lit(""))),
-        ("user", F.nullif(web[2], F.lit("-"))),
+        ("status_code", web[STATUS]),
+        ("size", F.nullif(web[SIZE], F.lit("-"))),
+        ("referer", F.when(~web[REFERER].isin("-", ""), web[REFERER])),
+        ("user_agent", F.nullif(web[AGENT], F.lit(""))),
+        ("user", F.nullif(web[USER], F.lit("-"))),
     )
     return (
         F.when(fmt == "json", json_fields)
@@ -239,15 +253,14 @@ def parse_logs(
     doc, sys_parts, web = F.col("_line.json"), F.col("_line.sys"), F.col("_line.web")
     fmt, word = F.col("_line.format"), F.col("_line.word")
 
-    json_ts = None
-    for key in TIME_KEYS:
-        usable, moment = _json_time(doc, key, formats, year)
-        json_ts = (F if json_ts is None else json_ts).when(usable, moment)
-
+    syslog_ts = F.when(
+        F.concat(F.trim(sys_parts[GAP_1]), F.trim(sys_parts[GAP_2])) == "",
+        timestamps.from_parts(year, sys_parts[MONTH], sys_parts[DAY], sys_parts[CLOCK]),
+    )
     ts = (
-        F.when(fmt == "json", json_ts)
-        .when(fmt == "syslog", timestamps.parse_month_day(sys_parts[1], year))
-        .when(fmt == "apache", timestamps.parse_clf(web[3]))
+        F.when(fmt == "json", _json_time(F.col("_line.time"), formats, year))
+        .when(fmt == "syslog", syslog_ts)
+        .when(fmt == "apache", timestamps.parse_clf(web[TIME]))
         .otherwise(timestamps.find_timestamp(raw, formats, year))
     )
     level = (
@@ -256,20 +269,22 @@ def parse_logs(
         .when(fmt == "apache", _web_level(web))
         .otherwise(levels.parse_level(word))
     )
-    request = F.concat_ws(" ", web[4], web[5], _web_protocol(web), F.lit("->"), web[7])
+    request = F.concat_ws(
+        " ", web[METHOD], web[PATH], _web_protocol(web), F.lit("->"), web[STATUS]
+    )
     message = (
         F.when(
             fmt == "json",
             F.coalesce(*[_json_string(doc, k) for k in MESSAGE_KEYS], F.lit("")),
         )
-        .when(fmt == "syslog", sys_parts[5])
+        .when(fmt == "syslog", sys_parts[TEXT])
         .when(fmt == "apache", request)
         .otherwise(_generic_message(raw, word))
     )
     source = (
         F.when(fmt == "json", F.coalesce(_json_string(doc, "source"), F.lit("")))
-        .when(fmt == "syslog", sys_parts[2])
-        .when(fmt == "apache", web[0])
+        .when(fmt == "syslog", sys_parts[HOST])
+        .when(fmt == "apache", web[REMOTE])
         .otherwise("")
     )
     return staged.select(

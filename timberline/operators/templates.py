@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import tokens as tk
 from timberline.functions.levels import LEVELS, level_ordinal
+from timberline.operators.toplists import leading
 from timberline.session import materialize
 from timberline.sources.text import with_sequence
 
@@ -53,10 +54,19 @@ class Mined:
 
     ``templates``: ``*by, template_id, pattern, tokens, count, first_seq``
     ``keys``: ``*by, key, first_seq, last_seq, n, level_ord, first_ts, last_ts, template_id``
+    ``counted``: the same per key before mining, with messages without tokens and the sums
     """
 
-    def __init__(self, rows: DataFrame, keys: DataFrame, templates: DataFrame, by: tuple[str, ...]):
-        self.rows, self.keys, self.templates, self.by = rows, keys, templates, by
+    def __init__(
+        self,
+        rows: DataFrame,
+        counted: DataFrame,
+        keys: DataFrame,
+        templates: DataFrame,
+        by: tuple[str, ...],
+    ):
+        self.rows, self.counted, self.keys, self.templates = rows, counted, keys, templates
+        self.by = by
 
     def ordered(self) -> DataFrame:
         """Most frequent first; ties by first occurrence."""
@@ -73,8 +83,8 @@ class Mined:
             .select(*self.by, "seq", "message", "template_id", "pattern")
         )
 
-    def with_examples(self, limit: int = MAX_EXAMPLES) -> DataFrame:
-        """Templates with ``examples``: their first messages, at most ``limit``.
+    def examples_of(self, templates: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
+        """``*by, template_id, examples``: first messages of the given templates, at most ``limit``.
 
         The aggregate kept, per key, the earliest position in each of a few hash
         lanes; the ``limit``-th smallest bounds where the wanted lines can be, so
@@ -82,20 +92,29 @@ class Mined:
         """
         lanes = F.array_sort(F.array_compact(F.array(*[f"lane_{i}" for i in range(_LANES)])))
         bound = F.coalesce(F.get(lanes, F.lit(limit - 1)), F.col("last_seq"))
-        spans = self.keys.select(
+        spans = self.keys.join(
+            templates.select(*self.by, "template_id"), [*self.by, "template_id"], "left_semi"
+        ).select(
             *self.by, "key", "template_id", F.col("first_seq").alias("_lo"), bound.alias("_hi")
         )
-        early = self.rows.join(spans, [*self.by, "key"]).where(
-            F.col("seq").between(F.col("_lo"), F.col("_hi"))
+        early = self.rows.select(*self.by, "seq", "message", "key").join(spans, [*self.by, "key"])
+        first = leading(
+            early.where(F.col("seq").between(F.col("_lo"), F.col("_hi"))),
+            [*self.by, "template_id"],
+            [F.col("seq")],
+            limit,
+            ["seq"],
         )
-        order = Window.partitionBy(*self.by, "template_id").orderBy("seq")
-        first = early.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= limit)
-        listed = first.groupBy(*self.by, "template_id").agg(
+        return first.groupBy(*self.by, "template_id").agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("_nth", "message"))), lambda e: e["message"]
             ).alias("examples")
         )
-        return self.templates.join(listed, [*self.by, "template_id"], "left")
+
+    def with_examples(self, limit: int = MAX_EXAMPLES) -> DataFrame:
+        """Templates with ``examples``."""
+        examples = self.examples_of(self.templates, limit)
+        return self.templates.join(examples, [*self.by, "template_id"], "left")
 
     def totals(self) -> DataFrame:
         """``template_count, total_log_count``."""
@@ -119,7 +138,7 @@ def template_frequency(entries: DataFrame, placeholders: bool = False) -> DataFr
     )
 
 
-def _count_keys(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+def _count_keys(rows: DataFrame, group: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
     """One row per key; fixed-width aggregates only, so it stays a hash aggregate."""
     lane = F.pmod(F.hash("seq"), F.lit(_LANES))
     known = F.when(F.col("level_ord") < len(LEVELS) - 1, F.col("level_ord"))
@@ -131,6 +150,7 @@ def _count_keys(rows: DataFrame, group: Sequence[str]) -> DataFrame:
         F.max(known).alias("level_ord"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
+        *[F.sum(c).alias(c) for c in sums],
     )
 
 
@@ -299,20 +319,14 @@ def _check(keys: DataFrame, states: DataFrame, group: Sequence[str], threshold:
     )
 
 
-def _earliest(keys: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy("first_seq")
-    ranked = keys.withColumn("_nth", F.row_number().over(order))
-    return ranked.where(F.col("_nth") <= limit).drop("_nth")
-
-
 def _activate(keys: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
     """Mark as active the first ``limit`` keys of each leaf that are not covered."""
     waiting = keys.where("not active and not covered").select(*group, "key", "first_seq")
-    if limit > FIRST_FOLD:
-        # beyond what Spark trims before the shuffle, so trim salted parts of a leaf first
-        waiting = waiting.withColumn("_salt", F.pmod(F.hash("key", "first_seq"), F.lit(64)))
-        waiting = _earliest(waiting, [*group, "_salt"], limit).drop("_salt")
-    picked = _earliest(waiting, group, limit).withColumn("_picked", F.lit(True))
+    picked = (
+        leading(waiting, group, [F.col("first_seq")], limit, ["key", "first_seq"])
+        .drop("_nth")
+        .withColumn("_picked", F.lit(True))
+    )
     return (
         keys.join(picked, [*group, "key", "first_seq"], "left")
         .withColumn("active", F.col("active") | F.coalesce("_picked", F.lit(False)))
@@ -384,11 +398,13 @@ def mine_templates(
     threshold: float = THRESHOLD,
     max_children: int = MAX_CHILDREN,
     mask_placeholders: bool = False,
+    sums: Sequence[str] = (),
 ) -> Mined:
     """Mine templates from ``message`` in the order of ``seq`` (or file and line).
 
     ``by`` mines each combination of these columns on its own. ``mask_placeholders``
-    treats redaction placeholders as variable tokens.
+    treats redaction placeholders as variable tokens. ``sums`` are numeric columns to
+    add up per message key along the way.
     """
     depth = depth if depth > 0 else DEPTH
     threshold = threshold if 0 < threshold <= 1 else THRESHOLD
@@ -407,10 +423,11 @@ def mine_templates(
         ),
         (F.col("ts") if "ts" in present else F.lit(None).cast("timestamp")).alias("ts"),
         tk.message_key(F.col("message"), mask_placeholders).alias("key"),
-    ).where("key <> ''")
-
-    keys = materialize(_count_keys(rows, [*by, "key"]), "message-keys")
-    keys = _route(keys, by, depth, max_children)
+        *sums,
+    )
+    counted = materialize(_count_keys(rows, [*by, "key"], sums), "message-keys")
+    # messages without tokens have no template
+    keys = _route(counted.where("key <> ''").drop(*sums), by, depth, max_children)
     keys = keys.withColumn("active", F.lit(False)).withColumn("covered", F.lit(False))
     limit = FIRST_FOLD
     refold = True
@@ -455,4 +472,4 @@ def mine_templates(
         *by, "key", "first_seq", "last_seq", "n", "level_ord", "first_ts", "last_ts",
         *[f"lane_{i}" for i in range(_LANES)], "template_id",
     )
-    return Mined(rows, mapped, numbered.drop("leaf", "idx"), by)
+    return Mined(rows, counted, mapped, numbered.drop("leaf", "idx"), by)

@@ -12,6 +12,9 @@ REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # repeated keys in a JSON line: the last one wins
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # the JVM does not compile methods beyond 8000 bytes of bytecode; a long parse
+    # expression is faster as several smaller methods than as one interpreted one
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
