@@ -55,16 +55,7 @@ def first_match(keys: DataFrame, templates: DataFrame, group: Sequence[str]) ->
     heads = F.array(F.lit(""))
     for i in range(_HEAD):
         word = F.get(words, F.lit(i))
-        longer = F.flatten(
-            F.transform(
-                heads,
-                lambda h, word=word: F.transform(
-                    F.array(word, F.lit(tk.WILDCARD)),
-                    lambda w: F.when(h == "", w).otherwise(F.concat(h, F.lit(" "), w)),
-                ),
-            )
-        )
-        heads = F.when(word.isNull(), heads).otherwise(longer)
+        heads = F.when(word.isNull(), heads).otherwise(_extended(heads, word))
     key_tail = F.slice(words, F.lit(_HEAD + 1), F.greatest(F.size(words) - _HEAD, F.lit(0)))
     probes = keys.select(
         *group, "key", F.size(words).alias("_len"), key_tail.alias("_tail"),
@@ -93,6 +84,18 @@ def first_match(keys: DataFrame, templates: DataFrame, group: Sequence[str]) ->
     )
 
 
+def _extended(heads: Column, word: Column) -> Column:
+    """Each head followed by the word, and by a wildcard."""
+
+    def both(head: Column) -> Column:
+        return F.transform(
+            F.array(word, F.lit(tk.WILDCARD)),
+            lambda w: F.when(head == "", w).otherwise(F.concat(head, F.lit(" "), w)),
+        )
+
+    return F.flatten(F.transform(heads, both))
+
+
 def summarize_templates(
     mined: tp.Mined, group: Sequence[str], compat: bool = False
 ) -> DataFrame:
@@ -164,6 +167,11 @@ def templates_by_level(output: DataFrame, level: str) -> DataFrame:
     )
 
 
+def _named(group: Sequence[str], by: Sequence[str]) -> list[Column]:
+    """Internal group columns under the caller's names."""
+    return [F.col(inner).alias(outer) for inner, outer in zip(group, by)]
+
+
 def _header(row: dict[str, Column]) -> Column:
     def moment(ts: Column) -> Column:
         return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -188,6 +196,7 @@ def _documents(
     totals: DataFrame,
     candidates: DataFrame,
     group: Sequence[str],
+    by: Sequence[str],
     token_limit: int,
     compat: bool,
 ) -> DataFrame:
@@ -258,7 +267,7 @@ def _documents(
     ).withColumn("templates", F.coalesce(kept, none))
     n = F.size("templates").cast("bigint")
     return df.select(
-        *[c for c in group if c != _ALL],
+        *_named(group, by),
         "summary",
         "start",
         "end",
@@ -276,10 +285,12 @@ def _documents(
 class Compressed:
     """``output``: one row per group; ``summaries``: all its templates; ``mined``: the mining result."""
 
-    def __init__(self, output, summaries, mined, entries, by, patterns, redaction, hash_len):
+    def __init__(
+        self, output, summaries, mined, entries, group, by, patterns, redaction, hash_len
+    ):
         self.output, self.summaries, self.mined = output, summaries, mined
-        self._entries, self._by, self._patterns = entries, by, patterns
-        self._redaction, self._hash_len = redaction, hash_len
+        self._entries, self._group, self._by = entries, group, by
+        self._patterns, self._redaction, self._hash_len = patterns, redaction, hash_len
 
     def stats(self) -> DataFrame:
         """Counters per group, including templates per level among those included."""
@@ -301,13 +312,16 @@ class Compressed:
 
     def template_lineage(self) -> DataFrame:
         """``*by, template_id, pattern, count`` of every mined template."""
-        return self.mined.templates.select(*self._by, "template_id", "pattern", "count")
+        return self.mined.templates.select(
+            *_named(self._group, self._by), "template_id", "pattern", "count"
+        )
 
     def redacted_values(self) -> DataFrame:
         columns = [c for c in ("message", "raw") if c in self._entries.columns]
         values = redacted_values(
-            self._entries, columns, self._patterns, self._by, self._hash_len
+            self._entries, columns, self._patterns, self._group, self._hash_len
         )
+        values = values.select(*_named(self._group, self._by), "value", "type", "placeholder")
         return values if self._redaction else values.limit(0)
 
     def redacted_types(self) -> DataFrame:
@@ -334,10 +348,12 @@ def compress_logs(
     """
     token_limit = token_limit if token_limit > 0 else TOKEN_LIMIT
     by = tuple(by)
-    group = list(by) or [_ALL]
+    # internal names, as a group column may be called like an entry column
+    group = [f"_by_{i}" for i in range(len(by))] or [_ALL]
     columns = [c for c in ("raw", "message", "level", "ts") if c in entries.columns]
     sequenced = with_sequence(entries)
-    lines = sequenced.select(*by, "seq", *columns)
+    named = [F.col(outer).alias(inner) for inner, outer in zip(group, by)]
+    lines = sequenced.select(*named, "seq", *columns)
     if not by:
         lines = lines.withColumn(_ALL, F.lit(1))
     redacted = redact_entries(lines, patterns, redaction, hash_len=hash_len)
@@ -383,8 +399,8 @@ def compress_logs(
         .withColumn("_text", text)
         .withColumn("_cum", F.sum(estimate_tokens(F.col("_text"))).over(in_order))
     )
-    output = _documents(totals, candidates, group, token_limit, compat)
-    return Compressed(output, summaries, mined, lines, by, patterns, redaction, hash_len)
+    output = _documents(totals, candidates, group, by, token_limit, compat)
+    return Compressed(output, summaries, mined, lines, group, by, patterns, redaction, hash_len)
 
 
 def _running(group: Sequence[str]) -> WindowSpec:
