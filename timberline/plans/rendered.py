@@ -74,7 +74,7 @@ def render_lines(events: DataFrame) -> DataFrame:
     apache = F.concat(
         F.lit("10.1.0."), (u % 256).cast("string"), F.lit(" - "),
         F.when(u % 2 == 0, F.concat(F.lit("u"), u.cast("string"))).otherwise("-"),
-        F.date_format(at, " [dd/MMM/yyyy:HH:mm:ss +0000] "),
+        F.lit(" ["), F.date_format(at, "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] "),
         F.lit('"GET /item/'), (e % 97).cast("string"), F.lit(' HTTP/1.1" '),
         F.when(no_level, "101").otherwise(_choose(kind, STATUS, "500")),
         F.lit(" "), (e % 5000).cast("string"), F.lit(' "-" "agent/'), (u % 3).cast("string"), F.lit('"'),
