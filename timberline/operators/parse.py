@@ -9,6 +9,7 @@ every line is matched at most once per format, and whatever a query does not use
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,52 +97,56 @@ def _json_time(value: Column, formats: Sequence[str], year: Column) -> Column:
     )
 
 
-def _detect(df: DataFrame) -> DataFrame:
-    """Add ``_line``: the parsed document, captured groups, format and level word.
+@lru_cache(maxsize=4)
+def _stages(app_id: str) -> tuple[list[tuple[str, Column]], Column]:
+    """Steps of format detection, and the struct of their results.
 
-    The struct passes through a one-row ``explode``. Catalyst pushes predicates on
-    ``raw``, ``file`` and the like through it to the scan, but not those on parsed
-    columns, which would otherwise be inlined below and repeat the whole parse.
+    Columns are plain unresolved expressions, so they are built once per application:
+    sending them to the JVM piece by piece takes longer than a small query.
     """
-    raw = F.col("raw")
+    raw, doc, sys_parts, web = F.col("raw"), F.col("_json"), F.col("_sys"), F.col("_web")
     # wrapped in brackets, trailing text after the object becomes invalid or a second element
-    doc = F.when(raw.startswith("{"), F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))))
-    staged = (
-        df.withColumn("_doc", doc)
-        .withColumn(
-            "_json",
-            F.when(F.try_variant_get("_doc", "$[1]", "variant").isNull(), F.col("_doc")),
-        )
-        .withColumn("_sys", F.when(F.col("_json").isNull(), _captures(raw, SYSLOG_LINE, 10)))
-        .withColumn("_sys", F.when(F.size("_sys") == 10, F.col("_sys")))
-        .withColumn(
-            "_web",
-            F.when(
-                F.col("_json").isNull() & F.col("_sys").isNull(),
-                _captures(raw, COMBINED_LINE, 11),
-            ),
-        )
-        .withColumn("_web", F.when(F.size("_web") == 11, F.col("_web")))
-    )
+    parsed = F.when(raw.startswith("{"), F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))))
     fmt = (
-        F.when(F.col("_json").isNotNull(), "json")
-        .when(F.col("_sys").isNotNull(), "syslog")
-        .when(F.col("_web").isNotNull(), "apache")
+        F.when(doc.isNotNull(), "json")
+        .when(sys_parts.isNotNull(), "syslog")
+        .when(web.isNotNull(), "apache")
         .otherwise("generic")
     )
-    staged = staged.withColumn("_format", fmt).withColumn(
-        "_word", F.when(F.col("_format") == "generic", levels.extract_level_word(raw))
-    )
-    staged = staged.withColumn("_time", _json_time_value(F.col("_json")))
+    steps = [
+        ("_json", parsed),
+        ("_json", F.when(F.try_variant_get(doc, "$[1]", "variant").isNull(), doc)),
+        ("_sys", F.when(doc.isNull(), _captures(raw, SYSLOG_LINE, 10))),
+        ("_sys", F.when(F.size(sys_parts) == 10, sys_parts)),
+        ("_web", F.when(doc.isNull() & sys_parts.isNull(), _captures(raw, COMBINED_LINE, 11))),
+        ("_web", F.when(F.size(web) == 11, web)),
+        ("_format", fmt),
+        ("_word", F.when(F.col("_format") == "generic", levels.extract_level_word(raw))),
+        ("_time", _json_time_value(doc)),
+    ]
     line = F.struct(
-        F.col("_json").alias("json"),
+        doc.alias("json"),
         F.col("_time").alias("time"),
-        F.col("_sys").alias("sys"),
-        F.col("_web").alias("web"),
+        sys_parts.alias("sys"),
+        web.alias("web"),
         F.col("_format").alias("format"),
         F.col("_word").alias("word"),
     )
-    return staged.select(*df.columns, F.explode(F.array(line)).alias("_line"))
+    return steps, F.explode(F.array(line)).alias("_line")
+
+
+def _detect(df: DataFrame) -> DataFrame:
+    """Add ``_line``: the parsed document, captured groups, format and level word.
+
+    The struct passes through a one-row ``explode``. Catalyst pushes predicates on
+    ``raw``, ``file`` and the like through it to the scan, but not those on parsed
+    columns, which would otherwise be inlined below and repeat the whole parse.
+    """
+    steps, line = _stages(df.sparkSession.sparkContext.applicationId)
+    staged = df
+    for name, column in steps:
+        staged = staged.withColumn(name, column)
+    return staged.select(*df.columns, line)
 
 
 def detect_format(df: DataFrame) -> DataFrame:
@@ -232,27 +237,13 @@ def _fields() -> Column:
     )
 
 
-def parse_logs(
-    df: DataFrame,
-    ts_formats: Sequence[str] = (),
-    reference_year: int | None = None,
-) -> DataFrame:
-    """Parse ``raw`` into ``format, ts, level, message, source, fields``.
-
-    Other columns (``file``, ``line``, ...) pass through, in front. Blank lines are
-    dropped. ``ts_formats`` are Spark datetime patterns for JSON strings and line
-    prefixes; ``reference_year`` completes syslog times, default the current year.
-    """
-    configure(df.sparkSession)
-    formats = tuple(ts_formats) or timestamps.DEFAULT_FORMATS
+@lru_cache(maxsize=16)
+def _projection(app_id: str, formats: tuple[str, ...], reference_year: int | None) -> list[Column]:
+    """The entry columns from ``raw`` and ``_line``; built once like ``_stages``."""
     year = F.lit(reference_year) if reference_year else F.year(F.current_date())
-    kept = [c for c in df.columns if c not in ENTRY_COLUMNS]
     raw = F.col("raw")
-
-    staged = _detect(df.where(~text.is_blank(raw)))
     doc, sys_parts, web = F.col("_line.json"), F.col("_line.sys"), F.col("_line.web")
     fmt, word = F.col("_line.format"), F.col("_line.word")
-
     syslog_ts = F.when(
         F.concat(F.trim(sys_parts[GAP_1]), F.trim(sys_parts[GAP_2])) == "",
         timestamps.from_parts(year, sys_parts[MONTH], sys_parts[DAY], sys_parts[CLOCK]),
@@ -287,8 +278,7 @@ def parse_logs(
         .when(fmt == "apache", web[REMOTE])
         .otherwise("")
     )
-    return staged.select(
-        *kept,
+    return [
         raw,
         fmt.alias("format"),
         ts.alias("ts"),
@@ -296,4 +286,23 @@ def parse_logs(
         message.alias("message"),
         source.alias("source"),
         _fields().alias("fields"),
-    )
+    ]
+
+
+def parse_logs(
+    df: DataFrame,
+    ts_formats: Sequence[str] = (),
+    reference_year: int | None = None,
+) -> DataFrame:
+    """Parse ``raw`` into ``format, ts, level, message, source, fields``.
+
+    Other columns (``file``, ``line``, ...) pass through, in front. Blank lines are
+    dropped. ``ts_formats`` are Spark datetime patterns for JSON strings and line
+    prefixes; ``reference_year`` completes syslog times, default the current year.
+    """
+    configure(df.sparkSession)
+    formats = tuple(ts_formats) or timestamps.DEFAULT_FORMATS
+    kept = [c for c in df.columns if c not in ENTRY_COLUMNS]
+    app_id = df.sparkSession.sparkContext.applicationId
+    lines = _detect(df.where(~text.is_blank(F.col("raw"))))
+    return lines.select(*kept, *_projection(app_id, formats, reference_year))

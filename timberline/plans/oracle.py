@@ -281,6 +281,7 @@ CASE WHEN strlen(message) > 80 THEN message[1:77] || '...' ELSE message END AS m
 r AS (SELECT *, sha256('10.0.' || (u % 256) || '.' || (e % 256))[1:4] AS h0, sha256('10.1.0.' || (u % 256))[1:4] AS h1 FROM entries)
 SELECT file, line, replace(message, '10.0.' || (u % 256) || '.' || (e % 256), '[IPV4:' || h0 || ']') AS message,
   CASE WHEN shape = 2 THEN '[IPV4:' || h1 || ']' || raw[strlen('10.1.0.' || (u % 256)) + 1:]
+       WHEN raw = message THEN raw  -- only a raw line that differs is redacted too
        ELSE replace(raw, '10.0.' || (u % 256) || '.' || (e % 256), '[IPV4:' || h0 || ']') END AS raw,
   CAST(CASE WHEN shape = 2 THEN 1 WHEN raw = message THEN 1 ELSE 2 END AS BIGINT) AS redacted_count FROM r""",
     "redact_pages": f"""WITH {redaction_steps("pages", "page_id", "html", ("email", "ipv4"))}

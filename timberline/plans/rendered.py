@@ -6,6 +6,8 @@ straight from the event's columns.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def _choose(column: Column, values: dict[str, str], other: str) -> Column:
     return out.otherwise(other)
 
 
-def render_lines(events: DataFrame) -> DataFrame:
-    """``file, line, seq, raw``: one log line per event."""
+@lru_cache(maxsize=4)
+def _line_columns(app_id: str) -> list[Column]:
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))
     level = (
@@ -90,12 +92,17 @@ def render_lines(events: DataFrame) -> DataFrame:
         F.when(shape == 0, json).when(shape == 1, syslog).when(shape == 2, apache).otherwise(generic)
     )
     file_no = e % 3
-    return events.select(
+    return [
         F.concat(F.lit("f"), file_no.cast("string"), F.lit(".log")).alias("file"),
         (e + 1).alias("line"),
         (F.shiftleft(file_no, 40) + e + 1).alias("seq"),
         raw.alias("raw"),
-    )
+    ]
+
+
+def render_lines(events: DataFrame) -> DataFrame:
+    """``file, line, seq, raw``: one log line per event."""
+    return events.select(*_line_columns(events.sparkSession.sparkContext.applicationId))
 
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
