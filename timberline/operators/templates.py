@@ -22,15 +22,15 @@ It ends when every check passes, and then equals the line-by-line result exactly
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import tokens as tk
 from timberline.functions.levels import LEVELS, level_ordinal
+from timberline.operators import fold
 from timberline.operators.toplists import leading
 from timberline.session import materialize
 from timberline.sources.text import with_sequence
@@ -45,9 +45,12 @@ FOLD_GROWTH = 8
 # Up to this many templates are ranked by one sort.
 SINGLE_SORT = 1_000_000
 
-_NEVER = (1 << 63) - 1
+_NEVER = fold.NEVER
 _LANES = 4
 
+# the function travels with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(fold)
+
 
 class Mined:
     """Templates of a log, and how its message keys map to them.
@@ -208,75 +211,12 @@ def _fold(active: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
     by_type = ", ".join(f"`{c}` {active.schema[c].dataType.simpleString()}" for c in group)
     schema = f"{by_type}, idx int, born bigint, init array<string>, wild array<bigint>"
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*group, "idx", "born", "init", "wild"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive sorted by leaf and position; only the current leaf is held
-        current, state, done = None, None, []
-        for batch in batches:
-            leaves = zip(*[batch[c].tolist() for c in group])
-            for leaf, key, seq in zip(leaves, batch["key"], batch["first_seq"]):
-                if leaf != current:
-                    if state is not None:
-                        done.extend(state.rows(current))
-                    current, state = leaf, _Leaf(threshold)
-                state.add(key.split(" "), int(seq))
-            if len(done) > 10_000:
-                yield frame(done)
-                done = []
-        if state is not None:
-            done.extend(state.rows(current))
-        yield frame(done)
-
     ordered = (
         active.select(*group, "key", "first_seq")
         .repartition(*group)
         .sortWithinPartitions(*group, "first_seq")
     )
-    return ordered.mapInPandas(run, schema)
-
-
-class _Leaf:
-    """Templates of one leaf while its keys are folded in; tokens as small integers."""
-
-    WILD, VARIABLE = -1, -2
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-        self.ids: dict[str, int] = {tk.WILDCARD: self.WILD, tk.VARIABLE: self.VARIABLE}
-        self.count = 0
-        self.tokens: np.ndarray | None = None
-        self.born: list[int] = []
-        self.init: list[list[str]] = []
-        self.wild: list[np.ndarray] = []
-
-    def add(self, words: list[str], seq: int) -> None:
-        ids = self.ids
-        coded = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
-        if self.tokens is None:
-            self.tokens = np.empty((8, len(words)), dtype=np.int64)
-        known = self.tokens[: self.count]
-        hits = ((known == self.WILD) | (known == coded) | (coded == self.WILD)).sum(axis=1)
-        near = np.flatnonzero(hits / len(words) >= self.threshold)
-        if len(near):
-            at = near[0]
-            differs = (known[at] != self.WILD) & (known[at] != coded)
-            known[at][differs] = self.WILD
-            self.wild[at][differs] = seq
-            return
-        if self.count == len(self.tokens):
-            self.tokens = np.concatenate([self.tokens, np.empty_like(self.tokens)])
-        masked = np.where(coded == self.VARIABLE, self.WILD, coded)
-        self.tokens[self.count] = masked
-        self.count += 1
-        self.born.append(seq)
-        self.init.append([tk.WILDCARD if m == self.WILD else w for w, m in zip(words, masked)])
-        self.wild.append(np.where(masked == self.WILD, seq, _NEVER))
-
-    def rows(self, values: tuple) -> Iterator[tuple]:
-        for i in range(self.count):
-            yield (*values, i, self.born[i], self.init[i], self.wild[i].tolist())
+    return ordered.mapInPandas(fold.folder(tuple(group), threshold), schema)
 
 
 def _leaf_states(templates: DataFrame, group: Sequence[str]) -> DataFrame:

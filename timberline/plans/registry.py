@@ -19,7 +19,7 @@ from timberline.operators import templates as tp
 from timberline.operators.parse import detect_format
 from timberline.operators.prompts import build_prompts
 from timberline.plans.rendered import YEAR, event_lines, event_logs
-from timberline.session import configure, materialize, shared_dir
+from timberline.session import configure, materialize, shared_dir, spread
 from timberline.sources import sinks
 from timberline.sources.text import read_logs
 from timberline.streaming.follow import follow_logs
@@ -32,7 +32,7 @@ REDACTED = rd.DEFAULT_NAMES + ("credit_card",)
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def flat(df: DataFrame) -> DataFrame:

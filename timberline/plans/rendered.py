@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.operators.parse import parse_logs
-from timberline.session import configure
+from timberline.session import configure, spread
 
 YEAR = 2024
 
@@ -107,7 +107,7 @@ def render_lines(events: DataFrame) -> DataFrame:
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
-    return render_lines(spark.read.parquet(f"{folder}/events.parquet"))
+    return render_lines(spread(spark.read.parquet(f"{folder}/events.parquet")))
 
 
 def event_logs(spark: SparkSession, folder: str) -> DataFrame:

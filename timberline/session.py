@@ -54,3 +54,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/timberline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A scan below this size is worth spreading over idle cores; larger ones have enough splits.
+SMALL_SCAN_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a small scan that would keep most cores idle; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SMALL_SCAN_BYTES and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
