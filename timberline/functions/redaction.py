@@ -73,6 +73,13 @@ def _has(*parts: str) -> Callable[[Column], Column]:
     return test
 
 
+def _names_a_secret(text: Column) -> Column:
+    """A separator, and a part of each key word that case folding leaves alone."""
+    folded = F.lower(text)
+    word = _has("api", "token", "ecret", "word", "wd")(folded)
+    return (text.contains(":") | text.contains("=")) & word
+
+
 CATALOGUE = {
     p.name: p
     for p in (
@@ -82,7 +89,7 @@ CATALOGUE = {
             lambda t: t.contains("::") | (t.contains(":") & t.rlike(rf"(?:{_H}:){{7}}")),
         ),
         Pattern("email", "EMAIL", EMAIL, _has("@")),
-        Pattern("api_key", "SECRET", API_KEY, _has(":", "=")),
+        Pattern("api_key", "SECRET", API_KEY, _names_a_secret),
         Pattern("aws_key", "AWS_KEY", AWS_KEY, _has("AKIA")),
         Pattern("jwt", "JWT", JWT, _has("eyJ")),
         Pattern("private_key", "PRIVATE_KEY", PRIVATE_KEY, _has("-----BEGIN")),
