@@ -122,11 +122,9 @@ def _stages(app_id: str) -> tuple[list[tuple[str, Column]], Column]:
         ("_web", F.when(F.size(web) == 11, web)),
         ("_format", fmt),
         ("_word", F.when(F.col("_format") == "generic", levels.extract_level_word(raw))),
-        ("_time", _json_time_value(doc)),
     ]
     line = F.struct(
         doc.alias("json"),
-        F.col("_time").alias("time"),
         sys_parts.alias("sys"),
         web.alias("web"),
         F.col("_format").alias("format"),
@@ -238,8 +236,10 @@ def _fields() -> Column:
 
 
 @lru_cache(maxsize=16)
-def _projection(app_id: str, formats: tuple[str, ...], reference_year: int | None) -> list[Column]:
-    """The entry columns from ``raw`` and ``_line``; built once like ``_stages``."""
+def _projection(
+    app_id: str, formats: tuple[str, ...], reference_year: int | None
+) -> tuple[Column, list[Column]]:
+    """``_time`` from ``_line``, and the entry columns from both; built once like ``_stages``."""
     year = F.lit(reference_year) if reference_year else F.year(F.current_date())
     raw = F.col("raw")
     doc, sys_parts, web = F.col("_line.json"), F.col("_line.sys"), F.col("_line.web")
@@ -249,7 +249,7 @@ def _projection(app_id: str, formats: tuple[str, ...], reference_year: int | Non
         timestamps.from_parts(year, sys_parts[MONTH], sys_parts[DAY], sys_parts[CLOCK]),
     )
     ts = (
-        F.when(fmt == "json", _json_time(F.col("_line.time"), formats, year))
+        F.when(fmt == "json", _json_time(F.col("_time"), formats, year))
         .when(fmt == "syslog", syslog_ts)
         .when(fmt == "apache", timestamps.parse_clf(web[TIME]))
         .otherwise(timestamps.find_timestamp(raw, formats, year))
@@ -278,7 +278,7 @@ def _projection(app_id: str, formats: tuple[str, ...], reference_year: int | Non
         .when(fmt == "apache", web[REMOTE])
         .otherwise("")
     )
-    return [
+    return _json_time_value(doc), [
         raw,
         fmt.alias("format"),
         ts.alias("ts"),
@@ -305,4 +305,5 @@ def parse_logs(
     kept = [c for c in df.columns if c not in ENTRY_COLUMNS]
     app_id = df.sparkSession.sparkContext.applicationId
     lines = _detect(df.where(~text.is_blank(F.col("raw"))))
-    return lines.select(*kept, *_projection(app_id, formats, reference_year))
+    time_value, entry_columns = _projection(app_id, formats, reference_year)
+    return lines.withColumn("_time", time_value).select(*kept, *entry_columns)

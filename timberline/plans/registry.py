@@ -90,7 +90,7 @@ def level_spellings(spark, folder):
 def read_files(spark, folder):
     """Rendered lines written as text files, read back with exact line numbers."""
     path = f"{shared_dir(spark)}/timberline/files-{uuid.uuid4().hex}"
-    event_lines(spark, folder).repartition("file").sortWithinPartitions("seq").select(
+    event_lines(spark, folder).repartitionByRange("file", "seq").sortWithinPartitions("seq").select(
         "file", F.col("raw").alias("value")
     ).write.partitionBy("file").text(path)
     entries = read_logs(spark, path, reference_year=YEAR)
