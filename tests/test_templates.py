@@ -64,23 +64,25 @@ def test_small_cases(spark):
 
 
 def test_captured_keys_are_counted_where_they_went(spark, monkeypatch):
-    # T1 starts narrow; 'a b c x y z' founds T2, then T1 widens until it captures it
-    messages = (
-        ["a b c 1 2 3 p q r s t u"]
-        + ["a b c d e f x x x x x u"] * 1
-        + ["a b c k l m n o h w v v"] * 2
-    )
-    check(spark, messages)
-    rng = random.Random(3)
-    words = ["a", "b", "c", "7"]
-    for length, n in ((6, 150), (8, 200)):
+    # templates widen until they take messages that an own template had before
+    recounts = []
+    split = tp._split_captured
+
+    def spy(*args):
+        recounts.append(args[1].where("captured").count())
+        return split(*args)
+
+    monkeypatch.setattr(tp, "_split_captured", spy)
+    for seed in (3, 5):
+        rng = random.Random(seed)
         stream = [
-            " ".join(["x", "y", "z"] + [rng.choice(words) for _ in range(length)]) for _ in range(n)
+            " ".join(["x"] + [rng.choice("abcde") for _ in range(5)]) for _ in range(1500)
         ]
-        check(spark, stream, threshold=0.75)
+        check(spark, stream, depth=2, threshold=0.66)
+    assert recounts and sum(recounts) > 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_random_streams_equal_line_by_line(spark, monkeypatch, seed):
     monkeypatch.setattr(tp, "FIRST_FOLD", 3)  # several folds per leaf
     monkeypatch.setattr(tp, "SINGLE_SORT", 5)  # ranks from parts
