@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam
+from timberline.llm import decontam, pii, secrets
 from timberline.session import configure
 
 
@@ -14,6 +14,38 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _named(spans, kinds: tuple[str, ...]):
+    """kind:start:end of the spans of these kinds, comma-joined."""
+    own = F.filter(spans, lambda x: x["kind"].isin(*kinds))
+    return F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _counted(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def _digested(found: DataFrame, base: tuple[str, ...], every: tuple[str, ...]) -> DataFrame:
+    spans = F.col("found")
+    return found.select(
+        "doc_id",
+        *(_counted(spans, kind) for kind in base),
+        F.sha2(_named(spans, base), 256).alias("base_sha256"),
+        _named(spans, every).alias("spans"),
+    )
+
+
+def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = docs.select("doc_id", secrets.secret_spans(spark, docs["text"]).alias("found"))
+    return _digested(found, ("assign", "access", "hex"), tuple(r.kind for r in secrets.RULES))
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = docs.select("doc_id", pii.pii_spans(docs["text"]).alias("found"))
+    return _digested(found, ("email", "ip", "card", "phone"), tuple(k.name for k in pii.KINDS))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     hit = docs.select("doc_id", decontam.contamination(items, docs["text"]).alias("hit"))
@@ -55,6 +87,8 @@ FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)
 """
 
 QUERIES = {
+    "op7_secret_scans": op7_secret_scans,
+    "op9_pii": op9_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {
