@@ -139,12 +139,14 @@ class _Nfa:
 
 @dataclass(frozen=True)
 class Automaton:
-    """``table[state * 256 + byte]`` is the next state times 256; states from ``first`` on accept.
+    """``table[row + kinds[byte]]`` is the row of the next state; rows are ``width`` apart.
 
-    ``masks[state]`` has bit k set where rule k accepts. State 0 is the start; ``dead`` (times
-    256) is the state that nothing leaves and nothing accepts in, -1 without one.
+    States whose rows are at ``first`` or later accept; ``masks[row // width]`` has bit k set where
+    rule k does. ``dead`` is the row that nothing leaves and nothing accepts in, -1 without one.
     """
 
+    kinds: bytes
+    width: int
     table: list[int]
     masks: list[int]
     first: int
@@ -164,18 +166,22 @@ def compile_rules(patterns: list[str], anywhere: bool, backwards: bool = False)
         tree = _Parser(pattern).tree()
         ends[nfa.add(_reverse(tree) if backwards else tree, begin)] = 1 << k
     entry = nfa.closure([begin])
+    # bytes that no set tells apart move alike
+    sets = {x[0] for x in nfa.reads if x}
+    kinds: dict[tuple, list[int]] = {}
+    for byte in range(256):
+        kinds.setdefault(tuple(byte in x for x in sets), []).append(byte)
     numbers, order, moves = {entry: 0}, [entry], []
     for states in order:  # grows while it is read
         reads = [nfa.reads[s] for s in states if nfa.reads[s]]
         row, known = [], {}
-        for byte in range(256):
-            to = frozenset(end for accepted, end in reads if byte in accepted)
+        for alike in kinds.values():
+            to = frozenset(end for accepted, end in reads if alike[0] in accepted)
             if to not in known:
                 target = nfa.closure(to) | entry if anywhere else nfa.closure(to)
-                if target not in numbers:
-                    numbers[target] = len(order)
+                known[to] = numbers.setdefault(target, len(order))
+                if known[to] == len(order):
                     order.append(target)
-                known[to] = numbers[target]
             row.append(known[to])
         moves.append(row)
     mask = np.array([sum(ends.get(s, 0) for s in states) for states in order])
@@ -188,16 +194,21 @@ def compile_rules(patterns: list[str], anywhere: bool, backwards: bool = False)
             break
         block = finer
     # accepting states last, so that one comparison tells them
-    n = block.max() + 1
+    n, width = block.max() + 1, len(kinds)
     one = np.zeros(n, int)
     one[block] = np.arange(len(block))
     rank = np.argsort(np.lexsort([np.arange(n), mask[one] != 0]))
-    final = np.zeros((n, 256), int)
-    final[rank] = rank[block[table[one]]] * 256
+    final = np.zeros((n, width), int)
+    final[rank] = rank[block[table[one]]]
     masks = np.zeros(n, int)
     masks[rank] = mask[one]
-    dead = [s for s in range(n) if not masks[s] and (final[s] == s * 256).all()]
+    dead = [s for s in range(n) if not masks[s] and (final[s] == s).all()]
+    rows = [s * width for s in range(n)]  # one object for each
+    kind_of = bytearray(256)
+    for k, alike in enumerate(kinds.values()):
+        for byte in alike:
+            kind_of[byte] = k
     return Automaton(
-        final.reshape(-1).tolist(), masks.tolist(), int((masks == 0).sum()) * 256, int(rank[block[0]]) * 256,
-        dead[0] * 256 if dead else -1,
+        bytes(kind_of), width, [rows[s] for s in final.reshape(-1)], masks.tolist(), int((masks == 0).sum()) * width,
+        int(rank[block[0]]) * width, rows[dead[0]] if dead else -1,
     )

@@ -51,8 +51,6 @@ RULES = (
     # all shorter runs fail, so the length can be part of the automaton
     Rule("hex", "[0-9a-f]{16,}", 16),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 20),
-    Rule("google", "AIza[0-9A-Za-z_-]+", 39, 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
 )
@@ -71,12 +69,13 @@ class Scanner:
 
     def _runs(self, data: bytes) -> Iterator[tuple[int, int]]:
         """(rule, end) of every run of bytes at which a rule accepts, in order of the ends."""
-        table, masks, first, state = self.forward.table, self.forward.masks, self.forward.first, self.forward.start
+        own = self.forward
+        table, masks, first, state, width = own.table, own.masks, own.first, own.start, own.width
         open_mask, last = 0, -1
-        for at, byte in enumerate(data):
-            state = table[state + byte]
+        for at, kind in enumerate(data.translate(own.kinds)):
+            state = table[state + kind]
             if state >= first:
-                mask = masks[state >> 8]
+                mask = masks[state // width]
                 if at == last + 1:
                     closed = open_mask & ~mask
                 else:
@@ -96,10 +95,10 @@ class Scanner:
         found = []
         for k, end in self._runs(data):
             back, low, start = self.backward[k], used[k], -1
-            table, first, dead, state, at = back.table, back.first, back.dead, back.start, end
+            table, kinds, first, dead, state, at = back.table, back.kinds, back.first, back.dead, back.start, end
             while at > low:
                 at -= 1
-                state = table[state + data[at]]
+                state = table[state + kinds[data[at]]]
                 if state >= first:
                     start = at
                 elif state == dead:
