@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontam, pii, secrets
+from timberline.llm import bpe, decontam, pii, secrets
 from timberline.session import configure
 
 
@@ -40,6 +41,21 @@ def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return _digested(found, ("assign", "access", "hex"), tuple(r.kind for r in secrets.RULES))
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    tokens = bpe.load_ranks(VOCABULARY)
+    ids = docs.select("doc_id", bpe.encode(spark, docs["text"], tokens, public_tokenizers.PATTERN).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(spark, F.col("ids"), tokens), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = docs.select("doc_id", pii.pii_spans(docs["text"]).alias("found"))
@@ -88,6 +104,7 @@ FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)
 
 QUERIES = {
     "op7_secret_scans": op7_secret_scans,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
