@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, pii, secrets
+from timberline.llm import bpe, decontam, pii, quality, secrets
 from timberline.session import configure
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, folder, "documents"))
+
+
 def _named(spans, kinds: tuple[str, ...]):
     """kind:start:end of the spans of these kinds, comma-joined."""
     own = F.filter(spans, lambda x: x["kind"].isin(*kinds))
@@ -102,12 +106,43 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)
 """
 
+_OP1 = r"""
+WITH
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+norm AS (
+  SELECT doc_id, source, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM raw),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
+frequent AS (
+  SELECT n.source, line FROM norm n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source WHERE line <> ''
+  GROUP BY n.source, line, docs HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > docs * 0.01),
+removed AS (
+  SELECT doc_id, sum(len(string_split(n.line, ' '))) AS n
+  FROM norm n JOIN frequent f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source GROUP BY doc_id)
+SELECT *, NOT base_failed AND NOT removed_words > n_words * 0.7 AS kept
+FROM (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS removed_words,
+         len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
+"""
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {
+    "op1_quality_rules": _OP1,
     "op10_benchmark_decontamination": _OP10,
 }
