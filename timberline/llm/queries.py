@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, pii, quality, secrets
+from timberline.llm import bpe, decontam, line_dedup, pii, quality, secrets
 from timberline.session import configure
 
 
@@ -19,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(_table(spark, folder, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.deduplicated(_table(spark, folder, "documents"))
+    return out.select("doc_id", "deduped.text", "deduped.n_lines", "deduped.n_dropped", "deduped.depleted")
+
+
 def _named(spans, kinds: tuple[str, ...]):
     """kind:start:end of the spans of these kinds, comma-joined."""
     own = F.filter(spans, lambda x: x["kind"].isin(*kinds))
@@ -135,7 +140,37 @@ FROM (
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
 """
 
+_OP2 = r"""
+WITH
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+norm AS (
+  SELECT doc_id, i, raw, regexp_replace(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM raw),
+l AS (
+  SELECT doc_id, i, line, len(string_split(line, ' ')) AS n, array_to_string(string_split(line, ' ')[1:4], ' ') AS lead
+  FROM norm WHERE line <> '' AND len(string_split(line, ' ')) >= 5),
+k AS (SELECT line, n, lead, count(DISTINCT doc_id) AS docs, min(doc_id) AS carrier FROM l GROUP BY line, n, lead),
+lead AS (
+  SELECT n, lead, line AS leader FROM k QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, carrier, line) = 1),
+t AS (
+  SELECT line, CASE WHEN len(list_filter(list_zip(string_split(line, ' '), string_split(leader, ' ')), lambda x: x[1] = x[2])) >= n * 0.6
+         THEN leader ELSE line END AS template
+  FROM k JOIN lead USING (n, lead)),
+lt AS (SELECT doc_id, i, n, template FROM l JOIN t USING (line)),
+rec AS (
+  SELECT template, min(doc_id) AS first FROM lt GROUP BY template, n
+  HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 20 THEN 2 ELSE 3 END),
+gone AS (SELECT doc_id, i FROM lt JOIN rec USING (template) WHERE doc_id <> first),
+out AS (
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) FILTER (g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_dropped
+  FROM raw LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n_dropped > 0 THEN coalesce(out.text, '') ELSE d.text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_dropped, 0)::BIGINT AS n_dropped,
+       coalesce(n_dropped > 0 AND length(coalesce(out.text, '')) < length(d.text) * (1 - 0.7), false) AS depleted
+FROM documents d LEFT JOIN out USING (doc_id)
+"""
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op1_quality_rules": op1_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
@@ -143,6 +178,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {
+    "op2_line_dedup": _OP2,
     "op1_quality_rules": _OP1,
     "op10_benchmark_decontamination": _OP10,
 }
