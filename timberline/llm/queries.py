@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, line_dedup, pii, quality, secrets
+from timberline.llm import bpe, decontam, licenses, line_dedup, pii, quality, secrets
 from timberline.session import configure
 
 
@@ -24,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "deduped.text", "deduped.n_lines", "deduped.n_dropped", "deduped.depleted")
 
 
+def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(_table(spark, folder, "documents"))
+
+
 def _named(spans, kinds: tuple[str, ...]):
     """kind:start:end of the spans of these kinds, comma-joined."""
     own = F.filter(spans, lambda x: x["kind"].isin(*kinds))
@@ -172,6 +176,7 @@ FROM documents d LEFT JOIN out USING (doc_id)
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op1_quality_rules": op1_quality_rules,
+    "op5_license_scans": op5_license_scans,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
