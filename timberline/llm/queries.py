@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, licenses, line_dedup, pii, quality, secrets
+from timberline.llm import bpe, decontam, licenses, line_dedup, pii, quality, secrets, toxicity
 from timberline.session import configure
 
 
@@ -28,6 +28,18 @@ def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licenses(_table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", toxicity.differences(model, docs["text"], docs).alias("s"))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "s.score",
+        (F.col("s.score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def _named(spans, kinds: tuple[str, ...]):
     """kind:start:end of the spans of these kinds, comma-joined."""
     own = F.filter(spans, lambda x: x["kind"].isin(*kinds))
@@ -176,6 +188,7 @@ FROM documents d LEFT JOIN out USING (doc_id)
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op1_quality_rules": op1_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op5_license_scans": op5_license_scans,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
