@@ -56,6 +56,14 @@ def test_few_states(tokens, known):
         assert len(small.states) < 150
 
 
+def test_long_pieces_are_emitted_early(tokens, known):
+    own = bpe.Transducer(tokens)
+    rng = random.Random(5)
+    for alphabet in ("a", "ab", "thinger", "éa"):
+        piece = "".join(rng.choice(alphabet) for _ in range(5000))
+        assert own.encode(piece.encode()) == known.encode_ordinary(piece)
+
+
 def test_broken_bytes_and_blocks(tokens):
     decoder = bpe.Decoder(tokens)
     ids = [decoder.tokens.index(bytes([b])) for b in "aé漢\U0001f600".encode()]

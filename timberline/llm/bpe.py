@@ -1,12 +1,13 @@
 """Byte-level BPE: encoding by a lazily determinised transducer, streaming decoding.
 
-A sequence of tokens is the encoding of a piece if and only if every two neighbours are what BPE
-makes of their joined bytes. So each prefix of a piece has exactly one possible last token, which
-follows from the last tokens of shorter prefixes. The transducer reads byte by byte and keeps the
-last tokens of the prefixes in which a longer token may still start. As soon as all of those go
-back to the same first token, it is emitted, so that only a bounded tail is ever held back. A
-state is the last emitted token and the bytes since; states and their moves are made when they are
-first met, and thrown away together when there are too many.
+A sequence of tokens is the encoding of a piece if and only if every two neighbours can stand side
+by side: merging never joins bytes of both. So each prefix of a piece has exactly one possible last
+token, which follows from the last tokens of shorter prefixes. The transducer reads byte by byte.
+Its states are the sets of tokens that may have begun at any earlier byte (subset construction over
+the merges' results), made when they are first met and never more than the vocabulary has prefixes;
+a move tells the tokens that end with its byte, and registers hold the last tokens of the prefixes
+in which a token is begun. Once the held back tail is ``LOOKAHEAD`` bytes long, the tokens on which
+all begun ones agree are emitted; none of a shorter piece can wait longer than its end.
 
 A piece that is itself a token becomes that token, whatever the merges say; this is what the
 common implementation of rank files does.
@@ -22,6 +23,7 @@ splitting pattern. Only the given column is read, so other columns may have any
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +33,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Bounds of what a worker remembers; none of them changes a result.
-MAX_STATES = 1 << 16
-MAX_PAIRS = 1 << 20
-MAX_PIECES = 1 << 17
+MAX_STATES = 1 << 18
+MAX_PAIRS = 1 << 19
+MAX_PIECES = 1 << 18
 FLUSH_TOKENS = 1 << 13
+LOOKAHEAD = 1 << 9
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -48,110 +51,141 @@ def load_ranks(path: str) -> list[bytes]:
 
 
 class _State:
-    __slots__ = ("anchor", "last", "moves", "pending", "starts", "tail")
+    """All tokens that are begun: ``suffix`` is the longest, the others begin at later bytes of it."""
 
-    def __init__(self, anchor: int, pending: bytes, last: tuple, starts: tuple):
-        # last[i], starts[i]: last token of the prefix that ends after pending[i], and where it starts
-        self.anchor, self.pending, self.last, self.starts = anchor, pending, last, starts
+    __slots__ = ("moves", "suffix")
+
+    def __init__(self, suffix: bytes):
+        self.suffix = suffix
         self.moves: dict[int, tuple[_State, tuple]] = {}
-        self.tail: tuple | None = None
 
 
 class Transducer:
     def __init__(self, tokens: list[bytes], max_states: int = MAX_STATES):
         self.tokens = tokens
         self.ranks = {token: rank for rank, token in enumerate(tokens) if token}
-        self.open = {token[:i] for token in self.ranks for i in range(1, len(token))}
+        self.longer = {token[:i] for token in self.ranks for i in range(1, len(token))}
         self.max_states = max_states
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[tuple[int, bool], list | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.root = _State(-1, b"", (), ())
-        self.states = {(-1, b""): self.root}
+        self.root = _State(b"")
+        self.states = {b"": self.root}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank; used on two tokens at a time only."""
+    def merged(self, data: bytes, trace: list | None = None) -> list[int]:
+        """Plain merging by rank. ``trace`` gets the merged pairs."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if best == 1 << 60:
                 break
+            if trace is not None:
+                trace.append((parts[at], parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _edge(self, token: int, right: bool) -> list | None:
+        """What stands at one edge of a token while it is merged: (bytes, rank of the merge that ends it).
+
+        None for a token that merging its bytes does not give.
+        """
+        key = (token, right)
+        if key not in self.edges:
+            data, trace = self.tokens[token], []
+            if self.merged(data, trace) != [token]:
+                self.edges[key] = None
+            else:
+                own = [data[-1:] if right else data[:1]]
+                for a, b in trace:
+                    if own[-1] == (b if right else a) and (data.endswith if right else data.startswith)(a + b) and len(a + b) > len(own[-1]):
+                        own.append(a + b)
+                self.edges[key] = [(x, self.ranks[y] if y else 1 << 60) for x, y in zip(own, [*own[1:], b""], strict=True)]
+        return self.edges[key]
+
     def _neighbours(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        """Whether merging never joins bytes of both tokens, so that they can stand side by side.
+
+        Merges happen in the order of ranks. One across the border needs both its parts to be there,
+        that is before either is merged into more of its own token; of equal ranks the left one is first.
+        """
+        key = left << 21 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            if left < 0:
-                known = self.merged(self.tokens[right]) == [right]
-            else:
-                known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[left, right] = known
+            before = self._edge(left, True)
+            after = self._edge(right, False)
+            known = before is not None and after is not None
+            if known:
+                get = self.ranks.get
+                known = not any(
+                    (rank := get(x + y)) is not None and rank < x_end and rank <= y_end for x, x_end in before for y, y_end in after
+                )
+            self.pairs[key] = known
         return known
 
-    def _path(self, state_starts: tuple, last: tuple, end: int) -> list[tuple[int, int]]:
-        """(token, its end) of the prefix that ends at ``end``, from the anchor on."""
-        path = []
-        while end:
-            path.append((last[end - 1], end))
-            end = state_starts[end - 1]
-        return path[::-1]
-
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple]:
-        pending, last, starts = state.pending + bytes((byte,)), state.last, state.starts
-        n = len(pending)
-        for start in range(n):
-            token = self.ranks.get(pending[start:])
-            if token is None or start and last[start - 1] is None:
-                continue
-            if self._neighbours(last[start - 1] if start else state.anchor, token):
-                last, starts = (*last, token), (*starts, start)
-                break
-        else:
-            # no encoding ends here: only a longer token can cover this byte
-            last, starts = (*last, None), (*starts, 0)
-        anchor, out = state.anchor, []
-        while pending:
-            alive = [i for i in range(len(pending)) if pending[i:] in self.open and (i == 0 or last[i - 1] is not None)]
-            if last[-1] is not None:
-                alive.append(len(pending))
-            firsts = {self._path(starts, last, i)[0] if i else None for i in alive}
-            if len(firsts) != 1 or None in firsts:
-                break
-            token, end = firsts.pop()
-            out.append(token)
-            anchor = token
-            keep = [s >= end for s in starts[end:]]
-            last = tuple(t if k else None for t, k in zip(last[end:], keep, strict=True))
-            starts = tuple(s - end if k else 0 for s, k in zip(starts[end:], keep, strict=True))
-            pending = pending[end:]
-        key = (anchor, pending)
-        to = self.states.get(key)
+    def _move(self, state: _State, byte: int) -> tuple[_State, tuple]:
+        """Next state, and (token, size) of the tokens that end with this byte."""
+        read = state.suffix + bytes((byte,))
+        ends = tuple(
+            (token, len(read) - i)
+            for i in range(len(read))
+            if (token := self.ranks.get(read[i:])) is not None and self._edge(token, False) is not None
+        )
+        suffix = next(read[i:] for i in range(len(read) + 1) if i == len(read) or read[i:] in self.longer)
+        to = self.states.get(suffix)
         if to is None:
-            to = self.states[key] = _State(anchor, pending, last, starts)
-        move = state.moves[byte] = (to, tuple(out))
+            to = self.states[suffix] = _State(suffix)
+        move = state.moves[byte] = (to, ends)
         return move
 
+    def _path(self, last: list, end: int) -> list[int]:
+        """Positions before which the tokens of the prefix of size ``end`` end, from the end back to 0."""
+        path = [end]
+        while end:
+            end -= len(self.tokens[last[end]])
+            path.append(end)
+        return path
+
+    def _emit(self, last: list, out: list, state: _State) -> list:
+        """Move the tokens that no further byte can change from ``last`` to ``out``."""
+        n, suffix = len(last) - 1, state.suffix
+        begun = [n, *(n - len(suffix) + i for i in range(len(suffix)) if suffix[i:] in self.longer)]
+        paths = [self._path(last, at) for at in begun if last[at] is not None]
+        sure = max(set.intersection(*map(set, paths)), default=0) if paths else 0
+        if sure:
+            out += [last[at] for at in self._path(last, sure)[-2::-1]]
+        return last[sure:]
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self.states) > self.max_states:
             self._forget()
-        state, out = self.root, []
+        state, out, pairs = self.root, [], self.pairs
+        # last[i]: last token of the prefix of size i since what was emitted; before a piece there is none
+        last: list[int | None] = [-1]
         for byte in piece:
-            move = state.moves.get(byte) or self._step(state, byte)
+            move = state.moves.get(byte) or self._move(state, byte)
             state = move[0]
-            if move[1]:
-                out += move[1]
-        if state.pending:
-            if state.tail is None:
-                state.tail = tuple(t for t, _ in self._path(state.starts, state.last, len(state.pending)))
-            out += state.tail
-        return out
+            n = len(last)
+            found = None
+            for token, size in move[1]:
+                left = last[n - size]
+                if left is not None:
+                    fits = pairs.get(left << 21 | token) if left >= 0 else True
+                    if fits is None:
+                        fits = self._neighbours(left, token)
+                    if fits:
+                        found = token
+                        break
+            last.append(found)
+            if n >= LOOKAHEAD:
+                last = self._emit(last, out, state)
+        return out + [last[at] for at in self._path(last, len(last) - 1)[-2::-1]]
 
 
 class Encoder:
@@ -228,12 +262,26 @@ class Decoder:
         return "".join(self.blocks(ids))
 
 
+# Encoders and decoders of this worker process, so that tasks find what earlier ones remembered.
+_IN_WORKER: dict = {}
+
+
+def _mine(kind: type, key: str, *args):
+    if (kind, key) not in _IN_WORKER:
+        _IN_WORKER[kind, key] = kind(*args)
+    return _IN_WORKER[kind, key]
+
+
+def _key(tokens: list[bytes], pattern: str = "") -> str:
+    return hashlib.sha256(pattern.encode() + b"\0".join(base64.b64encode(t) for t in tokens)).hexdigest()
+
+
 def encode(spark: SparkSession, text: Column, tokens: list[bytes], pattern: str) -> Column:
     """Token ids of a text column; the vocabulary, whose size is fixed, is broadcast."""
-    shared = spark.sparkContext.broadcast(tokens)
+    shared, key = spark.sparkContext.broadcast(tokens), _key(tokens, pattern)
 
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = _mine(Encoder, key, shared.value, pattern)
         for texts in batches:
             yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts], dtype=object)
 
@@ -244,10 +292,10 @@ def encode(spark: SparkSession, text: Column, tokens: list[bytes], pattern: str)
 
 def decode(spark: SparkSession, ids: Column, tokens: list[bytes]) -> Column:
     """Text of a column of token ids."""
-    shared = spark.sparkContext.broadcast(tokens)
+    shared, key = spark.sparkContext.broadcast(tokens), _key(tokens)
 
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = Decoder(shared.value)
+        decoder = _mine(Decoder, key, shared.value)
         for rows in batches:
             yield pd.Series([decoder.decode([] if x is None else x.tolist()) for x in rows], dtype=object)
 
