@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, licenses, line_dedup, pii, quality, secrets, toxicity
+from timberline.llm import bpe, decontam, jaccard, licenses, line_dedup, pii, quality, secrets, toxicity
 from timberline.session import configure
 
 
@@ -60,6 +60,10 @@ def _digested(found: DataFrame, base: tuple[str, ...], every: tuple[str, ...]) -
     )
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, folder, "documents"))
+
+
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = docs.select("doc_id", secrets.secret_spans(spark, docs["text"]).alias("found"))
@@ -190,6 +194,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op5_license_scans": op5_license_scans,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
