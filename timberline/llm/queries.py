@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, decontam, jaccard, licenses, line_dedup, pii, quality, secrets, toxicity
+from timberline.llm import bpe, chat, decontam, jaccard, licenses, line_dedup, pii, quality, secrets, toxicity
 from timberline.session import configure
 
 
@@ -24,6 +24,12 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "deduped.text", "deduped.n_lines", "deduped.n_dropped", "deduped.depleted")
 
 
+def op4_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.perspectives(_table(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
+    return views.select("conv_id", "speaker", "segment", "n_turns", "text", F.array_join(spans, ",").alias("mask"))
+
+
 def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licenses(_table(spark, folder, "documents"))
 
@@ -189,10 +195,31 @@ SELECT d.doc_id, CASE WHEN n_dropped > 0 THEN coalesce(out.text, '') ELSE d.text
 FROM documents d LEFT JOIN out USING (doc_id)
 """
 
+_OP4 = r"""
+WITH
+m AS (
+  SELECT conv_id, coalesce(role, '') AS speaker, coalesce(text, '') AS text, coalesce(role, '') = 'system' AS system,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS viewer FROM m WHERE NOT system),
+p AS (
+  SELECT m.conv_id, viewer, place // 64 AS segment, place, speaker = viewer AND NOT system AS own,
+         '<|begin|>' || CASE WHEN system THEN 'system' WHEN speaker = viewer THEN 'assistant' ELSE 'user ' || replace(speaker, '<|', '< |') END
+           || chr(10) AS head,
+         replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM m JOIN v ON m.conv_id IS NOT DISTINCT FROM v.conv_id),
+q AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, viewer, segment ORDER BY place) AS stop FROM p)
+SELECT conv_id, viewer AS speaker, segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+       coalesce(string_agg((stop - length(body))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY place) FILTER (own), '') AS mask
+FROM q GROUP BY conv_id, viewer, segment
+"""
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op1_quality_rules": op1_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_chat_perspectives": op4_chat_perspectives,
     "op5_license_scans": op5_license_scans,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scans": op7_secret_scans,
@@ -201,6 +228,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {
+    "op4_chat_perspectives": _OP4,
     "op2_line_dedup": _OP2,
     "op1_quality_rules": _OP1,
     "op10_benchmark_decontamination": _OP10,
