@@ -98,25 +98,32 @@ def license_windows(
     classes = defaultdict(list)
     for r in known:
         classes[_length_class(r.n)].append(r)
-    words = docs.select(docs[id_col].alias("doc_id"), _shingles(_words(docs[text_col])).alias("shingles"))
     every = sorted({x for r in known for x in r.own})
-    hits = F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: F.get(F.col("shingles"), i).isin(every))
-    found = words.where(F.size("shingles") > 0).withColumn("hits", hits).where(F.size("hits") > 0)
 
-    def starts(step: int, least: int) -> Column:
+    def starts(hit: Column, step: int, least: int) -> Column:
         """Windows in which ``least`` template shingles may stand: those around that many hits in a row."""
-        hit = F.col("hits")
         dense = F.filter(hit, lambda x, k: F.get(hit, k + least - 1) - x < 2 * step - 1)
         numbers = F.flatten(F.transform(dense, lambda x: F.array(F.floor(x / step), F.floor(x / step) - 1)))
         own = F.array_distinct(F.filter(numbers, lambda b: b >= 0))
         return F.transform(own, lambda b: F.struct(F.lit(step).alias("step"), (b * step).cast("int").alias("start")))
 
-    windows = F.concat(
-        *(starts(step, max(1, min(math.ceil(len(r.own) * containment - 1e-9) for r in rows))) for step, rows in classes.items())
-    )
-    at = found.select("doc_id", "shingles", F.explode(windows).alias("w")).select(
-        "doc_id", "w.step", "w.start", F.slice("shingles", F.col("w.start") + 1, 2 * F.col("w.step") - 1).alias("shingles")
-    )
+    def windows(shingles: Column) -> Column:
+        marked = F.transform(shingles, lambda x, i: F.when(x.isin(every), i))
+        hits = F.filter(marked, lambda x: x.isNotNull())
+
+        def around(hit: Column) -> Column:
+            places = F.concat(
+                *(starts(hit, step, max(1, min(math.ceil(len(r.own) * containment - 1e-9) for r in rows))) for step, rows in classes.items())
+            )
+            return F.transform(
+                places,
+                lambda w: F.struct(w["step"].alias("step"), w["start"].alias("start"), F.slice(shingles, w["start"] + 1, 2 * w["step"] - 1).alias("shingles")),
+            )
+
+        return bind(hits, around)
+
+    # one expression, so that nothing of it is evaluated twice
+    at = docs.select(docs[id_col].alias("doc_id"), F.explode(bind(_shingles(_words(docs[text_col])), windows)).alias("w")).select("doc_id", "w.*")
     at = at.withColumn("values", _minhash(F.col("shingles"), bands))
     banded = at.select("doc_id", "step", "start", "shingles", F.posexplode("values").alias("band", "value"))
     steps = F.create_map(*(F.lit(x) for r in known for x in (r.template, _length_class(r.n))))
