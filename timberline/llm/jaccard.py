@@ -40,7 +40,7 @@ from timberline.llm.components import connected_components
 from timberline.session import materialize
 
 WORDS = 5
-SKETCH_BITS = 16
+SKETCH_BITS = 18
 TABLE_BITS = 26
 COLD = 8
 
@@ -139,7 +139,7 @@ def _levels(docs: DataFrame, bits: int) -> np.ndarray:
     total = np.zeros(1 << bits)
     total[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     mean = max(1.0, total.mean())
-    return np.floor(np.log2(np.maximum(1, (total - mean) / (4 * np.sqrt(mean))))).astype(np.uint8)
+    return np.floor(np.log2(np.maximum(1, (total - mean) / (2 * np.sqrt(mean))))).astype(np.uint8)
 
 
 def _prefix(own: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
@@ -187,9 +187,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # each side is joined on a class that may be in many pairs: salted by the other
-    with_a = salted_join(pairs, sets.select(F.col("class").alias("a"), F.col("own").alias("x")), ["a"], ["b"], salts=4)
-    with_b = salted_join(with_a, sets.select(F.col("class").alias("b"), F.col("own").alias("y")), ["b"], ["a"], salts=4)
+    # no salts: they would copy whole sets; a class in very many pairs is split by adaptive execution
+    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("own").alias("x")), "a")
+    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("own").alias("y")), "b")
     return with_b.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -234,19 +234,37 @@ def jaccard_components(
     shared_entries = materialize(salted_join(incidence, heights, ["key"], ["class"]), "shared")
     few = shared_entries.where(F.col("height") <= cold)
     many = shared_entries.where(F.col("height") > cold)
-    hot = many.groupBy("class").agg(F.count("*").alias("hot"))
-
     pairs = few.select("key", F.col("class").alias("a"), F.col("n").alias("m")).join(
         few.select("key", F.col("class").alias("b"), "n"), "key"
     ).where((F.col("a") < F.col("b")) & _sizes_fit("m", "n"))
     counted = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
+    candidates = _within_reach(counted, many.groupBy("class").agg(F.count("*").alias("other")))
+    return _joined(own, info, candidates, shared_entries, few, many, table_bits, id_type)
+
+
+def _reachable(common):
+    """Whether an overlap of ``common`` first columns can still grow to what sizes m and n need.
+
+    Of a set of size n, ceil(0.75 n) - 1 shingles lie outside its first columns.
+    """
+    return common + F.ceil(F.greatest("m", "n") * 3 / 4) - 1 >= _needed("m", "n")
+
+
+def _within_reach(counted: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ``common`` columns and all ``other`` ones of either side may be enough."""
     for side in ("a", "b"):
-        counted = counted.join(hot.select(F.col("class").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
-    more = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    # of a set of size n, ceil(0.75 n) - 1 shingles lie outside the first columns
-    rest = F.ceil(F.greatest("m", "n") * 3 / 4) - 1
-    candidates = counted.where(F.col("common") + more + rest >= _needed("m", "n")).select("a", "b")
-    return _joined(own, info, candidates, many, table_bits, id_type)
+        own = other.select(F.col("class").alias(side), F.col("other").alias(f"other_{side}"))
+        counted = counted.join(own, side, "left")
+    more = F.least(F.coalesce("other_a", F.lit(0)), F.coalesce("other_b", F.lit(0)))
+    return counted.where(_reachable(F.col("common") + more)).select("a", "b")
+
+
+def _counted(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs whose overlap in all first columns may be enough."""
+    left = entries.select(F.col("class").alias("a"), "key", F.col("n").alias("m"))
+    right = entries.select(F.col("class").alias("b"), "key", "n")
+    counts = pairs.join(left, "a").join(right, ["b", "key"]).groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
+    return counts.where(_reachable(F.col("common"))).select("a", "b")
 
 
 def _leaders(many: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -270,20 +288,24 @@ def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(own, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def _residual(many: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of a hot column that are in different components."""
+def _residual(many: DataFrame, few: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members of a hot column that are in different components, if they may link.
+
+    All columns that such a pair shares are split ones, so the count of hot columns is whole.
+    """
     own = _labelled(many, labels)
     split = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
     own = salted_join(own, split.select("key"), ["key"], ["class"])
     left = own.select("key", F.col("class").alias("a"), F.col("n").alias("m"), F.col("label").alias("from"))
     right = own.select("key", F.col("class").alias("b"), "n", F.col("label").alias("to"))
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("from") != F.col("to")) & _sizes_fit("m", "n"))
-    return pairs.select("a", "b").distinct()
+    counted = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
+    return _within_reach(counted, few.groupBy("class").agg(F.count("*").alias("other")))
 
 
-def _joined(own: DataFrame, info: DataFrame, candidates: DataFrame, many: DataFrame, table_bits: int, id_type: str) -> DataFrame:
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("class")).unionAll(many.select("class")).distinct()
-    wanted = materialize(wanted, "wanted")
+def _whole_sets(own: DataFrame, info: DataFrame, pairs: DataFrame, table_bits: int, id_type: str) -> DataFrame:
+    """(class, own) of the classes in ``pairs``: the whole sets, from one carrier document of each."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
     carriers = salted_join(info, wanted, ["class"], ["doc_id"]).groupBy("class").agg(F.min("doc_id").alias("carrier"))
     table = own.sparkSession.sparkContext.broadcast(_table(wanted, "class", table_bits))
 
@@ -294,18 +316,26 @@ def _joined(own: DataFrame, info: DataFrame, candidates: DataFrame, many: DataFr
         return pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array(hashes[keep]), pa.array(rows, pa.binary())], ["doc_id", "class", "own"])
 
     found = _scan(own, f"doc_id {id_type}, class bigint, own binary", whole)
-    sets = materialize(
+    return materialize(
         found.join(carriers, (found["doc_id"].eqNullSafe(carriers["carrier"])) & (found["class"] == carriers["class"]))
         .select(found["class"], "own").dropDuplicates(["class"]),
         "sets",
     )
-    links = materialize(_verified(candidates, sets).unionAll(_verified(_leaders(many, None, 0), sets)), "verified")
+
+
+def _joined(
+    own: DataFrame, info: DataFrame, candidates: DataFrame, entries: DataFrame, few: DataFrame, many: DataFrame, table_bits: int,
+    id_type: str,
+) -> DataFrame:
+    pairs = materialize(candidates.unionAll(_counted(_leaders(many, None, 0), entries)).distinct(), "pairs")
+    links = materialize(_verified(pairs, _whole_sets(own, info, pairs, table_bits, id_type)), "verified")
     labels = connected_components(links)
     for turn in (1, 2):
-        pairs = materialize(_leaders(many, labels, turn) if turn == 1 else _residual(many, labels), "pairs")
+        found = _counted(_leaders(many, labels, turn), entries) if turn == 1 else _residual(many, few, labels)
+        pairs = materialize(found, "pairs")
         if pairs.isEmpty():
             continue
-        more = materialize(_verified(pairs, sets), "verified")
+        more = materialize(_verified(pairs, _whole_sets(own, info, pairs, table_bits, id_type)), "verified")
         if not more.isEmpty():
             links = links.unionAll(more)
             labels = connected_components(links)
