@@ -5,6 +5,7 @@ import random
 import pandas as pd
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from timberline.llm import bpe
@@ -46,6 +47,15 @@ def test_documents(tokens, known):
         assert encoder.encode(text) == known.encode_ordinary(text)
 
 
+def test_runs_of_a_letter(tokens, known):
+    own = bpe.Transducer(tokens)
+    for letter in "abcdefghijklmnopqrstuvwxyz=-_.é":
+        for n in range(1, 70):
+            for piece in (letter * n, " w" + letter * n, letter * n + "x"):
+                for part in regex.findall(P.PATTERN, piece):
+                    assert own.encode(part.encode()) == known.encode_ordinary(part), part
+
+
 def test_few_states(tokens, known):
     small = bpe.Transducer(tokens, max_states=50)
     rng = random.Random(2)

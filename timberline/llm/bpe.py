@@ -75,14 +75,14 @@ class Transducer:
         self.states = {b"": self.root}
 
     def merged(self, data: bytes, trace: list | None = None) -> list[int]:
-        """Plain merging by rank. ``trace`` gets the merged pairs."""
+        """Plain merging by rank. ``trace`` gets the place, the number of parts and the result of every merge."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if best == 1 << 60:
                 break
             if trace is not None:
-                trace.append((parts[at], parts[at + 1]))
+                trace.append((at, len(parts), parts[at] + parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
@@ -98,9 +98,7 @@ class Transducer:
                 self.edges[key] = None
             else:
                 own = [data[-1:] if right else data[:1]]
-                for a, b in trace:
-                    if own[-1] == (b if right else a) and (data.endswith if right else data.startswith)(a + b) and len(a + b) > len(own[-1]):
-                        own.append(a + b)
+                own += [made for at, parts, made in trace if at == (parts - 2 if right else 0)]
                 self.edges[key] = [(x, self.ranks[y] if y else 1 << 60) for x, y in zip(own, [*own[1:], b""], strict=True)]
         return self.edges[key]
 
