@@ -21,8 +21,8 @@ FIND_ISO_UTC = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z"
 FIND_DATETIME = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 FIND_US = r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}"
 
-# Month names, four characters apart.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+# Month names.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _FRACTION = r"(?:[.,]\d+)?"
 _WHOLE_ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}T\d{{1,2}}:\d{{2}}:\d{{2}}{_FRACTION}(?:Z|[+-]\d{{2}}:\d{{2}})\z"
@@ -34,8 +34,8 @@ _CLF_PARTS = (
 
 
 def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit(MONTHS), F.lower(name))
-    return F.when(at > 0, F.lpad(F.floor((at + 3) / 4).cast("string"), 2, "0"))
+    at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name))
+    return F.when(at > 0, F.lpad(at.cast("string"), 2, "0"))
 
 
 def _cast(text: Column) -> Column:

@@ -80,11 +80,16 @@ def _json_time_value(doc: Column) -> Column:
     return F.coalesce(*candidates)
 
 
+# microseconds in 64 bits
+MAX_SECONDS = 9_223_372_036_854.0
+
+
 def _json_time(value: Column, formats: Sequence[str], year: Column) -> Column:
     """A string in a known format, or epoch seconds / milliseconds (fractions cut off)."""
     number = F.try_variant_get(value, "$", "double")
-    in_seconds = F.abs(number) <= 2e11
-    in_millis = number.between(1e12, 9e15) & (number > 1e12)
+    # all that a timestamp can hold; numbers above 1e12 are milliseconds
+    in_seconds = number.between(-MAX_SECONDS, 1e12)
+    in_millis = (number > 1e12) & (number <= MAX_SECONDS * 1000)
     return (
         F.when(
             F.schema_of_variant(value) == "STRING",

@@ -25,12 +25,14 @@ def redact_entries(
     names: Sequence[str] | None = None,
     enabled: bool = True,
     redact_fields: bool = False,
+    compat: bool = False,
     **options,
 ) -> DataFrame:
-    """Redact ``message``, and ``raw`` where it differs from it; adds ``redacted_count``.
+    """Redact ``message`` and ``raw``; adds ``redacted_count``.
 
-    A value in both counts twice. ``redact_fields`` also treats field values and the
-    source (not counted).
+    A value in both counts twice, unless ``raw`` is just the message. ``redact_fields`` also
+    treats field values and the source (not counted). ``compat`` leaves a ``raw`` that equals
+    the message as it is, secrets included.
     """
     if not enabled:
         return entries.withColumn("redacted_count", F.lit(0).cast("bigint"))
@@ -44,7 +46,8 @@ def redact_entries(
             "_raw", F.when(raw != message, rd.redact_and_count(raw, names, **options))
         )
         count = count + F.coalesce(F.col("_raw.count"), F.lit(0))
-        changed["raw"] = F.coalesce(F.col("_raw.text"), raw)
+        same = raw if compat else F.col("_message.text")
+        changed["raw"] = F.coalesce(F.col("_raw.text"), F.when(raw == message, same).otherwise(raw))
     if redact_fields:
         if "fields" in columns:
             changed["fields"] = F.transform_values(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from timberline.operators.prompts import OPENINGS, SYSTEM_PROMPTS
-
 LEVELS = ("DEBUG", "INFO", "WARN", "ERROR", "FATAL", "UNKNOWN")
 
 # what parsing each rendered line must give
@@ -109,22 +107,22 @@ FROM entries GROUP BY 1 ORDER BY count DESC, key LIMIT {n}"""
 
 # -- redaction, in the RE2 dialect
 
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-_H = "[0-9a-fA-F]{1,4}"
+# The patterns, as RE2 writes them.
 REGEX = {
-    "ipv4": ("IPV4", rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b"),
+    "ipv4": ("IPV4", r"\b(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"),
     "ipv6": (
         "IPV6",
-        "|".join(
-            [f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,7}}:", f"(?:{_H}:){{1,6}}:{_H}"]
-            + [f"(?:{_H}:){{1,{6 - i}}}(?::{_H}){{1,{i + 1}}}" for i in range(1, 5)]
-            + [
-                f"{_H}:(?::{_H}){{1,6}}",
-                f":(?::{_H}){{1,7}}",
-                rf"::(?:[fF]{{4}}(?::0{{1,4}}){{0,1}}:){{0,1}}(?:{_OCTET}\.){{3}}{_OCTET}",
-                rf"(?:{_H}:){{1,4}}:(?:{_OCTET}\.){{3}}{_OCTET}",
-            ]
-        ),
+        r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,7}:"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,6}:[0-9a-fA-F]{1,4}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,5}(?::[0-9a-fA-F]{1,4}){1,2}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,4}(?::[0-9a-fA-F]{1,4}){1,3}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,3}(?::[0-9a-fA-F]{1,4}){1,4}"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,2}(?::[0-9a-fA-F]{1,4}){1,5}"
+        r"|[0-9a-fA-F]{1,4}:(?::[0-9a-fA-F]{1,4}){1,6}"
+        r"|:(?::[0-9a-fA-F]{1,4}){1,7}"
+        r"|::(?:[fF]{4}(?::0{1,4}){0,1}:){0,1}(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+        r"|(?:[0-9a-fA-F]{1,4}:){1,4}:(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)",
     ),
     "email": ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
     "api_key": (
@@ -134,7 +132,9 @@ REGEX = {
     "aws_key": ("AWS_KEY", r"\bAKIA[0-9A-Z]{16}\b"),
     "jwt": ("JWT", r"\beyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\b"),
     "private_key": ("PRIVATE_KEY", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    "mac_address": ("MAC", r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b"),
     "credit_card": ("CC", r"\b(?:\d{4}[-\s]?){3}\d{4}\b"),
+    "uuid": ("UUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"),
 }
 
 
@@ -169,10 +169,54 @@ f AS (SELECT unnest(found) AS x FROM s{len(REDACTED)}),
 v AS (SELECT x.v AS value, arg_min(x.kind, x.o) AS type FROM f GROUP BY 1)"""
 
 
+ALL_PATTERNS = (*REGEX,)
+PLANTED = """'from 10.' || (c_custkey % 250) || '.0.7 and 2001:db8::' || (c_custkey % 99 + 1) || ' by u' || c_custkey || '@example.org token=abcdefgh'
+|| c_custkey || ' AKIA' || lpad(c_custkey::VARCHAR, 16, '0') || ' eyJ' || c_custkey || '.eyJ' || c_custkey || '.sig -----BEGIN EC PRIVATE KEY----- 00:1b:44:11:3a:'
+|| lpad((c_custkey % 90 + 10)::VARCHAR, 2, '0') || ' 4000-1234-5678-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' 123e4567-e89b-12d3-a456-' || lpad(c_custkey::VARCHAR, 12, '0')"""
+
+
 def sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Mining line by line: in every leaf, one step for each message, with the leaf's templates as state.
+# '#' is a variable token; a token of a message is never '<*>' here.
+MINED = f"""{ENTRIES.replace("WITH ev", "WITH RECURSIVE ev", 1)},
+w AS (SELECT seq, message, string_split({masked("message", "#")}, ' ') AS words FROM entries WHERE message <> ''),
+routed AS (
+  SELECT *, len(words) || ' ' || array_to_string(list_transform(words[1:3], lambda x: CASE WHEN x = '#' THEN '<*>' ELSE x END), ' ') AS leaf
+  FROM w),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY seq) AS r FROM routed),
+step AS (
+  SELECT DISTINCT leaf, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::BIGINT AS hit, CAST([] AS VARCHAR[][]) AS tpl FROM rows_
+  UNION ALL
+  SELECT leaf, r, seq, coalesce(hit, len(tpl) + 1),
+         CASE WHEN hit IS NULL THEN list_append(tpl, list_transform(words, lambda x: CASE WHEN x = '#' THEN '<*>' ELSE x END))
+              ELSE list_transform(tpl, lambda t, i: CASE WHEN i = hit
+                     THEN list_transform(t, lambda x, j: CASE WHEN x = words[j] THEN x ELSE '<*>' END) ELSE t END) END
+  FROM (
+    SELECT s.leaf, n.r, n.seq, n.words, s.tpl,
+           list_position(list_transform(s.tpl, lambda t:
+             len(list_filter(t, lambda x, j: x = '<*>' OR x = n.words[j])) >= 0.5 * len(t)), true) AS hit
+    FROM step s JOIN rows_ n ON s.leaf = n.leaf AND n.r = s.r + 1)),
+final AS (SELECT leaf, unnest(tpl) AS tokens, generate_subscripts(tpl, 1) AS hit FROM (SELECT leaf, arg_max(tpl, r) AS tpl FROM step GROUP BY leaf)),
+hits AS (SELECT s.leaf, s.hit, s.seq, n.message FROM step s JOIN rows_ n ON s.leaf = n.leaf AND s.r = n.r),
+counted AS (SELECT leaf, hit, count(*) AS count, min(seq) AS first FROM hits GROUP BY leaf, hit),
+mined AS (
+  SELECT c.*, 'T_' || row_number() OVER (ORDER BY first) AS template_id, array_to_string(tokens, ' ') AS pattern
+  FROM counted c JOIN final f ON c.leaf = f.leaf AND c.hit = f.hit)"""
+
+# what the system turn of each task says
+PROMPT_TEXTS = """WITH hand AS (SELECT 'The input is a digest of log lines: message patterns with counts, levels and a few examples. '
+  || '<*> stands for a part that varied. Lines that are not in the digest are unknown to you.' || chr(10) || chr(10) AS start),
+system AS (SELECT task, start || wanted AS content FROM hand, (VALUES
+  ('summarize', 'Tell an on-call engineer in at most 200 words what this system was doing, which of it deserves attention, and the one thing to do next.'),
+  ('root_cause', 'State the most likely cause of the trouble in your first sentence. Follow with the chain of patterns that supports it, each with its count, and with a second candidate if the digest allows one. Close with the single log line that would settle the question.'),
+  ('anomaly_detection', 'List patterns whose count or level does not fit the rest, one per line, the oddest first, as: pattern | why it is odd | how sure you are (0-100). Write ''none'' if there are none.'),
+  ('natural_language_query', 'Reply to the question from the digest alone, in one or two sentences, naming the patterns you relied on. If they do not answer it, reply ''not in these logs''.'),
+  ('structured_output', 'First discuss the digest freely. Once asked for JSON, send a single object with the keys summary (text), severity (info, warning, error or critical), key_findings (list of texts), timeline (list of {timestamp, event}), root_cause (text or null), anomalies (list of {description, severity, evidence}) and recommendations (list of texts).')
+) AS t(task, wanted))"""
+
 CONTEXT_POS = f"""{ENTRIES},
 p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS pos FROM entries)"""
 
@@ -192,8 +236,21 @@ kv AS (
   UNION ALL SELECT line, 'user', 'u' || u FROM entries WHERE shape = 2 AND u % 2 = 0)
 SELECT line, key, value FROM kv""",
     "format_counts": f"{ENTRIES} SELECT format, count(*) AS count FROM entries GROUP BY format",
-    "level_spellings": """SELECT CASE WHEN event_type IN ('error', 'err') THEN 'ERROR' ELSE 'UNKNOWN' END AS level,
-count(*) AS count FROM events GROUP BY 1""",
+    "level_spellings": """SELECT CASE event_id % 16 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'DEBUG' WHEN 2 THEN 'INFO' WHEN 3 THEN 'INFO'
+  WHEN 4 THEN 'WARN' WHEN 5 THEN 'WARN' WHEN 6 THEN 'ERROR' WHEN 7 THEN 'ERROR' WHEN 8 THEN 'FATAL' WHEN 9 THEN 'FATAL'
+  WHEN 10 THEN 'FATAL' ELSE 'UNKNOWN' END AS level, event_id % 16 AS spelling, count(*) AS count FROM events GROUP BY 1, 2""",
+    "json_times": """SELECT event_id AS line, CASE event_id % 8
+  WHEN 0 THEN (1700000000 + event_id) * 1000000 WHEN 1 THEN (1700000000000 + event_id) * 1000
+  WHEN 2 THEN (500000000000 + event_id) * 1000000 WHEN 3 THEN 1000000000000 * 1000000
+  WHEN 4 THEN -(300000000000 + event_id) * 1000000 WHEN 5 THEN (1000000000001 + event_id) * 1000
+  WHEN 6 THEN (1600000000 + event_id) * 1000000 ELSE NULL END::BIGINT AS micros FROM events""",
+    "generic_times": """SELECT event_id AS line, CASE event_id % 7
+  WHEN 0 THEN epoch_us(date_trunc('second', ts) + INTERVAL 5 HOUR)
+  WHEN 1 THEN epoch_us(date_trunc('second', ts))
+  WHEN 2 THEN epoch_us(date_trunc('second', ts)) + 250000
+  WHEN 3 THEN epoch_us(date_trunc('second', ts))
+  WHEN 5 THEN epoch_us(date_trunc('second', ts) - INTERVAL 90 MINUTE)
+  WHEN 6 THEN epoch_us(date_trunc('second', ts)) END AS micros FROM events""",
     "read_files": f"""{ENTRIES} SELECT count(*) AS total_lines, count(*) AS distinct_lines, 1::BIGINT AS first_line,
 0::BIGINT AS missing_lines, count(*) AS equal_positions, count(*) FILTER (level = 'ERROR') AS errors FROM entries""",
     "search_pattern": kept("shape <> 2 AND e % 500 >= 400"),
@@ -281,9 +338,12 @@ CASE WHEN strlen(message) > 80 THEN message[1:77] || '...' ELSE message END AS m
 r AS (SELECT *, sha256('10.0.' || (u % 256) || '.' || (e % 256))[1:4] AS h0, sha256('10.1.0.' || (u % 256))[1:4] AS h1 FROM entries)
 SELECT file, line, replace(message, '10.0.' || (u % 256) || '.' || (e % 256), '[IPV4:' || h0 || ']') AS message,
   CASE WHEN shape = 2 THEN '[IPV4:' || h1 || ']' || raw[strlen('10.1.0.' || (u % 256)) + 1:]
-       WHEN raw = message THEN raw  -- only a raw line that differs is redacted too
        ELSE replace(raw, '10.0.' || (u % 256) || '.' || (e % 256), '[IPV4:' || h0 || ']') END AS raw,
   CAST(CASE WHEN shape = 2 THEN 1 WHEN raw = message THEN 1 ELSE 2 END AS BIGINT) AS redacted_count FROM r""",
+    "redact_all_patterns": f"""WITH planted AS (SELECT c_custkey, {PLANTED} AS text FROM customer),
+{redaction_steps("planted", "c_custkey", "text", ALL_PATTERNS)}
+SELECT s.c_custkey, s.t AS text, s.n AS redacted_count, p.text AS switched_off
+FROM s{len(ALL_PATTERNS)} s JOIN planted p ON s.c_custkey = p.c_custkey""",
     "redact_pages": f"""WITH {redaction_steps("pages", "page_id", "html", ("email", "ipv4"))}
 SELECT page_id, n AS redacted_count, sha256(t) AS html_hash FROM s2""",
     "token_estimates": f"""WITH x AS (SELECT *, array_to_string({tokens("text")}, ' ') AS plain FROM conversations)
@@ -301,7 +361,13 @@ SELECT conv_id, turn, round(s, 6)::DOUBLE AS similarity, s >= 0.5 AS matches,
   array_to_string(list_transform(range(1, longest + 1), lambda i: CASE WHEN a[i] = b[i] THEN a[i] ELSE '<*>' END), ' ') AS merged FROM q""",
     "short_hashes": """SELECT c_custkey, sha256(c_name)[1:4] AS hash4, lower(c_name) AS normalized,
 '[EMAIL:' || sha256(lower(c_name))[1:4] || ']' AS placeholder FROM customer""",
-    "template_totals": f"{ENTRIES} SELECT count(*) AS total_log_count FROM entries",
+    "mine_templates": f"""{MINED},
+early AS (SELECT *, row_number() OVER (PARTITION BY leaf, hit ORDER BY seq) AS k FROM hits)
+SELECT template_id, pattern, count, string_agg(message, '|' ORDER BY seq) AS examples
+FROM mined m JOIN early e ON m.leaf = e.leaf AND m.hit = e.hit WHERE k <= 3 GROUP BY ALL""",
+    "template_assignments": f"""{MINED} SELECT seq, template_id, pattern
+FROM hits h JOIN mined m ON m.leaf = h.leaf AND m.hit = h.hit""",
+    "template_totals": f"""{MINED} SELECT count(*) AS template_count, sum(count)::BIGINT AS total_log_count FROM mined""",
     "first_match": f"""{ENTRIES},
 t AS (SELECT {masked("message")} AS pattern, count(*) AS n, min(seq) AS first_seq FROM entries GROUP BY 1),
 k AS (SELECT DISTINCT {masked("message", "#")} AS key FROM entries),
@@ -325,9 +391,24 @@ CAST(sum(CASE WHEN shape = 2 THEN 1 WHEN raw = message THEN 1 ELSE 2 END) AS BIG
 v AS (SELECT '10.0.' || (u % 256) || '.' || (e % 256) AS ip FROM entries WHERE shape <> 2
       UNION SELECT '10.1.0.' || (u % 256) FROM entries WHERE shape = 2)
 SELECT 'IPV4' AS type, count(*) AS count FROM v""",
-    "prompts": f"""SELECT doc_id, 0 AS n, 'system' AS role, {sql_text(SYSTEM_PROMPTS["root_cause"])} AS content FROM documents
-UNION ALL SELECT doc_id, 1, 'user', {sql_text(OPENINGS["root_cause"])} || 'Source file: ' || source || chr(10) || chr(10)
+    "prompts": f"""{PROMPT_TEXTS} SELECT doc_id, 0 AS n, 'system' AS role, content FROM documents, system WHERE task = 'root_cause'
+UNION ALL SELECT doc_id, 1, 'user', 'Perform a root cause analysis on the following log summary:' || chr(10) || chr(10)
+|| 'Source file: ' || source || chr(10) || chr(10)
 || text || chr(10) || chr(10) || 'Note: Filtered by level: error; Time window applied: 5m.' || chr(10) FROM documents""",
+    "task_prompts": f"""{PROMPT_TEXTS},
+turns AS (
+  SELECT conv_id, turn, task, content, text,
+    CASE task WHEN 'root_cause' THEN 'Perform a root cause analysis on the following log summary:'
+              WHEN 'anomaly_detection' THEN 'Identify anomalies in the following log summary:'
+              ELSE 'Analyze the following log summary:' END || chr(10) || chr(10) || 'Source files (2): a.log, b.log' || chr(10) || chr(10)
+      || text || chr(10) || chr(10) AS asked
+  FROM conversations, system WHERE text <> '')
+SELECT conv_id, turn, task, 0 AS n, 'system' AS role, content FROM turns
+UNION ALL SELECT conv_id, turn, task, 1, 'user', CASE task WHEN 'natural_language_query' THEN
+  'Question: Why?' || chr(10) || chr(10) || 'Log Summary:' || chr(10) || text ELSE asked END FROM turns
+UNION ALL SELECT conv_id, turn, task, 2, 'assistant', role_ FROM (SELECT *, 'It is ' || turn AS role_ FROM turns) WHERE task = 'structured_output'
+UNION ALL SELECT conv_id, turn, task, 3, 'user', 'JSON, please: the object with the seven keys, and no text around it.' FROM turns
+WHERE task = 'structured_output'""",
     "question_prompts": """SELECT conv_id, turn, 'Question: What failed?' || chr(10) || chr(10) || 'Log Summary:' || chr(10)
 || text || 'Note: Filtered by pattern: ' || turn || '.' || chr(10) AS content FROM conversations""",
     "follow_stream": f"""{ENTRIES} SELECT format, ts, level, message, source FROM entries

@@ -13,11 +13,12 @@ from timberline.functions import redaction as rd
 from timberline.functions import tokens as tk
 from timberline.functions.levels import level_name, level_ordinal, parse_level
 from timberline.functions.text import estimate_tokens, truncate
+from timberline.functions.timestamps import CLF
 from timberline.operators import compress as cp
 from timberline.operators import filters, redact, search, stats, windows
 from timberline.operators import templates as tp
-from timberline.operators.parse import detect_format
-from timberline.operators.prompts import build_prompts
+from timberline.operators.parse import detect_format, parse_logs
+from timberline.operators.prompts import TASKS, build_prompts
 from timberline.plans.rendered import YEAR, event_lines, event_logs
 from timberline.session import configure, materialize, shared_dir, spread
 from timberline.sources import sinks
@@ -80,13 +81,56 @@ def format_counts(spark, folder):
     )
 
 
+SPELLINGS = (
+    "debug", "DBG", "Info", "inf", "WARN", "warning", "error", "Err", "fatal", "CRITICAL", "crit",
+    "", "trace", "notice", "x", "information",
+)
+
+
 def level_spellings(spark, folder):
-    kinds = table(spark, folder, "events")
-    return kinds.groupBy(parse_level(F.upper("event_type")).alias("level")).agg(
+    nth = F.col("event_id") % len(SPELLINGS)
+    word = F.get(F.array(*[F.lit(w) for w in SPELLINGS]), nth.cast("int"))
+    return table(spark, folder, "events").groupBy(parse_level(word).alias("level"), nth.alias("spelling")).agg(
         F.count("*").alias("count")
     )
 
 
+def _micros(lines: DataFrame, **options) -> DataFrame:
+    """Times far beyond the calendar compare as numbers."""
+    return parse_logs(lines, **options).select("line", F.unix_micros("ts").alias("micros"))
+
+
+def json_times(spark, folder):
+    """Numeric times: seconds, milliseconds, around their border, before 1970, too large."""
+    e = F.col("event_id")
+    number = (
+        F.when(e % 8 == 0, 1700000000 + e).when(e % 8 == 1, 1700000000000 + e).when(e % 8 == 2, 500000000000 + e)
+        .when(e % 8 == 3, F.lit(1000000000000)).when(e % 8 == 4, -(300000000000 + e)).when(e % 8 == 5, 1000000000001 + e)
+        .when(e % 8 == 6, 1600000000 + e).otherwise(F.lit(9223372036854775807))
+    ).cast("string")
+    # some with a fraction, which is cut off
+    number = F.when(e % 8 == 6, F.concat(number, F.lit(".75"))).otherwise(number)
+    raw = F.concat(F.lit('{"ts": '), number, F.lit(', "msg": "x"}'))
+    return _micros(table(spark, folder, "events").select(e.alias("line"), raw.alias("raw")))
+
+
+def generic_times(spark, folder):
+    """Zone offsets, US dates, fractions, formats of the user, and months that are none."""
+    e, at = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    raw = (
+        F.when(e % 7 == 0, F.concat(F.lit("x "), iso, F.lit("-05:00 INFO a")))
+        .when(e % 7 == 1, F.concat(F.date_format(at, "MM/dd/yyyy HH:mm:ss"), F.lit(" ERROR b")))
+        .when(e % 7 == 2, F.concat(F.lit("["), iso, F.lit(".25Z] c")))
+        .when(e % 7 == 3, F.concat(F.date_format(at, "dd.MM.yyyy HH-mm-ss"), F.lit(" d")))
+        .when(e % 7 == 4, F.concat(F.date_format(at, "dd/"), F.lit("an /"), F.date_format(at, "yyyy:HH:mm:ss"), F.lit(" +0000 e")))
+        .when(e % 7 == 5, F.concat(F.date_format(at, "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0130 f")))
+        .otherwise(F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" g")))
+    )
+    lines = table(spark, folder, "events").select(e.alias("line"), raw.alias("raw"))
+    return _micros(lines, ts_formats=["dd.MM.yyyy HH-mm-ss", CLF])
+
+
 def read_files(spark, folder):
     """Rendered lines written as text files, read back with exact line numbers."""
     path = f"{shared_dir(spark)}/timberline/files-{uuid.uuid4().hex}"
@@ -208,6 +252,24 @@ def redact_entries(spark, folder):
     )
 
 
+def redact_all_patterns(spark, folder):
+    """A text with one value of every pattern for each customer, redacted and with redaction off."""
+    c = F.col("c_custkey")
+
+    def padded(value, width):
+        return F.lpad(value.cast("string"), width, "0")
+
+    text = F.concat(
+        F.lit("from 10."), c % 250, F.lit(".0.7 and 2001:db8::"), c % 99 + 1, F.lit(" by u"), c, F.lit("@example.org token=abcdefgh"), c,
+        F.lit(" AKIA"), padded(c, 16), F.lit(" eyJ"), c, F.lit(".eyJ"), c, F.lit(".sig -----BEGIN EC PRIVATE KEY----- 00:1b:44:11:3a:"),
+        padded(c % 90 + 10, 2), F.lit(" 4000-1234-5678-"), padded(c % 10000, 4), F.lit(" 123e4567-e89b-12d3-a456-"), padded(c, 12),
+    )
+    rows = table(spark, folder, "customer").select("c_custkey", text.alias("text"))
+    done = redact.redact_column(rows, "text", list(rd.CATALOGUE))
+    off = redact.redact_entries(rows.select("c_custkey", F.col("text").alias("message")), enabled=False)
+    return done.join(off.select("c_custkey", F.col("message").alias("switched_off")), "c_custkey")
+
+
 def redact_pages(spark, folder):
     pages = table(spark, folder, "pages")
     done = redact.redact_column(pages.select("page_id", "html"), "html", ["email", "ipv4"])
@@ -279,7 +341,7 @@ def template_assignments(spark, folder):
 
 def template_totals(spark, folder):
     mined = tp.mine_templates(event_logs(spark, folder))
-    return mined.totals().select("total_log_count")
+    return mined.totals()
 
 
 def _masked_templates(entries: DataFrame) -> DataFrame:
@@ -347,7 +409,8 @@ def compress_stats(spark, folder):
 
 
 def compress_redacted_types(spark, folder):
-    return cp.compress_logs(event_logs(spark, folder)).redacted_types()
+    """What compression reports as redacted, without the mining."""
+    return redact.redacted_type_counts(redact.redacted_values(event_logs(spark, folder)))
 
 
 def prompts(spark, folder):
@@ -360,6 +423,18 @@ def prompts(spark, folder):
     )
 
 
+def task_prompts(spark, folder):
+    """Every task on every turn of the conversations, with the second pass for structured output."""
+    turns = table(spark, folder, "conversations").where("text <> ''").select("conv_id", "turn", F.col("text").alias("summary"))
+    out = None
+    for task in TASKS:
+        reply = F.concat(F.lit("It is "), F.col("turn")) if task == "structured_output" else None
+        built = build_prompts(turns, task, question="Why?", files=["a.log", "b.log"], first_response=reply)
+        rows = built.select("conv_id", "turn", F.lit(task).alias("task"), F.posexplode("messages").alias("n", "m"))
+        out = rows if out is None else out.unionAll(rows)
+    return out.select("conv_id", "turn", "task", "n", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
 def question_prompts(spark, folder):
     turns = table(spark, folder, "conversations").select(
         "conv_id", "turn", F.col("text").alias("summary")
@@ -400,6 +475,8 @@ QUERIES = {
     "parse_fields": parse_fields,
     "format_counts": format_counts,
     "level_spellings": level_spellings,
+    "json_times": json_times,
+    "generic_times": generic_times,
     "read_files": read_files,
     "search_pattern": _kept(lambda: filters.search_filter(pattern=r"took 4\d\d ms")),
     "search_inverted": _kept(lambda: filters.search_filter(pattern=r"took \d+ ms", invert=True)),
@@ -442,6 +519,7 @@ QUERIES = {
     "redacted_types": redacted_types,
     "redact_entries": redact_entries,
     "redact_pages": redact_pages,
+    "redact_all_patterns": redact_all_patterns,
     "token_estimates": token_estimates,
     "template_frequency": template_frequency,
     "document_frequency": document_frequency,
@@ -457,6 +535,7 @@ QUERIES = {
     "compress_stats": compress_stats,
     "compress_redacted_types": compress_redacted_types,
     "prompts": prompts,
+    "task_prompts": task_prompts,
     "question_prompts": question_prompts,
     "follow_stream": follow_stream,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,13 +35,33 @@ def expand_paths(spark: SparkSession, patterns: str | Sequence[str]) -> list[str
     return sorted(found)
 
 
+def file_name() -> Column:
+    """The path a line was read from, as it is spelled in the file system."""
+    # the metadata column holds a URI, in which a plus sign is only itself
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:(//)?", "")
+
+
+def literal_path(path: str) -> str:
+    """``path`` with the characters that would make it a pattern escaped."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def sequence_number(file_no: Column, line: Column) -> Column:
+    """Orders all lines of all files; an error beyond 8,388,608 files or 2^40 lines in one."""
+    fits = (file_no < (1 << (63 - _LINE_BITS))) & (line < (1 << _LINE_BITS))
+    return F.when(fits, F.shiftleft(file_no.cast("bigint"), _LINE_BITS) + line).otherwise(
+        F.raise_error(F.lit("too many files or lines for one sequence")).cast("bigint")
+    )
+
+
 def _scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     value = F.col("value")
     return (
         spark.read.option("lineSep", "\n")
-        .text(list(paths))
+        .text([literal_path(p) for p in paths])
         .select(
-            F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("file"),
+            file_name().alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.when(value.endswith("\r"), F.substr(value, F.lit(1), F.length(value) - 1))
             .otherwise(value)
@@ -98,8 +119,7 @@ def read_lines(
     sorted. ``numbered=False`` skips that and gives ``file, raw``.
     """
     configure(spark)
-    several = not isinstance(paths, str)
-    files = expand_paths(spark, paths) if several else [paths]
+    files = expand_paths(spark, paths)
     if not numbered:
         scan = _scan(spark, files)
         return scan.where(~is_blank(F.col("raw"))).select("file", "raw")
@@ -136,7 +156,7 @@ def read_lines(
         "file",
         "line",
         "pos",
-        (F.shiftleft(F.col("file_no").cast("bigint"), _LINE_BITS) + F.col("line")).alias("seq"),
+        sequence_number(F.col("file_no"), F.col("line")).alias("seq"),
         "raw",
     )
 
@@ -164,7 +184,7 @@ def with_sequence(entries: DataFrame) -> DataFrame:
     )
     return entries.join(numbers, "file").select(
         *entries.columns,
-        (F.shiftleft("file_no", _LINE_BITS) + F.col("line")).alias("seq"),
+        sequence_number(F.col("file_no"), F.col("line")).alias("seq"),
     )
 
 

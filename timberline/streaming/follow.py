@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,20 +17,22 @@ from timberline.operators.filters import tail_filter
 from timberline.operators.parse import parse_logs
 from timberline.operators.search import last_entries
 from timberline.session import configure
-from timberline.sources.text import read_logs
+from timberline.sources.text import file_name, read_logs
 
 
 def follow_lines(
-    spark: SparkSession, folder: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, max_files_per_trigger: int | None = None, with_block: bool = False
 ) -> DataFrame:
-    """Streaming ``file, raw`` of the segments in ``folder``."""
+    """Streaming ``file, raw`` of the segments in ``folder``; ``with_block`` adds the offset of the split."""
     configure(spark)
     reader = spark.readStream.format("text").option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     value = F.col("value")
+    block = [F.col("_metadata.file_block_start").alias("_block")] if with_block else []
     return reader.load(folder).select(
-        F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("file"),
+        *block,
+        file_name().alias("file"),
         F.when(value.endswith("\r"), F.substr(value, F.lit(1), F.length(value) - 1))
         .otherwise(value)
         .alias("raw"),
@@ -46,9 +48,10 @@ def follow_logs(
     reference_year: int | None = None,
     redact: bool = False,
     max_files_per_trigger: int | None = None,
+    with_block: bool = False,
 ) -> DataFrame:
     """Streaming entries that pass the level and pattern filters; stateless, append mode."""
-    lines = follow_lines(spark, folder, max_files_per_trigger)
+    lines = follow_lines(spark, folder, max_files_per_trigger, with_block)
     entries = parse_logs(lines, ts_formats, reference_year).where(tail_filter(min_level, pattern))
     if redact:
         entries = entries.withColumn("message", rd.redact(F.col("message"))).withColumn(
@@ -86,17 +89,21 @@ def tail_and_follow(
     last lines; later ones are passed on whole. A restart with the same ``checkpoint``
     resumes after the segments already seen.
     """
-    stream = follow_logs(spark, folder, min_level, pattern, reference_year=reference_year)
-    keep = tail_filter(min_level, pattern)
+    stream = follow_logs(
+        spark, folder, min_level, pattern, reference_year=reference_year, with_block=True
+    )
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         if batch_id == 0:
-            files = [row.file for row in batch.select("file").distinct().toLocalIterator()]
-            if not files:
-                return
-            present = read_logs(spark, files, reference_year=reference_year)
-            batch = last_entries(present, lines, keep).select(*batch.columns)
-        on_batch(batch, batch_id)
+            # rows of a split come in order, and splits of a file by their offset
+            newest = Window.partitionBy("file").orderBy(F.desc("_block"), F.desc("_row"))
+            batch = (
+                batch.withColumn("_row", F.monotonically_increasing_id())
+                .withColumn("_nth", F.row_number().over(newest))
+                .where(F.col("_nth") <= lines)
+                .drop("_row", "_nth")
+            )
+        on_batch(batch.drop("_block"), batch_id)
 
     return (
         stream.writeStream.foreachBatch(deliver)
