@@ -4,17 +4,17 @@ A document's set holds its distinct five-word shingles as 64-bit hashes. Equal s
 so that copies cost one row. Two classes link when 100 * intersection >= 75 * union. The product of
 the incidence matrix with itself is never formed whole:
 
-* Columns are ordered by rarity (a fixed-size sketch of counts tells the very common ones) and then
-  by hash. A class of n shingles can only link with one that shares one of its first
-  n - ceil(0.75 n) + 1 columns, so only these entries are multiplied, and of them only the columns
-  that two documents have. The latter are found by a distributed count and kept in a bit table of
-  fixed size; a full table only lets more entries through.
+* Columns are ordered by hash, common ones last. A class of n shingles can only link with one that
+  shares one of its first n - ceil(0.75 n) + 1 columns, so only these entries are multiplied, and of
+  them only the columns that two documents have. Both kinds of columns are found by distributed
+  counts, the common ones in a first pass by hash alone, and kept in bit tables of fixed size. Any
+  table gives right results; a full one only lets more entries through.
 * Columns of at most ``COLD`` classes give all their pairs. Overlap counts are accumulated over the
   columns, and a pair is discarded if what they have in common, all hot columns of either and the
   rest of the larger set can't reach 3/7 of the sum of both sizes, or if the sizes are too unequal.
-* Hot columns only compare their members with one leader at a time; two rounds, with different
-  leaders, join most of what links. Members of a hot column that are still in different components
-  after that are compared pair by pair, so no link between components is lost.
+* Hot columns first compare their members with one leader each, which joins most of what links.
+  Members that are still in different components after that are paired, with the same bound on the
+  overlap, so that no link between components is lost.
 * Pairs that are left are verified on the whole sets.
 
 Components need no pair whose ends are joined already, so links within a component are not all
@@ -40,7 +40,6 @@ from timberline.llm.components import connected_components
 from timberline.session import materialize
 
 WORDS = 5
-SKETCH_BITS = 18
 TABLE_BITS = 26
 COLD = 8
 
@@ -65,6 +64,19 @@ def _chain(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return h
 
 
+_POWERS = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, kept by the worker."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(n, base, _U)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; all words of the texts are hashed at once."""
     data = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
@@ -72,15 +84,13 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     buffer = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
     if not len(buffer):
         return []
-    power = np.full(len(buffer), _BASE, _U)
-    power[0] = 1
-    inverse = np.full(len(buffer), _BASE_INVERSE, _U)
-    inverse[0] = 1
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum((buffer + _U(1)) * np.cumprod(power))])
+    power, inverse = _powers(len(buffer))
+    sums = np.zeros(len(buffer) + 1, _U)
+    np.cumsum((buffer + _U(1)) * power, out=sums[1:])
     solid = np.concatenate([[False], ~_IS_SPACE[buffer], [False]])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     start, stop = edge[::2], edge[1::2]
-    word = _mix((sums[stop] - sums[start]) * np.cumprod(inverse)[start] + (stop - start).astype(_U) * _U(0xA0761D6478BD642F))
+    word = _mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(_U) * _U(0xA0761D6478BD642F))
     bounds = np.concatenate([[0], np.searchsorted(start, ends)])
     count = max(0, len(word) - words + 1)
     every = _chain(*(word[i : i + count] for i in range(words)))
@@ -124,29 +134,14 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(_U).view(np.int64))
 
 
-def _levels(docs: DataFrame, bits: int) -> np.ndarray:
-    """How far the count of each bucket of shingles lies above the mean, in doublings of its deviation."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for _, texts in _blocks(batches):
-            every = np.concatenate(shingle_sets(texts))
-            total += np.bincount((every >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    counts = docs.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << bits)
-    total[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    mean = max(1.0, total.mean())
-    return np.floor(np.log2(np.maximum(1, (total - mean) / (2 * np.sqrt(mean))))).astype(np.uint8)
-
-
-def _prefix(own: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-    """The rarest shingles of which two linked sets share one."""
-    n = len(own)
-    order = np.lexsort([own, levels[(own >> _U(64 - bits)).astype(np.int64)]])
-    return own[order[: n - (3 * n + 3) // 4 + 1]] if n else own
+def _prefix(own: np.ndarray, common: np.ndarray | None, bits: int) -> np.ndarray:
+    """The first shingles, of which two linked sets share one: by hash, those in the table ``common`` last."""
+    first = len(own) - (3 * len(own) + 3) // 4 + 1
+    if common is None or not len(own):
+        return own[:first]
+    late = _in_table(own, common, bits)
+    rare = own[~late]
+    return rare[:first] if len(rare) >= first else np.concatenate([rare, own[late][: first - len(rare)]])
 
 
 def _table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -194,8 +189,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, table_bits: int = TABLE_BITS,
-    cold: int = COLD,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS, cold: int = COLD
 ) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): ids are the smallest of the same set and of all linked."""
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -207,17 +201,22 @@ def jaccard_components(
         )
 
     info = materialize(_scan(own, f"doc_id {id_type}, n bigint, class bigint", described), "info")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(own, sketch_bits))
+    context = docs.sparkSession.sparkContext
+
+    def heights_of(common) -> DataFrame:
+        """(key, docs) of the first columns that several documents have."""
+
+        def columns(ids, sets):
+            found = [_prefix(s, common and common.value, table_bits) for s in sets]
+            return pa.RecordBatch.from_arrays([_long(np.concatenate(found))], ["key"])
 
-    def columns(ids, sets):
-        found = [_prefix(s, levels.value, sketch_bits) for s in sets]
-        return pa.RecordBatch.from_arrays([_long(np.concatenate(found))], ["key"])
+        return _scan(own, "key bigint", columns).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") > 1)
 
-    shared = _scan(own, "key bigint", columns).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") > 1)
-    table = docs.sparkSession.sparkContext.broadcast(_table(shared, "key", table_bits))
+    common = context.broadcast(_table(heights_of(None).where(F.col("docs") > cold), "key", table_bits))
+    table = context.broadcast(_table(heights_of(common), "key", table_bits))
 
     def entries(ids, sets):
-        found = [_prefix(s, levels.value, sketch_bits) for s in sets]
+        found = [_prefix(s, common.value, table_bits) for s in sets]
         found = [x[_in_table(x, table.value, table_bits)] for x in found]
         sizes = [len(x) for x in found]
         return pa.RecordBatch.from_arrays(
@@ -231,7 +230,7 @@ def jaccard_components(
 
     incidence = materialize(_scan(own, "key bigint, class bigint, n bigint", entries).distinct(), "incidence")
     heights = incidence.groupBy("key").agg(F.count("*").alias("height")).where(F.col("height") > 1)
-    shared_entries = materialize(salted_join(incidence, heights, ["key"], ["class"]), "shared")
+    shared_entries = materialize(salted_join(incidence, heights, ["key"], ["class"], salts=4), "shared")
     few = shared_entries.where(F.col("height") <= cold)
     many = shared_entries.where(F.col("height") > cold)
     pairs = few.select("key", F.col("class").alias("a"), F.col("n").alias("m")).join(
@@ -267,20 +266,13 @@ def _counted(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     return counts.where(_reachable(F.col("common"))).select("a", "b")
 
 
-def _leaders(many: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs of a hot column's members with its leader, if they are not in one component."""
-    if labels is not None:
-        many = _labelled(many, labels)
-    chosen = F.xxhash64(F.col("class"), F.lit(turn)) if turn else F.col("class")
-    first = many.withColumn("order", chosen)
-    best = first.groupBy("key").agg(F.min("order").alias("order"))
-    # the leader of a column is the row with the least order
-    lead = salted_join(first, best.withColumnRenamed("order", "least"), ["key"], ["class"]).where(F.col("order") == F.col("least"))
-    lead = lead.select("key", F.col("class").alias("leader"), F.col("n").alias("m"), *([F.col("label").alias("to")] if labels is not None else []))
+def _leaders(many: DataFrame) -> DataFrame:
+    """Pairs of a hot column's members with its leader, the smallest class."""
+    lead = many.groupBy("key").agg(F.min("class").alias("leader"))
+    sizes = many.select("key", F.col("class").alias("leader"), F.col("n").alias("m"))
+    lead = sizes.join(lead, ["key", "leader"])
     pairs = salted_join(many, lead, ["key"], ["class"]).where((F.col("class") != F.col("leader")) & _sizes_fit("m", "n"))
-    if labels is not None:
-        pairs = pairs.where(F.col("label") != F.col("to"))
-    return pairs.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    return pairs.select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
 
 
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,18 +319,14 @@ def _joined(
     own: DataFrame, info: DataFrame, candidates: DataFrame, entries: DataFrame, few: DataFrame, many: DataFrame, table_bits: int,
     id_type: str,
 ) -> DataFrame:
-    pairs = materialize(candidates.unionAll(_counted(_leaders(many, None, 0), entries)).distinct(), "pairs")
+    pairs = materialize(candidates.unionAll(_counted(_leaders(many), entries)).distinct(), "pairs")
     links = materialize(_verified(pairs, _whole_sets(own, info, pairs, table_bits, id_type)), "verified")
     labels = connected_components(links)
-    for turn in (1, 2):
-        found = _counted(_leaders(many, labels, turn), entries) if turn == 1 else _residual(many, few, labels)
-        pairs = materialize(found, "pairs")
-        if pairs.isEmpty():
-            continue
+    pairs = materialize(_residual(many, few, labels), "pairs")
+    if not pairs.isEmpty():
         more = materialize(_verified(pairs, _whole_sets(own, info, pairs, table_bits, id_type)), "verified")
         if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = connected_components(links)
+            labels = connected_components(links.unionAll(more))
     groups = salted_join(info, labels.select(F.col("node").alias("class"), "label"), ["class"], ["doc_id"], "left")
     groups = groups.withColumn("label", F.coalesce("label", "class"))
     by_class = groups.groupBy("class", "label").agg(F.min("doc_id").alias("class_id"))
