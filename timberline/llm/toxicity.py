@@ -44,6 +44,9 @@ DISCOUNT = 3.0
 WINDOW = 3
 MIN_DOCS = 3  # labelled documents that a word of the vocabulary stands in
 UNKNOWN = 0
+# What a task holds at a time: words, and characters of texts.
+MAX_HELD = 1 << 17
+MAX_CHARS = 1 << 20
 
 _words = re.compile(r"[^\W_]+").findall
 
@@ -111,26 +114,32 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_labelled:
     return picked, {label: total.get(label, 0) for label in (0, 1)}
 
 
-def _counted(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in pairs:
-        found = Counter()
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found: Counter = Counter()
+    for batch in batches:
         for text in batch["text"]:
             found.update(set(words(text)))
-        yield pd.DataFrame(found.items(), columns=["word", "n"])
+            if len(found) > MAX_HELD:
+                yield pd.DataFrame(found.items(), columns=["word", "n"])
+                found.clear()
+    yield pd.DataFrame(found.items(), columns=["word", "n"])
+
+
+def _slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """Texts of a bounded number of characters at a time, one text at least."""
+    sizes = texts.str.len().fillna(0).cumsum() // MAX_CHARS
+    for _, part in texts.groupby(sizes.to_numpy()):
+        yield part
 
 
 def _bigrams(vocabulary):
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get, size = vocabulary.value.get, len(vocabulary.value) + 1
         for batch in batches:
-            for label, texts in batch.groupby("label")["text"]:
-                seen: set[tuple[int, int]] = set()
-                for text in texts:
-                    ids = [UNKNOWN, UNKNOWN, *(get(w, UNKNOWN) for w in words(text))]
-                    seen.update((x, a * size + b) for x, a, b in zip(ids, ids[1:], ids[2:], strict=False))
-                out = pd.DataFrame(list(seen), columns=["before", "key"], dtype="int64")
-                out["label"] = label
-                yield out[["before", "key", "label"]]
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                ids = np.array([UNKNOWN, UNKNOWN, *(get(w, UNKNOWN) for w in words(text))], np.int64)
+                seen = np.unique(np.column_stack([ids[:-2], ids[1:-1] * size + ids[2:]]), axis=0)
+                yield pd.DataFrame({"before": seen[:, 0], "key": seen[:, 1], "label": label})
 
     return found
 
@@ -257,7 +266,7 @@ def differences(model: Model, text: Column, docs: DataFrame) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            found = own.differences(texts)
+            found = np.concatenate([np.zeros((0, 2)), *(own.differences(part) for part in _slices(texts))])
             yield pd.DataFrame({"score": own.scores(found), "window": found[:, 0], "mean": found[:, 1]})
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
