@@ -41,6 +41,14 @@ def test_equals_library(tokens, known):
         assert decoder.decode(ids) == text
 
 
+def test_splitting(tokens):
+    encoder = bpe.Encoder(tokens, P.PATTERN)
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab '\u00e9\u00d7\u00b2\u00bd\u00aa\x85\xa0\x1c\n\t 12-_$s'reldvmt!") for _ in range(rng.randrange(40)))
+        assert encoder.split(text) == encoder.split_any(text), text
+
+
 def test_documents(tokens, known):
     encoder = bpe.Encoder(tokens, P.PATTERN)
     for text in pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"]:
@@ -82,6 +90,15 @@ def test_broken_bytes_and_blocks(tokens):
     assert len(list(decoder.blocks(ids * 5000))) > 1 and "".join(decoder.blocks(ids * 5000)) == "aé漢\U0001f600" * 5000
 
 
+def test_blocks_equal_whole(tokens, monkeypatch):
+    monkeypatch.setattr(bpe, "FLUSH_TOKENS", 3)
+    decoder, rng = bpe.Decoder(tokens), random.Random(6)
+    odd = [i for i, x in enumerate(decoder.odd) if x]
+    for _ in range(2000):
+        ids = [rng.choice(odd) if rng.random() < 0.5 else rng.randrange(len(tokens)) for _ in range(rng.randrange(20))]
+        assert decoder.decode(ids) == b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
+
+
 def test_tables(spark, tokens):
     rows = [(1, None, None), (1, "", "x"), (2, "hello world", "y"), (2, "hello world", "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")

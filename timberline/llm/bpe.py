@@ -24,20 +24,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bounds of what a worker remembers; none of them changes a result.
 MAX_STATES = 1 << 18
 MAX_PAIRS = 1 << 19
-MAX_PIECES = 1 << 18
+MAX_PIECES = 1 << 19
 FLUSH_TOKENS = 1 << 13
 LOOKAHEAD = 1 << 9
+ROWS = 256
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -66,7 +71,8 @@ class Transducer:
         self.ranks = {token: rank for rank, token in enumerate(tokens) if token}
         self.longer = {token[:i] for token in self.ranks for i in range(1, len(token))}
         self.max_states = max_states
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}  # right token -> left token -> can stand before it
+        self.n_pairs = 0
         self.edges: dict[tuple[int, bool], list | None] = {}
         self._forget()
 
@@ -108,27 +114,32 @@ class Transducer:
         Merges happen in the order of ranks. One across the border needs both its parts to be there,
         that is before either is merged into more of its own token; of equal ranks the left one is first.
         """
-        key = left << 21 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            before = self._edge(left, True)
-            after = self._edge(right, False)
-            known = before is not None and after is not None
-            if known:
-                get = self.ranks.get
-                known = not any(
-                    (rank := get(x + y)) is not None and rank < x_end and rank <= y_end for x, x_end in before for y, y_end in after
-                )
-            self.pairs[key] = known
+        before, after = self._edge(left, True), self._edge(right, False)
+        known = before is not None and after is not None
+        if known:
+            get = self.ranks.get
+            for x, x_end in before:
+                for y, y_end in after:
+                    rank = get(x + y)
+                    if rank is not None and rank < x_end and rank <= y_end:
+                        known = False
+                        break
+                if not known:
+                    break
+        self.n_pairs += 1
+        if self.n_pairs > MAX_PAIRS:
+            self.n_pairs = 0
+            for row in self.pairs.values():
+                row.clear()
+                row[-1] = True
+        self.pairs[right][left] = known
         return known
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple]:
-        """Next state, and (token, size) of the tokens that end with this byte."""
+        """Next state, and (token, size, neighbours) of the tokens that end with this byte."""
         read = state.suffix + bytes((byte,))
         ends = tuple(
-            (token, len(read) - i)
+            (token, len(read) - i, self.pairs.setdefault(token, {-1: True}))
             for i in range(len(read))
             if (token := self.ranks.get(read[i:])) is not None and self._edge(token, False) is not None
         )
@@ -163,18 +174,19 @@ class Transducer:
             return [whole]
         if len(self.states) > self.max_states:
             self._forget()
-        state, out, pairs = self.root, [], self.pairs
+        state, out = self.root, []
         # last[i]: last token of the prefix of size i since what was emitted; before a piece there is none
         last: list[int | None] = [-1]
+        n = 0
         for byte in piece:
             move = state.moves.get(byte) or self._move(state, byte)
-            state = move[0]
-            n = len(last)
+            state, ends = move
+            n += 1
             found = None
-            for token, size in move[1]:
+            for token, size, row in ends:
                 left = last[n - size]
                 if left is not None:
-                    fits = pairs.get(left << 21 | token) if left >= 0 else True
+                    fits = row.get(left)
                     if fits is None:
                         fits = self._neighbours(left, token)
                     if fits:
@@ -183,17 +195,39 @@ class Transducer:
             last.append(found)
             if n >= LOOKAHEAD:
                 last = self._emit(last, out, state)
+                n = len(last) - 1
         return out + [last[at] for at in self._path(last, len(last) - 1)[-2::-1]]
 
 
+def latin_splitter(pattern: str):
+    """The pattern for texts within Latin-1, with its classes spelled out for the faster ``re``."""
+    for name in (r"\p{L}", r"\p{N}", r"\s", r"\S"):
+        own = "".join(f"\\x{i:02x}" for i in range(256) if regex.fullmatch(name, chr(i)))
+        if name == r"\S":
+            pattern = pattern.replace(name, f"[{own}]")
+            continue
+        # first where it stands in a class, then alone
+        inside = regex.sub(r"\[[^\]]*\]", lambda m, name=name, own=own: m[0].replace(name, own), pattern)
+        pattern = regex.sub(r"(\[[^\]]*\])|" + regex.escape(name), lambda m, own=own: m[1] or f"[{own}]", inside)
+    return re.compile(pattern).findall
+
+
 class Encoder:
     """Splits a text into pieces and remembers the tokens of those met before."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.transducer = Transducer(tokens)
-        self.split = regex.compile(pattern).findall
+        self.split_any = regex.compile(pattern).findall
+        self.split_latin = latin_splitter(pattern)
         self.known: dict[str, list[int]] = {}
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split_any(text)
+        return self.split_latin(text)
+
     def encode(self, text: str | None) -> list[int]:
         known, out = self.known, []
         if len(known) > MAX_PIECES:
@@ -242,19 +276,27 @@ class Decoder:
                     at = single[at][byte]
                 row[i] = at
             self.moves.append(row)
+        self.odd = [x != 0 for x in self.moves[0]]
 
     def blocks(self, ids: list[int]) -> Iterator[str]:
-        """The text in blocks that end between characters."""
-        tokens, moves = self.tokens, self.moves
-        state, held, size = 0, [], 0
-        for i in ids:
-            state = moves[state][i]
-            held.append(tokens[i])
-            size += 1
-            if size >= FLUSH_TOKENS and state == 0:
-                yield b"".join(held).decode("utf-8")
-                held, size = [], 0
-        yield b"".join(held).decode("utf-8", "replace")
+        """The text in blocks that end between characters.
+
+        Most tokens are whole characters, so the automaton only reads those at the end of a block.
+        """
+        tokens, moves, odd = self.tokens, self.moves, self.odd
+        start = 0
+        while start < len(ids):
+            end = at = min(len(ids), start + FLUSH_TOKENS)
+            while at > start and odd[ids[at - 1]]:
+                at -= 1
+            state = 0
+            for i in ids[at:end]:
+                state = moves[state][i]
+            while end < len(ids) and state and (state < 8 or odd[ids[end]]):
+                state = moves[state][ids[end]]
+                end += 1
+            yield b"".join([tokens[i] for i in ids[start:end]]).decode("utf-8", "replace")
+            start = end
 
     def decode(self, ids: list[int]) -> str:
         return "".join(self.blocks(ids))
@@ -299,3 +341,30 @@ def decode(spark: SparkSession, ids: Column, tokens: list[bytes]) -> Column:
 
     decoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(decoded, "string")(ids)
+
+
+def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` with ``ids`` of the text and ``decoded``, the text of the ids, in one pass.
+
+    Results leave a worker in small batches, whatever the size of those that come in.
+    """
+    shared, key = docs.sparkSession.sparkContext.broadcast(tokens), _key(tokens, pattern)
+    rows = docs.select(docs[text_col].alias("_text"), *(docs[c] for c in keep))
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _mine(Encoder, key, shared.value, pattern)
+        decoder = _mine(Decoder, key, shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                flat, offsets, texts = array("i"), [0], []
+                for text in batch.column(0).to_pylist():
+                    ids = encoder.encode(text)
+                    texts.append(decoder.decode(ids))
+                    flat.extend(ids)
+                    offsets.append(len(flat))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists, pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+
+    return rows.mapInArrow(run, schema)
