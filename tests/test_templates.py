@@ -45,16 +45,16 @@ def test_small_cases(spark):
     check(
         spark,
         [
-            "Connection from 192.168.1.1 established",
-            "Connection from 10.0.0.1 established",
-            "User 12345 logged in",
-            "User 67890 logged in",
+            "Probe from 10.1.1.1 answered",
+            "Probe from 10.2.2.2 answered",
+            "Lift 17 is stuck",
+            "Lift 23 is stuck",
             "  ",
-            "Connected to 10.0.0.1:5432",
-            "Connected to 10.0.0.2:5432",
-            "Database connection established",
-            "User authentication successful",
-            "Cache miss for key abc123",
+            "Bound to 10.3.3.3:53",
+            "Bound to 10.4.4.4:53",
+            "Index rebuild finished",
+            "Mail queue drained",
+            "No seat left on k77",
             "a <*> literal wildcard token",
             "a plain literal wildcard token",
             "GET /short /a/very/long/path/over/20/bytes ok",
@@ -85,7 +85,6 @@ def test_captured_keys_are_counted_where_they_went(spark, monkeypatch):
 @pytest.mark.parametrize("seed", range(3))
 def test_random_streams_equal_line_by_line(spark, monkeypatch, seed):
     monkeypatch.setattr(tp, "FIRST_FOLD", 3)  # several folds per leaf
-    monkeypatch.setattr(tp, "SINGLE_SORT", 5)  # ranks from parts
     rng = random.Random(seed)
     vocabulary = ["a", "b", "c", "d", "12", "0x1f", "<*>", "10.0.0.1"]
     stream = [
@@ -118,10 +117,10 @@ def test_placeholders_can_be_variable(spark):
 
 def test_similarity_and_merge(spark):
     cases = [
-        ("User logged in", "User logged in", 1.0, "User logged in"),
-        ("User logged in", "User logged out", 2 / 3, "User logged <*>"),
-        ("User logged in", "Database connected", 0.0, "<*> <*> <*>"),
-        ("User <*> in", "User 12345 in", 1.0, "User <*> in"),
+        ("Door opened now", "Door opened now", 1.0, "Door opened now"),
+        ("Door opened now", "Door opened late", 2 / 3, "Door opened <*>"),
+        ("Door opened now", "Nothing happened", 0.0, "<*> <*> <*>"),
+        ("Door <*> now", "Door 12 now", 1.0, "Door <*> now"),
     ]
     df = spark.createDataFrame([(a, b) for a, b, *_ in cases], "a string, b string")
     a, b = tk.tokenize(F.col("a")), tk.tokenize(F.col("b"))

@@ -10,8 +10,6 @@ from timberline.sources.text import with_positions
 
 # entries per block when a file is worked on in pieces
 BLOCK = 8_192
-# up to this many rows per group Spark trims groups before the shuffle
-GROUP_LIMIT = 1_000
 
 
 def search(entries: DataFrame, keep: Column) -> DataFrame:
@@ -113,13 +111,7 @@ def last_entries(entries: DataFrame, n: int, keep: Column | None = None) -> Data
         raise ValueError("n must not be negative")
     kept = entries if keep is None else entries.where(keep)
     columns = entries.columns
-    if n <= GROUP_LIMIT:
-        # a rank filter this small is applied within every task before the shuffle
-        newest = Window.partitionBy("file").orderBy(F.desc("line"))
-        return kept.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= n).select(
-            *columns
-        )
-    # otherwise count entries per block of lines, and look only at blocks that reach the last n
+    # count entries per block of lines, and look only at blocks that reach the last n
     keyed = kept.withColumn("_block", F.floor(F.col("line") / F.lit(BLOCK)))
     counts = materialize(keyed.groupBy("file", "_block").agg(F.count("*").alias("n")), "tail-blocks")
     later = Window.partitionBy("file").orderBy(F.desc("_block")).rowsBetween(

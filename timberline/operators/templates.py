@@ -42,8 +42,6 @@ MAX_EXAMPLES = 3
 # Keys per leaf that the first fold takes; later folds take more.
 FIRST_FOLD = 1_000
 FOLD_GROWTH = 8
-# Up to this many templates are ranked by one sort.
-SINGLE_SORT = 1_000_000
 
 _NEVER = fold.NEVER
 _LANES = 4
@@ -305,29 +303,21 @@ def _split_captured(
 
 def _ranked(templates: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add ``nth``: 1-based creation order among all leaves."""
-    if templates.count() <= SINGLE_SORT:
-        order = Window.partitionBy(*by).orderBy("born")
-        return templates.withColumn("nth", F.row_number().over(order))
-    # too many for one sort: cut at quantiles, count the parts, number within each
-    cuts = templates.agg(
-        F.percentile_approx("born", [i / 256 for i in range(1, 256)], 10_000).alias("cuts")
-    ).scalar()
+    order = [*by, "born"]
     parts = materialize(
-        templates.withColumn("_cuts", cuts).withColumn(
-            "_part", F.size(F.filter("_cuts", lambda c: c < F.col("born")))
-        ).drop("_cuts"),
+        templates.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()),
         "ranked",
-    )
+    ).withColumn("_part", F.shiftright("_id", 33))
+    # the rows of a part are numbered in the low bits, so its size and first number place them all
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parts.groupBy(*by, "_part").agg(F.count("*").alias("n"))
-        .select(*by, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+        parts.groupBy(*by, "_part").agg(F.count("*").alias("n"), F.min("_id").alias("_low"))
+        .select(*by, "_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_low") + 1).alias("_shift"))
     )
-    inside = Window.partitionBy(*by, "_part").orderBy("born")
     return (
         parts.join(offsets, [*by, "_part"])
-        .withColumn("nth", F.col("_before") + F.row_number().over(inside))
-        .drop("_part", "_before")
+        .withColumn("nth", F.col("_id") + F.col("_shift"))
+        .drop("_part", "_id", "_shift")
     )
 
 

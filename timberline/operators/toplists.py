@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark trims groups before the shuffle for rank limits up to this size
-GROUP_LIMIT = 1_000
 SALTS = 64
 
 
@@ -17,15 +15,13 @@ def leading(
 ) -> DataFrame:
     """The first ``limit`` rows of each group in ``order``, with their rank as ``_nth``.
 
-    Large limits are first applied to salted parts of each group (a hash of the
-    ``spread`` columns), which leaves at most ``SALTS * limit`` rows for the last step.
+    The limit is first applied to salted parts of each group (a hash of the ``spread``
+    columns), which leaves at most ``SALTS * limit`` rows for the last step.
     """
 
     def cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= limit)
 
-    if limit > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(SALTS)))
-        df = cut(salted, [*group, "_salt"]).drop("_salt", "_nth")
-    return cut(df, group)
+    salted = df.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(SALTS)))
+    return cut(cut(salted, [*group, "_salt"]).drop("_salt", "_nth"), group)

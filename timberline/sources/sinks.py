@@ -12,6 +12,10 @@ from timberline.operators.parse import KNOWN_KEYS
 ZERO_TIME = "0001-01-01T00:00:00Z"
 
 
+# parts that the rows of one day and level are dealt over
+FILES = 16
+
+
 def text_lines(entries: DataFrame, with_file: bool = False) -> DataFrame:
     """``value``: the raw line, with ``file:`` in front for multi-file output."""
     raw = F.col("raw")
@@ -92,5 +96,11 @@ def table_rows(entries: DataFrame) -> DataFrame:
 
 
 def save_parsed(entries: DataFrame, path: str) -> None:
-    """Keep parsed entries as Parquet, split by day and level so later filters skip files."""
-    entries.withColumn("day", F.to_date("ts")).write.partitionBy("day", "level").parquet(path)
+    """Keep parsed entries as Parquet, split by day and level so later filters skip files.
+
+    Rows meet by day and level first, in at most ``FILES`` parts each, so that not every task
+    writes a file into every folder.
+    """
+    part = F.pmod(F.xxhash64("raw"), F.lit(FILES))
+    days = entries.withColumn("day", F.to_date("ts"))
+    days.repartition("day", "level", part).write.partitionBy("day", "level").parquet(path)
