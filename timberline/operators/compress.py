@@ -356,7 +356,14 @@ def compress_logs(
     lines = sequenced.select(*named, "seq", *columns)
     if not by:
         lines = lines.withColumn(_ALL, F.lit(1))
-    redacted = redact_entries(lines, patterns, redaction, hash_len=hash_len)
+    # parsed and redacted once: counting, recounts and examples read these narrow rows
+    narrow = [c for c in ("message", "level", "ts") if c in columns]
+    redacted = materialize(
+        redact_entries(lines, patterns, redaction, hash_len=hash_len).select(
+            *group, "seq", *narrow, "redacted_count"
+        ),
+        "redacted",
+    )
     mined = tp.mine_templates(
         redacted, group, depth, threshold, max_children, mask_placeholders, sums=["redacted_count"]
     )

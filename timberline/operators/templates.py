@@ -365,7 +365,7 @@ def mine_templates(
         if refold:
             keys = materialize(_activate(keys, group, limit), "keys")
             templates = materialize(_fold(keys.where("active"), by, threshold), "templates")
-            states = materialize(_leaf_states(templates, group), "leaf-states")
+            states = _leaf_states(templates, group)
             limit *= FOLD_GROWTH
         keys = materialize(_check(keys, states, group, threshold), "checked")
         left = keys.agg(
