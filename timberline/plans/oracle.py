@@ -253,6 +253,7 @@ SELECT line, key, value FROM kv""",
   WHEN 6 THEN epoch_us(date_trunc('second', ts)) END AS micros FROM events""",
     "read_files": f"""{ENTRIES} SELECT count(*) AS total_lines, count(*) AS distinct_lines, 1::BIGINT AS first_line,
 0::BIGINT AS missing_lines, count(*) AS equal_positions, count(*) FILTER (level = 'ERROR') AS errors FROM entries""",
+    "read_glob": f"{ENTRIES} SELECT level, count(*) AS count FROM entries WHERE file IN ('f0.log', 'f1.log') GROUP BY level",
     "search_pattern": kept("shape <> 2 AND e % 500 >= 400"),
     "search_inverted": kept("shape = 2"),
     "search_level": kept("level = 'WARN'"),
@@ -411,6 +412,10 @@ UNION ALL SELECT conv_id, turn, task, 3, 'user', 'JSON, please: the object with
 WHERE task = 'structured_output'""",
     "question_prompts": """SELECT conv_id, turn, 'Question: What failed?' || chr(10) || chr(10) || 'Log Summary:' || chr(10)
 || text || 'Note: Filtered by pattern: ' || turn || '.' || chr(10) AS content FROM conversations""",
+    "tail_then_follow": f"""{ENTRIES},
+found AS (SELECT *, line % 5 = 0 AS later FROM entries WHERE level IN ('ERROR', 'FATAL', 'UNKNOWN')),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, later ORDER BY line DESC) AS k FROM found)
+SELECT level, message, later AS followed FROM r WHERE later OR k <= 25""",
     "follow_stream": f"""{ENTRIES} SELECT format, ts, level, message, source FROM entries
 WHERE level IN ('ERROR', 'FATAL', 'UNKNOWN') AND contains(raw, '10.0.')""",
 }

@@ -23,7 +23,7 @@ from timberline.plans.rendered import YEAR, event_lines, event_logs
 from timberline.session import configure, materialize, shared_dir, spread
 from timberline.sources import sinks
 from timberline.sources.text import read_logs
-from timberline.streaming.follow import follow_logs
+from timberline.streaming.follow import follow_logs, tail_and_follow
 
 CONTEXT = 3
 TAIL = 25
@@ -156,6 +156,14 @@ def read_files(spark, folder):
     )
 
 
+def read_glob(spark, folder):
+    """Two of the three files, chosen by one pattern."""
+    path = f"{shared_dir(spark)}/timberline/glob-{uuid.uuid4().hex}"
+    event_lines(spark, folder).select("file", F.col("raw").alias("value")).write.partitionBy("file").text(path)
+    entries = read_logs(spark, f"{path}/file=f[01]*", reference_year=YEAR, numbered=False)
+    return entries.groupBy("level").agg(F.count("*").alias("count"))
+
+
 # -- filters and search
 
 def _kept(keep):
@@ -466,6 +474,28 @@ def follow_stream(spark, folder):
     return flat(spark.read.parquet(f"{base}/out"))
 
 
+def tail_then_follow(spark, folder):
+    """The last errors of every file that is there at the start, then all errors that arrive later."""
+    base = f"{shared_dir(spark)}/timberline/tail-{uuid.uuid4().hex}"
+    lines = event_lines(spark, folder).withColumn("value", F.col("raw"))
+    later = F.col("line") % 5 == 0
+
+    def arrive(rows):
+        ordered = rows.repartition("file").sortWithinPartitions("file", "seq").select("file", "value")
+        ordered.write.mode("append").partitionBy("file").text(f"{base}/in")
+
+    def keep(batch, number):
+        batch.select("level", "message", F.lit(number > 0).alias("followed")).write.mode("append").parquet(f"{base}/out")
+
+    arrive(lines.where(~later))
+    query = tail_and_follow(spark, f"{base}/in", keep, f"{base}/state", lines=TAIL, min_level="error", reference_year=YEAR)
+    query.processAllAvailable()
+    arrive(lines.where(later))
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.parquet(f"{base}/out")
+
+
 def _of(operator, *args):
     return lambda spark, folder: flat(operator(event_logs(spark, folder), *args))
 
@@ -478,6 +508,7 @@ QUERIES = {
     "json_times": json_times,
     "generic_times": generic_times,
     "read_files": read_files,
+    "read_glob": read_glob,
     "search_pattern": _kept(lambda: filters.search_filter(pattern=r"took 4\d\d ms")),
     "search_inverted": _kept(lambda: filters.search_filter(pattern=r"took \d+ ms", invert=True)),
     "search_level": _kept(lambda: filters.search_filter(level="warning")),
@@ -538,4 +569,5 @@ QUERIES = {
     "task_prompts": task_prompts,
     "question_prompts": question_prompts,
     "follow_stream": follow_stream,
+    "tail_then_follow": tail_then_follow,
 }
