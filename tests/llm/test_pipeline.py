@@ -111,3 +111,19 @@ def test_empty(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def write(path, rows):
+    docs = pd.DataFrame(rows, columns=["doc_id", "text"]).assign(lang="en", source="s")
+    docs["n_chars"] = docs["text"].str.len()
+    docs.to_parquet(path / "documents.parquet")
+    return str(path)
+
+
+def test_own_text_beside_a_passage(spark, tmp_path):
+    passage = " ".join(f"p{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(90))
+    rows = [(1, passage + "\nfirst of all"), (2, "words of its own\n" + passage), (3, passage), (4, passage + "\n \n")]
+    folder = write(tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, folder).collect()}
+    assert got == {1: rows[0][1], 2: "words of its own"}
