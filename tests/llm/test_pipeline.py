@@ -127,3 +127,26 @@ def test_own_text_beside_a_passage(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, folder).collect()}
     assert got == {1: rows[0][1], 2: "words of its own"}
+
+
+def test_copies_are_gone(spark, tmp_path):
+    rng = random.Random(11)
+    prose = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    wrapped = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+    rows = []
+    for i in range(4):
+        long, short, own = prose(150), prose(2), prose(8)
+        one = " ".join(long[:100]) + "\n" + " ".join(short) + "\n" + wrapped(long[100:])
+        near = one.replace(long[40], "edited").replace(long[120], "edited") + "\n" + " ".join(own)
+        rows += [(10 * i, one), (10 * i + 1, one), (10 * i + 2, near)]
+    passage = prose(60)
+    rows += [(100, wrapped(prose(60) + passage)), (101, "\n".join([" ".join(prose(15)), wrapped(passage), "the end"]))]
+    rows += [(102, "\n".join(["8 1 2 3 4"] * 6)), (103, "\n".join(["8 1 2 3 5"] * 6))]
+    folder = write(tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    second = corpus_pipeline.dedup_lines(spark, docs, folder)
+    text = {r.doc_id: r.text for r in second.collect()}
+    assert text[101] == rows[-3][1].split("\n")[0] + "\nthe end"
+    assert not {1, 11, 21, 31} & set(text) and {102, 103} <= set(text)
+    third = corpus_pipeline.dedup_documents(spark, second, folder)
+    assert {r.doc_id for r in third.collect()} == {0, 10, 20, 30, 100, 101, 102, 103}
