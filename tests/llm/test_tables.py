@@ -102,6 +102,15 @@ def test_toxicity(spark):
     assert len(held) > 100 and sum((r.s >= 0.3) == (r.doc_id % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_vocabulary(spark):
+    rows = [(i, f"common words and w{'abcdefghij'[i % 10] * (1 + i // 10)}", "a") for i in range(80)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).alias("f")).collect()}
+    counted = {w for i, t, _ in rows if fold[i] not in (toxicity.HELD_OUT, toxicity.CALIBRATION) for w in t.split()}
+    assert set(toxicity.fit(docs, labels).vocabulary) == counted and len(counted) > 20
+
+
 @pytest.mark.parametrize("toxic", [[], [0, 0], [1]])
 def test_toxicity_without_classes(spark, toxic):
     docs = documents(spark, ODD)

@@ -4,7 +4,9 @@ Two bigram models, of toxic and of ordinary texts, are compared word by word. Ea
 Kneser-Ney: discounted counts of the class's bigrams, then of its words, and last the counts of the
 words in the whole corpus. Both class levels count contexts, that is after how many different words
 a bigram or word was seen, so that copies of a text count once. The corpus counts are shared by both
-classes, so that an expression which is rare in both says nothing for either.
+classes, so that an expression which is rare in both says nothing for either. Every word of the counted
+rows has its own count of the corpus; one that no counted row has gets the same lowest factor in both
+classes, which the difference takes out, so these words share one place.
 
 Two length-normalised differences of the log-likelihoods describe a text: the mean over all its
 words, and the largest mean over ``WINDOW`` neighbouring words, which finds a few words in a long
@@ -25,7 +27,6 @@ class's share (0.5 without labels). Only the named columns are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,6 @@ HELD_OUT, CALIBRATION = 2, 3
 # the smaller one would otherwise weigh as much as many.
 DISCOUNT = 3.0
 WINDOW = 3
-MIN_DOCS = 3  # labelled documents that a word of the vocabulary stands in
 UNKNOWN = 0
 # What a task holds at a time: words, and characters of texts.
 MAX_HELD = 1 << 17
@@ -114,15 +114,15 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_labelled:
     return picked, {label: total.get(label, 0) for label in (0, 1)}
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    found: Counter = Counter()
+def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found: set[str] = set()
     for batch in batches:
         for text in batch["text"]:
-            found.update(set(words(text)))
+            found.update(words(text))
             if len(found) > MAX_HELD:
-                yield pd.DataFrame(found.items(), columns=["word", "n"])
+                yield pd.DataFrame({"word": list(found)})
                 found.clear()
-    yield pd.DataFrame(found.items(), columns=["word", "n"])
+    yield pd.DataFrame({"word": list(found)}, dtype=object)
 
 
 def _slices(texts: pd.Series) -> Iterator[pd.Series]:
@@ -204,10 +204,7 @@ def fit(
     labelled = own.join(F.broadcast(chosen), own["id"] == chosen["_id"])
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 4
     counted = labelled.where(fold != CALIBRATION).select("label", "text")
-    vocabulary = (
-        counted.select("text").mapInPandas(_counted, "word string, n bigint")
-        .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).select("word")
-    )
+    vocabulary = counted.select("text").mapInPandas(_distinct, "word string").distinct()
     known = {w: i for i, w in enumerate(sorted(vocabulary.toArrow()["word"].to_pylist()), 1)}
     size = len(known) + 1
     shared = spark.sparkContext.broadcast(known)
