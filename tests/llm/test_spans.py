@@ -85,3 +85,11 @@ def test_tables(spark):
     got = docs.select(F.size(secrets.secret_spans(spark, docs["text"])).alias("n"), F.size(pii.pii_spans(docs["text"])).alias("m"))
     assert sorted(r.n for r in got.collect()) == [0, 0, 1, 1]
     assert docs.limit(0).select(secrets.secret_spans(spark, docs["text"]), pii.pii_spans(docs["text"])).count() == 0
+
+
+def test_iban_before_other_words():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"{iban} BIC COBADEFF", f"{iban} 17 EUR", f"AB12 CDEF GHIJ KLM {iban}", f"DE00 3704 0044 0532 0130 00 {iban} X"):
+        at = text.index(iban)
+        assert [(s, e) for k, s, e, _ in pii.find(text) if k == "iban"] == [(at, at + len(iban))]
+    assert not [x for x in pii.find(iban + "A") if x[0] == "iban"]

@@ -2,7 +2,7 @@
 
 Kinds: email, ip (four parts up to 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits),
 iban (mod 97), ssn (needs a context word). Every proposal is leftmost and does not overlap another
-of its kind; one that fails its check is dropped and its text is used up. The score is the kind's
+of its kind; one that fails its check is dropped and its text is used up (of an iban, the head). The score is the kind's
 prior, raised if a context word of the kind stands within ``CONTEXT`` characters before or after
 the span; spans below ``threshold`` are dropped. email, ip, card and phone start at or above it.
 
@@ -32,7 +32,19 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+        22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+_IBAN_REST = {n: re.compile(r"(?:\x20?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for n in set(_IBAN_LENGTHS.values())}
+_IBAN_REST[None] = re.compile(r"(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -49,6 +61,17 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             used = m.end()
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """As long as the country code prescribes; of an unknown code, as far as it goes. A wrong one only uses up its head."""
+    at = 0
+    while head := _IBAN_HEAD.search(text, at):
+        at = head.end()
+        rest = _IBAN_REST[_IBAN_LENGTHS.get(head[0][:2])].match(text, at)
+        if rest and is_iban(text[head.start() : rest.end()]):
+            at = rest.end()
+            yield head.start(), at
+
+
 def _by(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
     return lambda text: (m.span() for m in pattern.finditer(text))
 
@@ -101,7 +124,7 @@ KINDS = (
     Kind("ip", _by(_IP), is_ip, 0.5, _words("ip", "host", "server", "address", "client", "from")),
     Kind("card", _by(_CARD), is_card, 0.6, _words("card", "visa", "mastercard", "credit", "debit", "karte", "carte")),
     Kind("phone", _by(_PHONE), is_phone, 0.5, _words("phone", "tel", "call", "mobile", "fax", "telefon")),
-    Kind("iban", _by(_IBAN), is_iban, 0.6, _words("iban", "account", "bank", "konto", "compte", "cuenta")),
+    Kind("iban", ibans, is_iban, 0.6, _words("iban", "account", "bank", "konto", "compte", "cuenta")),
     Kind("ssn", _by(_SSN), is_ssn, 0.2, _words("ssn", "social security")),
 )
 
