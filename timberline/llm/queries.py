@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, chat, decontam, jaccard, licenses, line_dedup, pii, quality, secrets, toxicity
+from timberline.llm import bpe, chat, decontam, importance, jaccard, licenses, line_dedup, merkle, neighbours, pii, quality, secrets, toxicity
 from timberline.session import configure
 
 
@@ -110,6 +110,120 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    even = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    text = F.when(even, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
+    proofs = merkle.manifest(docs, changed={"text": text})
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = neighbours.fit(docs, _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", neighbours.scores(model, docs["text"], docs).alias("score"))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+_CRC = r"""
+  xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(x)), 2 * i - 1, 2))::BIGINT FOR i IN range(1, strlen(x) + 1)]),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)),
+      4294967295)
+"""
+
+_OP11 = r"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, source, lang, n_chars, text, @CRC@ % 2 = 0 AS even
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') AS x FROM documents)),
+framed AS (
+  SELECT doc_id, source, doc_id IS NOT NULL AND even AS even, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM d),
+l AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM (
+    SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other
+    FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS other FROM framed))),
+nodes AS (
+  SELECT source, 0 AS lvl, 1::BIGINT AS width, idx, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL
+  SELECT source, lvl + 1, width * 3, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY source, lvl, width, n, idx // 3),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, 1::BIGINT AS width, idx, h, count(*) OVER () AS n FROM s
+  UNION ALL
+  SELECT lvl + 1, width * 3, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3
+  FROM tops WHERE n > 1 GROUP BY lvl, width, n, idx // 3),
+path AS (
+  SELECT rid, 0 AS part, x.lvl, x.idx, x.h, l.idx // x.width AS own
+  FROM l JOIN nodes x ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1 AND x.idx // 3 = l.idx // (x.width * 3)
+  UNION ALL
+  SELECT rid, 1, x.lvl, x.idx, x.h, s.idx // x.width
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN tops x ON x.n > 1 AND x.idx // 3 = s.idx // (x.width * 3)),
+steps AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY part, lvl) AS k,
+         coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < own), '') AS before,
+         coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > own), '') AS after
+  FROM path GROUP BY rid, part, lvl),
+folded AS (
+  SELECT rid, 1::BIGINT AS k, other AS h FROM l
+  UNION ALL
+  SELECT rid, k + 1, sha256(before || h || after) FROM folded JOIN steps USING (rid, k)),
+proofs AS (SELECT rid, string_agg(before || after, '' ORDER BY k) AS proof FROM steps GROUP BY rid),
+ends AS (SELECT rid, arg_max(h, k) AS h FROM folded GROUP BY rid)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, ends.h AS folded_root, ends.h = t.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN tops t ON t.n = 1 JOIN ends USING (rid) LEFT JOIN proofs USING (rid)
+""".replace("@CRC@", _CRC)
+
+_OP13 = r"""
+WITH
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+dw AS (SELECT x, count(*) AS s FROM (SELECT unnest(words) AS x FROM w) GROUP BY x),
+iw AS (
+  SELECT x, count(*) AS t
+  FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark) GROUP BY x),
+b AS (SELECT x, @CRC@ % 10000 AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM dw FULL JOIN iw USING (x)),
+g AS (
+  SELECT bucket, floor(1000 * ln(((sum(t) + 1)::DOUBLE * (any_value(s_all) + 10000)::DOUBLE)
+                               / ((sum(s) + 1)::DOUBLE * (any_value(t_all) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM b, (SELECT sum(s) AS s_all, sum(t) AS t_all FROM b) GROUP BY bucket),
+sums AS (
+  SELECT doc_id, sum(gain * n) AS total
+  FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(words) AS x FROM w) GROUP BY doc_id, x)
+  JOIN b USING (x) JOIN g USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(floor(total / len(words)), 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM w LEFT JOIN sums USING (doc_id)),
+ranked AS (
+  SELECT *, weight + noise AS score, n_features >= 20 AS fit,
+         row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS nth,
+         10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100 AS drawn
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND nth <= drawn THEN nth END AS rank FROM ranked
+""".replace("@CRC@", _CRC)
+
 _OP10 = r"""
 WITH
 w AS (
@@ -226,10 +340,15 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_neighbours": op12_quality_neighbours,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE = {
     "op4_chat_perspectives": _OP4,
     "op2_line_dedup": _OP2,
     "op1_quality_rules": _OP1,
     "op10_benchmark_decontamination": _OP10,
+    "op11_merkle_manifest": _OP11,
+    "op13_importance_resampling": _OP13,
 }
