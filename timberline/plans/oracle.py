@@ -220,6 +220,34 @@ system AS (SELECT task, start || wanted AS content FROM hand, (VALUES
 CONTEXT_POS = f"""{ENTRIES},
 p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS pos FROM entries)"""
 
+# ranges around anchors: consecutive positions within reach of one are a chunk
+def anchored_sql(before: int, after: int, anchor: str) -> str:
+    return f"""{CONTEXT_POS},
+near AS (
+  SELECT *, {anchor} AS anchor, max(({anchor})::INT) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN {after} PRECEDING AND {before} FOLLOWING) = 1 AS inside FROM p),
+runs AS (SELECT *, inside AND NOT coalesce(lag(inside) OVER (PARTITION BY file ORDER BY pos), false) AS starts FROM near),
+chunked AS (
+  SELECT *, (sum(starts::INT) OVER (PARTITION BY file ORDER BY pos))::BIGINT AS chunk_id FROM runs QUALIFY inside)"""
+
+
+HOURS = f"""{CONTEXT_POS},
+known AS (
+  SELECT *, last_value(date_trunc('hour', ts) IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos) AS earlier,
+         first_value(date_trunc('hour', ts) IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later,
+         min(date_trunc('hour', ts)) OVER (PARTITION BY file) AS least
+  FROM p),
+chunked AS (SELECT *, (epoch(coalesce(earlier, later)) - epoch(least))::BIGINT // 3600 + 1 AS chunk_id FROM known)"""
+
+
+def packed_sql(chunked: str, least: int, largest: int) -> str:
+    piece = (largest - least) // 2
+    return f"""{chunked},
+nth AS (
+  SELECT *, row_number() OVER (PARTITION BY file, chunk_id ORDER BY pos) - 1 AS k,
+         row_number() OVER (PARTITION BY file ORDER BY chunk_id, pos) - 1 AS place FROM chunked),
+packed AS (SELECT *, (place - k % {piece}) // {largest - piece} + 1 AS pack_id FROM nth)"""
+
+
 ORACLE = {
     "parse_entries": f"{ENTRIES} SELECT file, line, raw, format, ts, level, message, source FROM entries",
     "parse_fields": f"""{ENTRIES},
@@ -412,6 +440,31 @@ UNION ALL SELECT conv_id, turn, task, 3, 'user', 'JSON, please: the object with
 WHERE task = 'structured_output'""",
     "question_prompts": """SELECT conv_id, turn, 'Question: What failed?' || chr(10) || chr(10) || 'Log Summary:' || chr(10)
 || text || 'Note: Filtered by pattern: ' || turn || '.' || chr(10) AS content FROM conversations""",
+    "chunk_errors": anchored_sql(20, 10, "level IN ('ERROR', 'FATAL')") + " SELECT file, line, anchor, chunk_id FROM chunked",
+    "chunk_sliding": f"""{CONTEXT_POS},
+sized AS (SELECT *, count(*) OVER (PARTITION BY file) AS n FROM p),
+k AS (SELECT file, unnest(range(0, greatest(max(n) - 30 + 19, 0) // 20 + 1)) AS k FROM sized GROUP BY file)
+SELECT file, line, k + 1 AS chunk_id FROM sized JOIN k USING (file) WHERE pos BETWEEN k * 20 + 1 AND k * 20 + 30""",
+    "chunk_hours": HOURS + " SELECT file, line, chunk_id FROM chunked",
+    "chunk_packs": packed_sql(anchored_sql(4, 2, "level = 'FATAL'"), 25, 60) + " SELECT file, line, chunk_id, pack_id FROM packed",
+    "chunk_texts": packed_sql(HOURS, 20, 100) + f""",
+said AS (SELECT file, pack_id, message, count(*) AS n, min(pos) AS first FROM packed GROUP BY ALL),
+bodies AS (SELECT file, pack_id, string_agg(CASE WHEN n > 1 THEN n || 'x ' ELSE '' END || message, chr(10) ORDER BY first) AS body FROM said GROUP BY ALL),
+heads AS (
+  SELECT file, pack_id, min(line) AS first_line, max(line) AS last_line, count(*) AS n_lines, count(*) FILTER (level = 'FATAL') AS n_fatal,
+         file || ', lines ' || min(line) || ' to ' || max(line)
+         || coalesce(', ' || strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ'), '') || ': '
+         || concat_ws(', ', {", ".join(f"CASE WHEN count(*) FILTER (level = '{x}') > 0 THEN '{x} ' || count(*) FILTER (level = '{x}') END" for x in reversed(LEVELS))})
+         || chr(10) AS head
+  FROM packed GROUP BY file, pack_id)
+SELECT file, pack_id, first_line, last_line, n_lines, n_fatal, head || body AS text, strlen(head || body) // 4 AS tokens
+FROM heads JOIN bodies USING (file, pack_id)""",
+    "vector_top_k": """SELECT vec_id, place, neighbour, similarity FROM (
+  SELECT q.vec_id, e.vec_id AS neighbour, similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id)::INT AS place
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id,
+       LATERAL (SELECT round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity)
+  WHERE q.vec_id % 20 = 0) WHERE place <= 10""",
     "tail_then_follow": f"""{ENTRIES},
 found AS (SELECT *, line % 5 = 0 AS later FROM entries WHERE level IN ('ERROR', 'FATAL', 'UNKNOWN')),
 r AS (SELECT *, row_number() OVER (PARTITION BY file, later ORDER BY line DESC) AS k FROM found)

@@ -14,8 +14,9 @@ from timberline.functions import tokens as tk
 from timberline.functions.levels import level_name, level_ordinal, parse_level
 from timberline.functions.text import estimate_tokens, truncate
 from timberline.functions.timestamps import CLF
+from timberline.operators import chunks as ck
 from timberline.operators import compress as cp
-from timberline.operators import filters, redact, search, stats, windows
+from timberline.operators import filters, redact, search, stats, vectors, windows
 from timberline.operators import templates as tp
 from timberline.operators.parse import detect_format, parse_logs
 from timberline.operators.prompts import TASKS, build_prompts
@@ -496,6 +497,53 @@ def tail_then_follow(spark, folder):
     return spark.read.parquet(f"{base}/out")
 
 
+# -- chunks and vectors
+
+def chunk_errors(spark, folder):
+    return ck.anchored_chunks(event_logs(spark, folder)).select("file", "line", "anchor", "chunk_id")
+
+
+def chunk_sliding(spark, folder):
+    return ck.sliding_chunks(event_logs(spark, folder)).select("file", "line", "chunk_id")
+
+
+def chunk_hours(spark, folder):
+    return ck.time_chunks(event_logs(spark, folder), "1h").select("file", "line", "chunk_id")
+
+
+def chunk_packs(spark, folder):
+    """Chunks around fatal errors, packed to 25 to 60 lines."""
+    around = ck.anchored_chunks(event_logs(spark, folder), 4, 2, F.col("level") == "FATAL")
+    return ck.pack_chunks(around, 25, 60).select("file", "line", "chunk_id", "pack_id")
+
+
+def chunk_texts(spark, folder):
+    """Hours of each file, packed to 20 to 100 lines, as texts."""
+    packed = ck.pack_chunks(ck.time_chunks(event_logs(spark, folder), "1h"), 20, 100)
+    return flat(ck.pack_texts(packed).select("file", "pack_id", "first_line", "last_line", "n_lines", "n_fatal", "text", "tokens"))
+
+
+NEAREST = 10
+
+
+def _vector_queries(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return vectors.build_index(rows, "vec_id", "embedding"), rows.where("vec_id % 20 = 0")
+
+
+def vector_top_k(spark, folder):
+    """The nearest vectors of every twentieth row among all rows, exactly."""
+    index, queries = _vector_queries(spark, folder)
+    return index.search(queries, NEAREST, "vec_id", "embedding", exact=True).withColumnsRenamed({"id": "vec_id", "rank": "place"})
+
+
+def vector_recall(spark, folder):
+    """How many of them the lists near a query hold."""
+    index, queries = _vector_queries(spark, folder)
+    found = index.search(queries, NEAREST, "vec_id", "embedding")
+    return vectors.recall(found, index.search(queries, NEAREST, "vec_id", "embedding", exact=True))
+
+
 def _of(operator, *args):
     return lambda spark, folder: flat(operator(event_logs(spark, folder), *args))
 
@@ -568,6 +616,13 @@ QUERIES = {
     "prompts": prompts,
     "task_prompts": task_prompts,
     "question_prompts": question_prompts,
+    "chunk_errors": chunk_errors,
+    "chunk_sliding": chunk_sliding,
+    "chunk_hours": chunk_hours,
+    "chunk_packs": chunk_packs,
+    "chunk_texts": chunk_texts,
+    "vector_top_k": vector_top_k,
+    "vector_recall": vector_recall,
     "follow_stream": follow_stream,
     "tail_then_follow": tail_then_follow,
 }
