@@ -181,14 +181,15 @@ def sql_text(text: str) -> str:
 
 # Mining line by line: in every leaf, one step for each message, with the leaf's templates as state.
 # '#' is a variable token; a token of a message is never '<*>' here.
-MINED = f"""{ENTRIES.replace("WITH ev", "WITH RECURSIVE ev", 1)},
-w AS (SELECT seq, message, string_split({masked("message", "#")}, ' ') AS words FROM entries WHERE message <> ''),
-routed AS (
+def mining(suffix: str = "", keep: str = "true") -> str:
+    return f"""
+w{suffix} AS (SELECT seq, message, string_split({masked("message", "#")}, ' ') AS words FROM entries WHERE message <> '' AND {keep}),
+routed{suffix} AS (
   SELECT *, len(words) || ' ' || array_to_string(list_transform(words[1:3], lambda x: CASE WHEN x = '#' THEN '<*>' ELSE x END), ' ') AS leaf
-  FROM w),
-rows_ AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY seq) AS r FROM routed),
-step AS (
-  SELECT DISTINCT leaf, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::BIGINT AS hit, CAST([] AS VARCHAR[][]) AS tpl FROM rows_
+  FROM w{suffix}),
+rows_{suffix} AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY seq) AS r FROM routed{suffix}),
+step{suffix} AS (
+  SELECT DISTINCT leaf, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::BIGINT AS hit, CAST([] AS VARCHAR[][]) AS tpl FROM rows_{suffix}
   UNION ALL
   SELECT leaf, r, seq, coalesce(hit, len(tpl) + 1),
          CASE WHEN hit IS NULL THEN list_append(tpl, list_transform(words, lambda x: CASE WHEN x = '#' THEN '<*>' ELSE x END))
@@ -198,13 +199,56 @@ step AS (
     SELECT s.leaf, n.r, n.seq, n.words, s.tpl,
            list_position(list_transform(s.tpl, lambda t:
              len(list_filter(t, lambda x, j: x = '<*>' OR x = n.words[j])) >= 0.5 * len(t)), true) AS hit
-    FROM step s JOIN rows_ n ON s.leaf = n.leaf AND n.r = s.r + 1)),
-final AS (SELECT leaf, unnest(tpl) AS tokens, generate_subscripts(tpl, 1) AS hit FROM (SELECT leaf, arg_max(tpl, r) AS tpl FROM step GROUP BY leaf)),
-hits AS (SELECT s.leaf, s.hit, s.seq, n.message FROM step s JOIN rows_ n ON s.leaf = n.leaf AND s.r = n.r),
-counted AS (SELECT leaf, hit, count(*) AS count, min(seq) AS first FROM hits GROUP BY leaf, hit),
-mined AS (
-  SELECT c.*, 'T_' || row_number() OVER (ORDER BY first) AS template_id, array_to_string(tokens, ' ') AS pattern
-  FROM counted c JOIN final f ON c.leaf = f.leaf AND c.hit = f.hit)"""
+    FROM step{suffix} s JOIN rows_{suffix} n ON s.leaf = n.leaf AND n.r = s.r + 1)),
+final{suffix} AS (
+  SELECT leaf, unnest(tpl) AS tokens, generate_subscripts(tpl, 1) AS hit
+  FROM (SELECT leaf, arg_max(tpl, r) AS tpl FROM step{suffix} GROUP BY leaf)),
+hits{suffix} AS (SELECT s.leaf, s.hit, s.seq, n.message FROM step{suffix} s JOIN rows_{suffix} n ON s.leaf = n.leaf AND s.r = n.r),
+counted{suffix} AS (SELECT leaf, hit, count(*) AS count, min(seq) AS first FROM hits{suffix} GROUP BY leaf, hit),
+mined{suffix} AS (
+  SELECT c.*, tokens, 'T_' || row_number() OVER (ORDER BY first) AS template_id, array_to_string(tokens, ' ') AS pattern
+  FROM counted{suffix} c JOIN final{suffix} f ON c.leaf = f.leaf AND c.hit = f.hit)"""
+
+
+RECURSIVE = ENTRIES.replace("WITH ev", "WITH RECURSIVE ev", 1)
+MINED = f"{RECURSIVE},{mining()}"
+
+# templates of two halves, and the pairs that agree wherever both have a token
+ALIGNED = f"""{RECURSIVE.replace("SELECT event_id AS e,", "SELECT ts AS moment, event_id AS e,", 1).replace("SELECT e, u, shape,", "SELECT moment, e, u, shape,", 1)},
+{mining("_b", "moment < TIMESTAMP '2024-01-16'")},
+{mining("_a", "moment >= TIMESTAMP '2024-01-16'")},
+b AS (SELECT pattern, tokens, count, count / (SELECT sum(count) FROM mined_b)::DOUBLE AS share FROM mined_b),
+a AS (SELECT pattern, tokens, count, count / (SELECT sum(count) FROM mined_a)::DOUBLE AS share FROM mined_a),
+pairs AS (
+  SELECT b.pattern AS bp, a.pattern AS ap, b.count AS bc, a.count AS ac, b.share AS bs, a.share AS s,
+         len(list_filter(b.tokens, lambda x, i: x <> '<*>' AND a.tokens[i] <> '<*>')) AS agreed
+  FROM b JOIN a ON len(b.tokens) = len(a.tokens)
+  WHERE len(list_filter(b.tokens, lambda x, i: x <> '<*>' AND a.tokens[i] <> '<*>' AND x <> a.tokens[i])) = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bp ORDER BY bp = ap DESC, agreed DESC, ac DESC, ap) AS of_b,
+         row_number() OVER (PARTITION BY ap ORDER BY bp = ap DESC, agreed DESC, bc DESC, bp) AS of_a
+  FROM pairs WHERE agreed > 0 OR bp = ap),
+aligned AS (SELECT * FROM ranked WHERE of_b = 1 OR of_a = 1)"""
+
+
+def rate_sql(key: str, hours: int) -> str:
+    return f"""{ENTRIES},
+c AS (
+  SELECT pattern, i, count(*) AS n
+  FROM (SELECT {key} AS pattern, floor(epoch(ts) / {hours * 3600})::BIGINT AS i FROM entries WHERE ts IS NOT NULL)
+  WHERE pattern <> '' GROUP BY pattern, i),
+g AS (
+  SELECT p.pattern, i.i, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT pattern FROM c) p, (SELECT unnest(range((SELECT min(i) FROM c), (SELECT max(i) + 1 FROM c))) AS i) i
+  LEFT JOIN c ON c.pattern = p.pattern AND c.i = i.i),
+m AS (
+  SELECT *, median(n) OVER before AS median, mad(n::DOUBLE) OVER before AS apart, sum(n) OVER before AS past, i - min(i) OVER () AS known
+  FROM g WINDOW before AS (PARTITION BY pattern ORDER BY i ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+scores AS (
+  SELECT pattern, make_timestamp(i * {hours * 3600} * 1000000) AS start, make_timestamp((i + 1) * {hours * 3600} * 1000000) AS "end", n AS count,
+         median, greatest(apart * 1.4826, sqrt(median), 1) AS spread, (n - median) / greatest(apart * 1.4826, sqrt(median), 1) AS score
+  FROM m WHERE known >= 6 AND (n > 0 OR past > 0))"""
+
 
 # what the system turn of each task says
 PROMPT_TEXTS = """WITH hand AS (SELECT 'The input is a digest of log lines: message patterns with counts, levels and a few examples. '
@@ -459,6 +503,17 @@ heads AS (
   FROM packed GROUP BY file, pack_id)
 SELECT file, pack_id, first_line, last_line, n_lines, n_fatal, head || body AS text, strlen(head || body) // 4 AS tokens
 FROM heads JOIN bodies USING (file, pack_id)""",
+    "rate_scores": rate_sql("regexp_extract(message, '^user [0-9]+ ([a-z ]+) [0-9]', 1)", 4)
+    + """ SELECT pattern, start, "end", count, round(median, 6) AS median, round(spread, 6) AS spread, round(score, 6) AS score FROM scores""",
+    "rate_anomalies": rate_sql(masked("message"), 12)
+    + """ SELECT pattern, start, "end", count, round(median, 6) AS median, round(spread, 6) AS spread, round(score, 6) AS score,
+CASE WHEN abs(score) >= 13 THEN 'CRITICAL' WHEN abs(score) >= 8 THEN 'HIGH' WHEN abs(score) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+CASE WHEN score > 0 THEN 'spike' ELSE 'drop' END AS direction FROM scores WHERE abs(score) >= 3""",
+    "template_diff": f"""{ALIGNED}
+SELECT CASE WHEN bp <> ap OR s / bs >= 2 OR s / bs * 2 <= 1 THEN 'changed' ELSE 'same' END AS status, bp AS before_pattern, ap AS after_pattern,
+       bc AS before_count, ac AS after_count, round(bs, 6) AS before_share, round(s, 6) AS after_share, round(s / bs, 6) AS change FROM aligned
+UNION ALL SELECT 'gone', pattern, NULL, count, NULL, round(share, 6), NULL, NULL FROM b WHERE pattern NOT IN (SELECT bp FROM aligned)
+UNION ALL SELECT 'new', NULL, pattern, NULL, count, NULL, round(share, 6), NULL FROM a WHERE pattern NOT IN (SELECT ap FROM aligned)""",
     "vector_top_k": """SELECT vec_id, place, neighbour, similarity FROM (
   SELECT q.vec_id, e.vec_id AS neighbour, similarity,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id)::INT AS place

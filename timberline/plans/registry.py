@@ -14,13 +14,15 @@ from timberline.functions import tokens as tk
 from timberline.functions.levels import level_name, level_ordinal, parse_level
 from timberline.functions.text import estimate_tokens, truncate
 from timberline.functions.timestamps import CLF
+from timberline.operators import anomalies
 from timberline.operators import chunks as ck
 from timberline.operators import compress as cp
 from timberline.operators import filters, redact, search, stats, vectors, windows
 from timberline.operators import templates as tp
+from timberline.operators.diff import diff_logs
 from timberline.operators.parse import detect_format, parse_logs
 from timberline.operators.prompts import TASKS, build_prompts
-from timberline.plans.rendered import YEAR, event_lines, event_logs
+from timberline.plans.rendered import YEAR, event_lines, event_logs, render_lines
 from timberline.session import configure, materialize, shared_dir, spread
 from timberline.sources import sinks
 from timberline.sources.text import read_logs
@@ -523,6 +525,24 @@ def chunk_texts(spark, folder):
     return flat(ck.pack_texts(packed).select("file", "pack_id", "first_line", "last_line", "n_lines", "n_fatal", "text", "tokens"))
 
 
+def rate_scores(spark, folder):
+    """How every kind of user message departs from the days before, in 4 hours."""
+    kind = F.regexp_extract("message", "^user [0-9]+ ([a-z ]+) [0-9]", 1)
+    return flat(anomalies.rate_scores(event_logs(spark, folder), "4h", key=kind))
+
+
+def rate_anomalies(spark, folder):
+    return flat(anomalies.rate_anomalies(event_logs(spark, folder), "12h"))
+
+
+def template_diff(spark, folder):
+    """The templates of the first half of the month against those of the second."""
+    events = table(spark, folder, "events")
+    first = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    halves = [parse_logs(render_lines(events.where(keep)), reference_year=YEAR) for keep in (first, ~first)]
+    return flat(diff_logs(*halves))
+
+
 NEAREST = 10
 
 
@@ -621,6 +641,9 @@ QUERIES = {
     "chunk_hours": chunk_hours,
     "chunk_packs": chunk_packs,
     "chunk_texts": chunk_texts,
+    "rate_scores": rate_scores,
+    "rate_anomalies": rate_anomalies,
+    "template_diff": template_diff,
     "vector_top_k": vector_top_k,
     "vector_recall": vector_recall,
     "follow_stream": follow_stream,
