@@ -5,7 +5,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from timberline.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"compress_all", "compress_stats", "vector_recall"}
+ROWS_ONLY = {"vector_recall"}
 
 
 @pytest.fixture(scope="module")

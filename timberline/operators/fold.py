@@ -27,7 +27,28 @@ class Leaf:
         self.init: list[list[str]] = []
         self.wild: list[np.ndarray] = []
 
-    def add(self, words: list[str], seq: int) -> None:
+    @classmethod
+    def restored(cls, threshold: float, patterns: list[str]) -> Leaf:
+        """A leaf with these templates; when they were founded is not known to it."""
+        leaf = cls(threshold)
+        for pattern in patterns:
+            words = pattern.split(" ")
+            coded = [leaf.ids.setdefault(w, len(leaf.ids)) for w in words]
+            if leaf.tokens is None:
+                leaf.tokens = np.empty((max(8, len(patterns)), len(words)), dtype=np.int64)
+            leaf.tokens[leaf.count] = coded
+            leaf.count += 1
+            leaf.born.append(0)
+            leaf.init.append(words)
+            leaf.wild.append(np.where(np.array(coded) == cls.WILD, 0, NEVER))
+        return leaf
+
+    def patterns(self) -> list[str]:
+        shown = [np.where(wild < NEVER, WILDCARD, np.array(init, dtype=object)) for init, wild in zip(self.init, self.wild)]
+        return [" ".join(words) for words in shown]
+
+    def add(self, words: list[str], seq: int) -> int:
+        """Add a message; the place of its template."""
         ids = self.ids
         coded = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
         if self.tokens is None:
@@ -40,7 +61,7 @@ class Leaf:
             differs = (known[at] != self.WILD) & (known[at] != coded)
             known[at][differs] = self.WILD
             self.wild[at][differs] = seq
-            return
+            return int(at)
         if self.count == len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.empty_like(self.tokens)])
         masked = np.where(coded == self.VARIABLE, self.WILD, coded)
@@ -49,6 +70,7 @@ class Leaf:
         self.born.append(seq)
         self.init.append([WILDCARD if m == self.WILD else w for w, m in zip(words, masked)])
         self.wild.append(np.where(masked == self.WILD, seq, NEVER))
+        return self.count - 1
 
     def rows(self, values: tuple) -> Iterator[tuple]:
         for i in range(self.count):

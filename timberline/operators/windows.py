@@ -39,7 +39,7 @@ def window_start(index: Column, width: int) -> Column:
     return F.timestamp_micros(index * F.lit(width) + F.lit(alignment(width)))
 
 
-def _is_window_error() -> Column:
+def is_window_error() -> Column:
     # unknown levels count as errors here, unlike in the error rate
     return F.col("level").isin("ERROR", "FATAL", "UNKNOWN")
 
@@ -50,7 +50,7 @@ def _window_counts(entries: DataFrame, width: int) -> DataFrame:
         .groupBy(window_index(width).alias("idx"))
         .agg(
             F.count("*").alias("n"),
-            F.count_if(_is_window_error()).alias("errors"),
+            F.count_if(is_window_error()).alias("errors"),
             *[F.count_if(F.col("level") == name).alias(f"n_{name}") for name in LEVELS],
         )
     )

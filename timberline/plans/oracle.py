@@ -181,12 +181,16 @@ def sql_text(text: str) -> str:
 
 # Mining line by line: in every leaf, one step for each message, with the leaf's templates as state.
 # '#' is a variable token; a token of a message is never '<*>' here.
-def mining(suffix: str = "", keep: str = "true") -> str:
-    return f"""
-w{suffix} AS (SELECT seq, message, string_split({masked("message", "#")}, ' ') AS words FROM entries WHERE message <> '' AND {keep}),
+def mining(
+    suffix: str = "", keep: str = "true", source: str = "entries", by: str = "", threshold: float = 0.5, routed: str | None = None
+) -> str:
+    own = f"{by} || '|' || " if by else ""
+    routed = routed or f"""
 routed{suffix} AS (
-  SELECT *, len(words) || ' ' || array_to_string(list_transform(words[1:3], lambda x: CASE WHEN x = '#' THEN '<*>' ELSE x END), ' ') AS leaf
-  FROM w{suffix}),
+  SELECT *, {own}len(words) || ' ' || array_to_string(list_transform(words[1:3], lambda x: CASE WHEN x = '#' THEN '<*>' ELSE x END), ' ') AS leaf
+  FROM w{suffix}),"""
+    return f"""
+w{suffix} AS (SELECT *, string_split({masked("message", "#")}, ' ') AS words FROM {source} WHERE message <> '' AND {keep}),{routed}
 rows_{suffix} AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY seq) AS r FROM routed{suffix}),
 step{suffix} AS (
   SELECT DISTINCT leaf, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::BIGINT AS hit, CAST([] AS VARCHAR[][]) AS tpl FROM rows_{suffix}
@@ -198,7 +202,7 @@ step{suffix} AS (
   FROM (
     SELECT s.leaf, n.r, n.seq, n.words, s.tpl,
            list_position(list_transform(s.tpl, lambda t:
-             len(list_filter(t, lambda x, j: x = '<*>' OR x = n.words[j])) >= 0.5 * len(t)), true) AS hit
+             len(list_filter(t, lambda x, j: x = '<*>' OR x = n.words[j])) >= {threshold} * len(t)), true) AS hit
     FROM step{suffix} s JOIN rows_{suffix} n ON s.leaf = n.leaf AND n.r = s.r + 1)),
 final{suffix} AS (
   SELECT leaf, unnest(tpl) AS tokens, generate_subscripts(tpl, 1) AS hit
@@ -231,6 +235,95 @@ ranked AS (
 aligned AS (SELECT * FROM ranked WHERE of_b = 1 OR of_a = 1)"""
 
 
+# routing where a full node sends further tokens to its wildcard child
+def crowded_sql(depth: int, most: int) -> str:
+    out = "\nleaf0 AS (SELECT *, len(words)::VARCHAR AS leaf FROM w),"
+    for k in range(1, depth):
+        token = f"CASE WHEN words[{k}] = '#' THEN '<*>' ELSE words[{k}] END"
+        out += f"""
+child{k} AS (SELECT *, {token} AS child FROM leaf{k - 1}),
+seen{k} AS (
+  SELECT leaf, child, row_number() OVER (PARTITION BY leaf ORDER BY min(seq)) AS nth FROM child{k} WHERE child IS NOT NULL GROUP BY leaf, child),
+leaf{k} AS (
+  SELECT c.* EXCLUDE (child) REPLACE (c.leaf || CASE WHEN c.child IS NULL THEN '' WHEN nth <= {most} THEN ' ' || c.child ELSE ' <*>' END AS leaf)
+  FROM child{k} c LEFT JOIN seen{k} s ON s.leaf = c.leaf AND s.child = c.child),"""
+    return out + f"\nrouted AS (SELECT * FROM leaf{depth - 1}),"
+
+
+# compression of the redacted lines, a document for each value of ``by``: mining, then each message key's most
+# frequent template for levels and times, then the three sections one after the other, while the budget lasts
+def compress_sql(by: str, limit: int) -> str:
+    titles = ("=== Error Summary ===", "=== Warning Summary ===", "=== Top Info Patterns ===")
+    sections = []
+    for k, title in enumerate(titles):
+        last = "body0" if k == 0 else f"body{k}"
+        opened = "n IS NOT NULL" if k == 0 else f"n IS NOT NULL AND used < {limit - 200}"
+        sections.append(f"""
+taken{k} AS (
+  SELECT d.grp, count(*) AS n, count(*) FILTER (d.used + s.cum <= {limit - 200}) AS took,
+         coalesce(max(s.cum) FILTER (d.used + s.cum <= {limit - 200}), 0) AS cost,
+         coalesce(string_agg(s.text, '' ORDER BY s.nth) FILTER (d.used + s.cum <= {limit - 200}), '') AS texts,
+         list(s.level) FILTER (d.used + s.cum <= {limit - 200}) AS levels
+  FROM {last} d JOIN ranked s ON s.grp = d.grp AND s.section = {k} GROUP BY d.grp),
+body{k + 1} AS (
+  SELECT d.* REPLACE (
+    CASE WHEN {opened} THEN body || '{title}' || chr(10) || texts || chr(10) ELSE body END AS body,
+    CASE WHEN {opened} THEN used + cost ELSE used END AS used,
+    CASE WHEN {opened} THEN included + took ELSE included END AS included,
+    CASE WHEN {opened} THEN list_concat(d.shown, coalesce(t.levels, [])) ELSE d.shown END AS shown)
+  FROM {last} d LEFT JOIN taken{k} t USING (grp))""")
+    footer = f"'Token Count: ~' || ((size + strlen((size // 4)::VARCHAR)) // 4) || ' / {limit}' || chr(10)"
+    return f"""{RECURSIVE},
+redacted AS (
+  SELECT * REPLACE (replace(message, '10.0.' || (u % 256) || '.' || (e % 256),
+                    '[IPV4:' || sha256('10.0.' || (u % 256) || '.' || (e % 256))[1:4] || ']') AS message),
+         {by} AS grp, CASE WHEN shape = 2 THEN 1 WHEN raw = message THEN 1 ELSE 2 END AS hidden,
+         CASE WHEN level <> 'UNKNOWN' THEN {ORDINAL} END AS known
+  FROM entries),
+{mining(source="redacted", by="grp")},
+keys AS (SELECT grp, words, max(known) AS known, min(ts) AS first_ts, max(ts) AS last_ts FROM w GROUP BY grp, words),
+tpl AS (SELECT string_split(leaf, '|')[1] AS grp, leaf, hit, pattern, tokens, count, first FROM mined),
+best AS (
+  SELECT k.grp, k.words, any_value(known) AS known, arg_min((leaf, hit), (-count, first)) AS best
+  FROM keys k JOIN tpl t ON t.grp = k.grp AND len(t.tokens) = len(k.words)
+       AND len(list_filter(t.tokens, lambda x, i: x <> '<*>' AND x <> k.words[i])) = 0
+  GROUP BY k.grp, k.words),
+levels AS (SELECT grp, best, max(known) AS known FROM best GROUP BY grp, best),
+early AS (SELECT leaf, hit, message, row_number() OVER (PARTITION BY leaf, hit ORDER BY seq) AS k FROM hits),
+examples AS (
+  SELECT leaf, hit, string_agg('    - ' || CASE WHEN strlen(message) > 120 THEN message[1:117] || '...' ELSE message END || chr(10), '' ORDER BY k) AS examples
+  FROM early WHERE k <= 3 GROUP BY leaf, hit),
+listed AS (
+  SELECT t.*, CASE WHEN l.known IS NULL THEN 'UNKNOWN' ELSE ['DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL'][l.known + 1] END AS level,
+         CASE WHEN l.known >= 3 THEN 0 WHEN l.known = 2 THEN 1 ELSE 2 END AS section, coalesce(l.known, -1) * 1000 + t.count AS score, x.examples
+  FROM tpl t JOIN levels l ON l.grp = t.grp AND l.best = (t.leaf, t.hit) JOIN examples x ON x.leaf = t.leaf AND x.hit = t.hit),
+written AS (
+  SELECT *, '[' || level || '] ' || pattern || ' (' || count || ' occurrences)' || chr(10) || '  Examples:' || chr(10) || examples AS text,
+         row_number() OVER (PARTITION BY grp, section ORDER BY score DESC, first) AS nth
+  FROM listed),
+ranked AS (SELECT *, sum(strlen(text) // 4) OVER (PARTITION BY grp, section ORDER BY nth) AS cum FROM written),
+totals AS (
+  SELECT grp, count(*) AS total_lines, min(ts) AS start, max(ts) AS "end", sum(hidden)::BIGINT AS redacted_count FROM redacted GROUP BY grp),
+heads AS (
+  SELECT t.*, (SELECT count(*) FROM listed l WHERE l.grp = t.grp) AS total_templates, 0 AS included, []::VARCHAR[] AS shown FROM totals t),
+body AS (
+  SELECT *, '=== Log Analysis Summary ===' || chr(10) || chr(10)
+    || 'Time Range: ' || strftime(start, '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime("end", '%Y-%m-%dT%H:%M:%SZ') || chr(10)
+    || 'Total Lines: ' || total_lines || chr(10) || 'Unique Patterns: ' || total_templates || chr(10)
+    || 'Sensitive Values Redacted: ' || redacted_count || chr(10) || chr(10) AS body
+  FROM heads),
+body0 AS (SELECT *, strlen(body) // 4 AS used FROM body),{",".join(sections)},
+sized AS (SELECT *, strlen(body) + strlen('Token Count: ~ / {limit}') + 1 AS size FROM body3),
+doc AS (SELECT *, body || {footer} AS summary FROM sized)"""
+
+
+# what a stream keeps: the entries with a time that did not come too late
+IN_TIME = f"""{RECURSIVE},
+intime AS (
+  SELECT * REPLACE (row_number() OVER (ORDER BY ts, message) AS seq) FROM entries
+  WHERE ts IS NOT NULL AND NOT (e % 50 = 0 AND ts < TIMESTAMP '2024-01-11'))"""
+
+
 def rate_sql(key: str, hours: int) -> str:
     return f"""{ENTRIES},
 c AS (
@@ -457,9 +550,29 @@ SELECT pattern, level, CAST(coalesce(k, -1) * 1000 + n AS BIGINT) AS score,
   '[' || level || '] ' || pattern || ' (' || n || ' occurrences)' || chr(10) || '  Examples:' || chr(10) || '    - '
   || CASE WHEN strlen(pattern) > 120 THEN pattern[1:117] || '...' ELSE pattern END || chr(10) AS formatted,
   round(n / 4.0, 6)::DOUBLE AS ratio FROM l""",
-    "compress_by_file": f"""{ENTRIES} SELECT file, min(ts) AS start, max(ts) AS "end", count(*) AS total_lines,
-CAST(sum(CASE WHEN shape = 2 THEN 1 WHEN raw = message THEN 1 ELSE 2 END) AS BIGINT) AS redacted_count,
-4000::BIGINT AS token_limit, true AS within_budget FROM entries GROUP BY file""",
+    "crowded_templates": f"""{RECURSIVE},{mining(threshold=0.8, routed=crowded_sql(4, 2))} SELECT template_id, pattern, count FROM mined""",
+    "template_lookup": f"""{MINED} SELECT template_id, pattern, count FROM mined WHERE template_id = 'T_2'""",
+    "templates_by_level": compress_sql("file", 4000) + """
+SELECT s.grp AS file, pattern, count, level FROM body0 d JOIN ranked s ON s.grp = d.grp AND section = 0
+WHERE used + cum <= 3800 AND level = 'ERROR'""",
+    "template_lineage": f"""{RECURSIVE},
+redacted AS (
+  SELECT * REPLACE (replace(message, '10.0.' || (u % 256) || '.' || (e % 256),
+                    '[IPV4:' || sha256('10.0.' || (u % 256) || '.' || (e % 256))[1:4] || ']') AS message) FROM entries),
+{mining(source="redacted", by="file")}
+SELECT string_split(leaf, '|')[1] AS file, 'T_' || row_number() OVER (PARTITION BY string_split(leaf, '|')[1] ORDER BY first) AS template_id,
+       pattern, count FROM mined""",
+    "compress_all": compress_sql("'all'", 8000) + """
+SELECT summary, total_templates, included::BIGINT AS included_templates, strlen(summary) // 4 AS token_count FROM doc""",
+    "compress_by_file": compress_sql("file", 4000) + """
+SELECT grp AS file, summary, start, "end", total_lines, total_templates, included::BIGINT AS included_templates, redacted_count,
+       strlen(summary) // 4 AS token_count, 4000::BIGINT AS token_limit FROM doc""",
+    "compress_stats": compress_sql("level", 8000) + f"""
+SELECT grp AS level, total_lines AS input_lines, included::BIGINT AS output_templates, redacted_count, strlen(summary) // 4 AS token_count,
+       8000::BIGINT AS token_limit, round(CASE WHEN total_templates > 0 THEN total_lines / total_templates ELSE 1 END, 6)::DOUBLE AS compression_ratio,
+       strlen(summary) // 4 <= 8000 AS within_budget,
+       {", ".join(f"len(list_filter(shown, lambda x: x = '{x}')) AS {x.lower()}_count" for x in LEVELS[:-1])}
+FROM doc""",
     "compress_redacted_types": f"""{ENTRIES},
 v AS (SELECT '10.0.' || (u % 256) || '.' || (e % 256) AS ip FROM entries WHERE shape <> 2
       UNION SELECT '10.1.0.' || (u % 256) FROM entries WHERE shape = 2)
@@ -514,6 +627,19 @@ SELECT CASE WHEN bp <> ap OR s / bs >= 2 OR s / bs * 2 <= 1 THEN 'changed' ELSE
        bc AS before_count, ac AS after_count, round(bs, 6) AS before_share, round(s, 6) AS after_share, round(s / bs, 6) AS change FROM aligned
 UNION ALL SELECT 'gone', pattern, NULL, count, NULL, round(share, 6), NULL, NULL FROM b WHERE pattern NOT IN (SELECT bp FROM aligned)
 UNION ALL SELECT 'new', NULL, pattern, NULL, count, NULL, round(share, 6), NULL FROM a WHERE pattern NOT IN (SELECT ap FROM aligned)""",
+    "stream_windows": f"""{IN_TIME}
+SELECT time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 2 HOURS AS "end",
+       count(*) AS count, ltrim({LEVEL_MAP}, ',') AS level_counts, count(*) FILTER (level IN ('ERROR', 'FATAL', 'UNKNOWN')) AS error_count,
+       round(count(*) FILTER (level IN ('ERROR', 'FATAL', 'UNKNOWN')) * 100.0 / count(*), 6)::DOUBLE AS error_percent
+FROM intime GROUP BY ALL""",
+    "stream_templates": f"""{IN_TIME},{mining(source="intime")},
+firsts AS (SELECT leaf, hit, min(i.ts) AS first_ts FROM hits JOIN intime i USING (seq) GROUP BY leaf, hit)
+SELECT pattern, count, first_ts FROM mined JOIN firsts USING (leaf, hit)""",
+    "follow_appended": f"""{ENTRIES},
+arrived AS (
+  SELECT *, 'app' || (line % 64) || '.log' AS name,
+         row_number() OVER (PARTITION BY line % 64 ORDER BY line % 5 = 0, line) AS nth FROM entries)
+SELECT name AS file, nth AS line, level, message FROM arrived WHERE level IN ('WARN', 'ERROR', 'FATAL', 'UNKNOWN')""",
     "vector_top_k": """SELECT vec_id, place, neighbour, similarity FROM (
   SELECT q.vec_id, e.vec_id AS neighbour, similarity,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id)::INT AS place

@@ -26,6 +26,7 @@ from timberline.plans.rendered import YEAR, event_lines, event_logs, render_line
 from timberline.session import configure, materialize, shared_dir, spread
 from timberline.sources import sinks
 from timberline.sources.text import read_logs
+from timberline.streaming import appended, stateful
 from timberline.streaming.follow import follow_logs, tail_and_follow
 
 CONTEXT = 3
@@ -355,6 +356,16 @@ def template_totals(spark, folder):
     return mined.totals()
 
 
+def crowded_templates(spark, folder):
+    """Other settings: a node of the tree has two children, and more than half of the tokens must agree."""
+    mined = tp.mine_templates(event_logs(spark, folder), threshold=0.8, max_children=2)
+    return mined.templates.select("template_id", "pattern", "count")
+
+
+def template_lookup(spark, folder):
+    return tp.mine_templates(event_logs(spark, folder)).template("T_2").select("template_id", "pattern", "count")
+
+
 def _masked_templates(entries: DataFrame) -> DataFrame:
     """Masked messages as templates, for the operators that start from a template table."""
     rows = entries.select(
@@ -409,12 +420,21 @@ def compress_by_file(spark, folder):
     done = cp.compress_logs(event_logs(spark, folder), by=["file"], token_limit=4_000)
     return flat(
         done.output.select(
-            "file", "start", "end", "total_lines", "redacted_count", "token_limit",
-            (F.col("token_count") <= F.col("token_limit")).alias("within_budget"),
+            "file", "summary", "start", "end", "total_lines", "total_templates", "included_templates", "redacted_count",
+            "token_count", "token_limit",
         )
     )
 
 
+def templates_by_level(spark, folder):
+    done = cp.compress_logs(event_logs(spark, folder), by=["file"], token_limit=4_000)
+    return cp.templates_by_level(done.output, "error").select("file", "pattern", "count", "level")
+
+
+def template_lineage(spark, folder):
+    return cp.compress_logs(event_logs(spark, folder), by=["file"]).template_lineage()
+
+
 def compress_stats(spark, folder):
     return flat(cp.compress_logs(event_logs(spark, folder), by=["level"]).stats())
 
@@ -499,6 +519,85 @@ def tail_then_follow(spark, folder):
     return spark.read.parquet(f"{base}/out")
 
 
+# a stream's last row, which lets the watermark pass all others
+LAST_LINE = "2030-01-01 00:00:00 INFO end of all lines"
+LATE_DAYS = 10
+
+
+def _in_steps(spark, folder, name, operator, mode):
+    """Lines arriving in three parts of ten days, with some of the first part's too late in the last."""
+    base = f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
+    days = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01"))
+    late = (F.col("event_id") % 50 == 0) & (days < LATE_DAYS)
+    part = F.when(late, 2).otherwise(F.least(F.floor(days / LATE_DAYS), F.lit(2)))
+    lines = materialize(render_lines(table(spark, folder, "events").withColumn("part", part), "part"), "parts")
+    arriving = [lines.where(F.col("part") == k).select(F.col("raw").alias("value")) for k in range(3)]
+    for rows in [*arriving, spark.createDataFrame([(LAST_LINE,)], "value string")]:
+        rows.write.mode("append").text(f"{base}/in")
+        query = (
+            operator(follow_logs(spark, f"{base}/in", reference_year=YEAR))
+            .writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{base}/out"))
+            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def stream_windows(spark, folder):
+    """Windows of a stream in append mode; rows beyond the watermark are left out."""
+    got = _in_steps(spark, folder, "windows", lambda entries: stateful.stream_windows(entries, "2h", "30 minutes"), "append")
+    return flat(got.withColumn("level_counts", map_text("level_counts")))
+
+
+def stream_templates(spark, folder):
+    """Templates mined on a stream, as they stand at its end."""
+    got = _in_steps(spark, folder, "mined", lambda entries: stateful.stream_templates(entries, "30 minutes"), "update")
+    return flat(stateful.current_templates(got))
+
+
+def follow_appended(spark, folder):
+    """Files that grow twice, followed by two starts of one query, with line numbers."""
+    base = f"{shared_dir(spark).removeprefix('file:')}/timberline/grown-{uuid.uuid4().hex}"
+    e = F.col("line")
+    lines = event_lines(spark, folder).withColumn("name", F.concat(F.lit("app"), e % 64, F.lit(".log")))
+
+    def grow(rows, before):
+        # written from where the file ended before, so that a task that runs again writes the same
+        ends = before.groupBy("name").agg(F.sum(F.octet_length("raw") + 1).alias("end"))
+        placed = rows.join(ends, "name", "left").select("name", F.coalesce("end", F.lit(0)).alias("end"), "line", "raw")
+        placed.repartition("name").sortWithinPartitions("name", "line").foreachPartition(appender(f"{base}/in"))
+
+    def keep(batch, number):
+        batch.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line", "level", "message").write.mode("append").parquet(f"{base}/out")
+
+    numbered = appended.number_lines(appended.parsed_batches(keep, "warn", reference_year=YEAR), f"{base}/lines")
+    first, second = lines.where(e % 5 > 0), lines.where(e % 5 == 0)
+    for rows, before in ((first, first.limit(0)), (second, first)):
+        grow(rows, before)
+        query = (
+            appended.follow_appended(spark, f"{base}/in").writeStream.foreachBatch(numbered)
+            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def appender(folder):
+    """Appends a partition's rows (name, end, line, raw) to the files they name, which have ``end`` bytes."""
+
+    def run(rows):
+        import itertools
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for (name, end), own in itertools.groupby(rows, lambda r: (r["name"], r["end"])):
+            with open(f"{folder}/{name}", "r+b" if end else "wb") as f:
+                f.seek(end)
+                f.writelines(r["raw"].encode() + b"\n" for r in own)
+
+    return run
+
+
 # -- chunks and vectors
 
 def chunk_errors(spark, folder):
@@ -627,11 +726,15 @@ QUERIES = {
     "mine_templates": mine_templates,
     "template_assignments": template_assignments,
     "template_totals": template_totals,
+    "crowded_templates": crowded_templates,
+    "template_lookup": template_lookup,
     "first_match": first_match,
     "template_priority": template_priority,
     "compress_all": compress_all,
     "compress_by_file": compress_by_file,
     "compress_stats": compress_stats,
+    "templates_by_level": templates_by_level,
+    "template_lineage": template_lineage,
     "compress_redacted_types": compress_redacted_types,
     "prompts": prompts,
     "task_prompts": task_prompts,
@@ -647,5 +750,8 @@ QUERIES = {
     "vector_top_k": vector_top_k,
     "vector_recall": vector_recall,
     "follow_stream": follow_stream,
+    "follow_appended": follow_appended,
+    "stream_windows": stream_windows,
+    "stream_templates": stream_templates,
     "tail_then_follow": tail_then_follow,
 }

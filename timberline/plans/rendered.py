@@ -100,9 +100,9 @@ def _line_columns(app_id: str) -> list[Column]:
     ]
 
 
-def render_lines(events: DataFrame) -> DataFrame:
-    """``file, line, seq, raw``: one log line per event."""
-    return events.select(*_line_columns(events.sparkSession.sparkContext.applicationId))
+def render_lines(events: DataFrame, *columns: str) -> DataFrame:
+    """``file, line, seq, raw`` and the given columns: one log line per event."""
+    return events.select(*_line_columns(events.sparkSession.sparkContext.applicationId), *columns)
 
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
