@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from drain_reference import mine
@@ -138,3 +139,33 @@ def test_masked_frequency(spark):
     df = entries(spark, ["x 1 y", "x\t2  y", "x z y", " "])
     got = {r.pattern: r["count"] for r in tp.template_frequency(df).collect()}
     assert got == {"x <*> y": 2, "x z y": 1}
+
+
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(tp, "KEY_BLOCK", 7)
+    monkeypatch.setattr(tp, "TEMPLATE_BLOCK", 3)
+    rng = random.Random(11)
+    stream = [" ".join(["x"] + [rng.choice("abcdefg") for _ in range(5)] + [rng.choice(["1", "<*>", "z"])]) for _ in range(1200)]
+    check(spark, stream, threshold=0.7)
+
+
+def test_a_leaf_of_templates_that_never_merge(spark):
+    n = 20_000
+    word = lambda salt: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256), 1, 6)
+    lines = spark.range(1, n + 1, 1, 4).select(
+        F.col("id").alias("line"), F.concat_ws(" ", F.lit("a b c"), *[F.concat(F.lit("g"), word(s)) for s in "pqrstuv"]).alias("message")
+    )
+    # every line founds a template of the one leaf, and comes a second time
+    twice = lines.unionByName(lines.withColumn("line", F.col("line") + n))
+    mined = tp.mine_templates(twice)
+    assert mined.templates.agg(F.count("*"), F.min("count"), F.max("count")).first() == (n, 2, 2)
+
+
+def test_no_row_holds_a_leaf(spark):
+    keys = spark.createDataFrame(
+        [("3 a b c", "a b c d", 1, 9, False, False)], "leaf string, key string, first_seq bigint, last_seq bigint, active boolean, covered boolean"
+    )
+    templates = spark.createDataFrame([("3 a b c", 0, 1, ["a", "b", "c", "d"], [9, 9, 9, 9])], "leaf string, idx int, born bigint, init array<string>, wild array<bigint>")
+    plan = tp._check(keys, templates, (), 0.5)._jdf.queryExecution().executedPlan().toString()
+    # pairs of blocks are dealt, not leaves
+    assert re.search(r"hashpartitioning\(leaf#\d+, block#\d+L, part#\d+L", plan)

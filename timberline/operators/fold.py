@@ -11,6 +11,8 @@ WILDCARD = "<*>"
 VARIABLE = "\t"
 NEVER = (1 << 63) - 1
 ROWS_PER_BATCH = 10_000
+# keys times templates that are compared at a time
+PRODUCT = 1 << 19
 
 
 class Leaf:
@@ -104,3 +106,97 @@ def folder(
         yield frame(done)
 
     return run
+
+
+class Templates:
+    """A block of one leaf's templates, in the order of their creation, with when each position became a wildcard."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.ids: dict[str, int] = {WILDCARD: Leaf.WILD, VARIABLE: Leaf.VARIABLE}
+        self.idx: list[int] = []
+        self.born: list[int] = []
+        self.init: list[list[int]] = []
+        self.wild: list[list[int]] = []
+
+    def add(self, idx: int, born: int, init: list[str], wild: list[int]) -> None:
+        self.idx.append(idx)
+        self.born.append(born)
+        self.init.append(self.coded(init))
+        self.wild.append(wild)
+
+    def coded(self, words: list[str]) -> list[int]:
+        return [self.ids.setdefault(w, len(self.ids)) for w in words]
+
+    def check(self, keys: list[str], first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, bool, int]]:
+        """For every key that is near a template: its place, the first near one at its first line (or -1), whether
+        that covers it, and when one before it came near up to its last line (or NEVER)."""
+        if not self.idx:
+            return
+        idx, born = np.array(self.idx), np.array(self.born, dtype=np.int64)
+        init, wild = np.array(self.init, dtype=np.int64), np.array(self.wild, dtype=np.int64)
+        codes = np.array([self.coded(k.split(" ")) for k in keys], dtype=np.int64)
+        width = init.shape[1]
+        step = max(1, PRODUCT // len(idx))
+        for at in range(0, len(keys), step):
+            part, one, end = codes[at : at + step], first[at : at + step, None], last[at : at + step, None]
+            early, late, fit = (np.zeros((len(part), len(idx)), dtype=np.int32) for _ in range(3))
+            for j in range(width):
+                same = init[:, j] == part[:, j, None]
+                free = (part[:, j] == Leaf.WILD)[:, None]
+                now = same | (wild[:, j] <= one)
+                fit += now
+                early += now | free
+                late += same | free | (wild[:, j] <= end)
+            near = (born <= one) & (early / width >= self.threshold)
+            soon = (born <= end) & (late / width >= self.threshold)
+            found = near.any(axis=1)
+            chosen = np.where(found, near.argmax(axis=1), len(idx))
+            before = soon & (np.arange(len(idx)) < chosen[:, None])
+            for i in np.flatnonzero(found | before.any(axis=1)).tolist():
+                moment = NEVER
+                for t in np.flatnonzero(before[i]).tolist():
+                    matched = (init[t] == part[i]) | (part[i] == Leaf.WILD)
+                    times = np.sort(np.where(matched, -1, wild[t]))
+                    # as many matches as are needed, counted as above
+                    enough = np.flatnonzero(np.arange(1, width + 1) / width >= self.threshold)[0]
+                    moment = min(moment, max(int(times[enough]), self.born[t]))
+                yield (
+                    at + i, int(idx[chosen[i]]) if found[i] else -1, bool(found[i]) and int(fit[i, chosen[i]]) == width, moment
+                )
+
+
+def checker(group: tuple[str, ...], threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A ``mapInPandas`` function over blocks of templates, each followed by a block of keys of their leaf."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, block, waiting, done = None, Templates(threshold), [], []
+
+        def checked() -> None:
+            if waiting:
+                keys, first, last = zip(*waiting, strict=True)
+                for i, *found in block.check(keys, np.array(first), np.array(last)):
+                    done.append((*current[:-2], keys[i], first[i], current[-1], *found))
+                waiting.clear()
+
+        names = [*group, "key", "first_seq", "part", "idx", "covers", "moment"]
+        for batch in batches:
+            blocks = zip(*[batch[c].tolist() for c in (*group, "block", "part")], strict=True)
+            columns = (batch[c] for c in ("key", "first_seq", "last_seq", "idx", "born", "init", "wild"))
+            for own, key, first, last, idx, born, init, wild in zip(blocks, *columns, strict=True):
+                if own != current:
+                    checked()
+                    current, block = own, Templates(threshold)
+                if key is None:
+                    block.add(int(idx), int(born), list(init), list(wild))
+                else:
+                    waiting.append((key, int(first), int(last)))
+                    if len(waiting) == ROWS_PER_BATCH:
+                        checked()
+            if len(done) > ROWS_PER_BATCH:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        checked()
+        yield pd.DataFrame(done, columns=names)
+
+    return run

@@ -11,11 +11,11 @@ naive distribution is wrong and a naive grouping puts a whole leaf into one task
 2. Per leaf, the earliest keys are folded in order into templates. A template position
    turns from literal to wildcard once, so storing *when* each did gives the exact state
    of every template at any moment.
-3. All keys are checked, in parallel and independent of leaf size, against the state at
+3. All keys are checked, in blocks of keys and of templates, against the state at
    their own position. A key that its template already covers changed nothing, and
    leaving it out of the fold was right. Others join the next fold.
 4. A key that an earlier template came to capture between its first and last line is
-   counted again, split at the moments when its leaf's templates changed.
+   counted again, split at the moment when that template came near enough.
 
 It ends when every check passes, and then equals the line-by-line result exactly.
 """
@@ -43,6 +43,9 @@ MAX_EXAMPLES = 3
 FIRST_FOLD = 1_000
 FOLD_GROWTH = 8
 
+# Keys and templates of a leaf that are compared in one task.
+KEY_BLOCK, TEMPLATE_BLOCK = 8_192, 2_048
+
 _NEVER = fold.NEVER
 _LANES = 4
 
@@ -217,44 +220,53 @@ def _fold(active: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
     return ordered.mapInPandas(fold.folder(tuple(group), threshold), schema)
 
 
-def _leaf_states(templates: DataFrame, group: Sequence[str]) -> DataFrame:
-    return templates.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "born", "init", "wild"))).alias("_state")
-    )
-
+def _check(keys: DataFrame, templates: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
+    """Add ``idx`` (template at the key's position), ``covered``, ``captured`` and ``moment``.
 
-def _check(keys: DataFrame, states: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """Add ``idx`` (template at the key's position), ``covered`` and ``captured``."""
-    words = F.col("_words")
-    spots = F.sequence(F.lit(0), F.size(words) - 1)
-
-    def fits(template: Column, moment: Column, i: Column) -> Column:
-        return (F.get(template["wild"], i) <= moment) | (
-            F.get(template["init"], i) == F.get(words, i)
-        )
-
-    def near(template: Column, moment: Column) -> Column:
-        same = F.filter(
-            spots, lambda i: (F.get(words, i) == tk.WILDCARD) | fits(template, moment, i)
-        )
-        return (template["born"] <= moment) & (F.size(same) / F.size(words) >= threshold)
-
-    first, last, state = F.col("first_seq"), F.col("last_seq"), F.col("_state")
-    nth = F.array_position(F.transform(state, lambda t: near(t, first)), F.lit(True))
-    chosen = F.get(state, (F.col("_nth") - 1).cast("int"))
-    covered = F.coalesce(F.forall(spots, lambda i: fits(chosen, first, i)), F.lit(False))
-    earlier = F.slice(state, F.lit(1), F.greatest(F.col("_nth") - 1, F.lit(0)).cast("int"))
-    captured = (last > first) & F.exists(earlier, lambda t: near(t, last))
-    return (
-        keys.drop("idx", "covered", "captured")
-        .join(states, list(group), "left")
-        .withColumn("_words", F.split("key", " "))
-        .withColumn("_nth", F.coalesce(nth, F.lit(0)).cast("int"))
-        .withColumn("idx", F.when(F.col("_nth") > 0, F.col("_nth") - 1))
-        .withColumn("covered", covered)
-        .withColumn("captured", F.coalesce(captured, F.lit(False)))
-        .drop("_words", "_nth", "_state")
+    A leaf's templates and keys are cut into blocks of bounded size; each pair of blocks is compared in one task
+    and gives what its templates say about a key, of which the earliest template counts. ``moment`` is when
+    a template before it came near; what such a template gets is counted again from there.
+    """
+    group = [*by, "leaf"]
+    base = keys.drop("idx", "covered", "captured", "moment")
+    blocks = base.groupBy(*group).agg(F.ceil(F.count("*") / KEY_BLOCK).alias("_blocks"))
+    parts = templates.groupBy(*group).agg(F.max("idx").alias("_last"))
+    cut = materialize(blocks.join(parts, group), "leaf-blocks")
+    every = F.lit(0).cast("bigint")
+    of_keys = (
+        base.join(cut, group)
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")))
+        .withColumn("part", F.explode(F.sequence(every, F.floor(F.col("_last") / TEMPLATE_BLOCK))))
+        .select(*group, "block", "part", "key", "first_seq", "last_seq")
+    )
+    of_templates = (
+        templates.join(cut, group)
+        .withColumn("part", F.floor(F.col("idx") / TEMPLATE_BLOCK))
+        .withColumn("block", F.explode(F.sequence(every, F.col("_blocks") - 1)))
+        .select(*group, "block", "part", "idx", "born", "init", "wild")
+    )
+    at = [*group, "block", "part"]
+    # the templates of a block come first
+    paired = (
+        of_keys.unionByName(of_templates, allowMissingColumns=True)
+        .repartition(*at).sortWithinPartitions(*at, F.asc_nulls_first("key"), "idx")
+    )
+    by_type = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in group)
+    schema = f"{by_type}, key string, first_seq bigint, part bigint, idx int, covers boolean, moment bigint"
+    found = paired.mapInPandas(fold.checker(tuple(group), threshold), schema)
+    some = F.col("idx") >= 0
+    said = found.groupBy(*group, "key", "first_seq").agg(
+        F.min(F.when(some, F.struct("idx", "part", "covers"))).alias("_first"),
+        # (a number for each block that has such a template)
+        F.collect_list(F.when(F.col("moment") < _NEVER, F.struct("part", "moment"))).alias("_moments"),
     )
+    before = F.filter("_moments", lambda m: m["part"] <= F.col("_first.part"))
+    said = said.select(
+        *group, "key", "first_seq", F.col("_first.idx").alias("idx"), F.coalesce("_first.covers", F.lit(False)).alias("covered"),
+        F.array_min(F.transform(before, lambda m: m["moment"])).alias("moment"),
+    )
+    joined = base.join(said, [*group, "key", "first_seq"], "left")
+    return joined.withColumn("covered", F.coalesce("covered", F.lit(False))).withColumn("captured", F.col("moment").isNotNull())
 
 
 def _activate(keys: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
@@ -272,33 +284,16 @@ def _activate(keys: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
     )
 
 
-def _split_captured(
-    rows: DataFrame, keys: DataFrame, templates: DataFrame, by: Sequence[str]
-) -> DataFrame:
-    """Count captured keys again, per stretch in which their leaf's templates stood still."""
-    group = [*by, "leaf"]
-    moments = templates.groupBy(*group).agg(
-        F.array_sort(
-            F.array_distinct(
-                F.flatten(F.collect_list(F.concat(F.array("born"), F.col("wild"))))
-            )
-        ).alias("_moments")
+def _split_captured(rows: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Count captured keys again, their lines before and from the moment of the capture on."""
+    piece = [*by, "key", "leaf", "active", "_from"]
+    captured = keys.where("captured").select(
+        *by, "key", "leaf", "active", F.col("first_seq").alias("_from"), F.col("last_seq").alias("_to"), "moment"
     )
-    captured = (
-        keys.groupBy(*by, "key", "leaf")
-        .agg(F.max("captured").alias("_captured"), F.max("active").alias("active"))
-        .where("_captured")
-        .drop("_captured")
-        .join(moments, group)
-    )
-    stretch = F.size(F.filter("_moments", lambda m: m < F.col("seq")))
-    again = rows.join(captured, [*by, "key"]).withColumn("_stretch", stretch)
-    recounted = _count_keys(again, [*by, "key", "leaf", "active", "_stretch"]).drop("_stretch")
-    untouched = keys.join(captured.select(*by, "key"), [*by, "key"], "left_anti")
+    again = rows.join(captured, [*by, "key"]).where(F.col("seq").between(F.col("_from"), F.col("_to")))
+    recounted = _count_keys(again.withColumn("_later", F.col("seq") >= F.col("moment")), [*piece, "_later"]).drop("_from", "_later")
     # the next check decides whether the new rows are covered
-    return untouched.unionByName(
-        recounted.withColumn("covered", F.lit(True)), allowMissingColumns=True
-    )
+    return keys.where("not captured").unionByName(recounted.withColumn("covered", F.lit(True)), allowMissingColumns=True)
 
 
 def _ranked(templates: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -365,14 +360,13 @@ def mine_templates(
         if refold:
             keys = materialize(_activate(keys, group, limit), "keys")
             templates = materialize(_fold(keys.where("active"), by, threshold), "templates")
-            states = _leaf_states(templates, group)
             limit *= FOLD_GROWTH
-        keys = materialize(_check(keys, states, group, threshold), "checked")
+        keys = materialize(_check(keys, templates, by, threshold), "checked")
         left = keys.agg(
             F.count_if(~F.col("covered")).alias("open"), F.count_if("captured").alias("captured")
         ).first()
         if left["captured"]:
-            keys = materialize(_split_captured(rows, keys, templates, by), "recounted")
+            keys = materialize(_split_captured(rows, keys, by), "recounted")
         elif not left["open"]:
             break
         refold = bool(left["open"])
