@@ -77,3 +77,30 @@ def test_hashes():
     rng.shuffle(texts)
     for together, alone, text in zip(jaccard.shingle_sets(texts), (jaccard.shingle_sets([t])[0] for t in texts), texts, strict=True):
         assert np.array_equal(together, alone) and len(alone) == len(sets(text))
+
+
+def test_sketches_never_part_linked_sets(spark):
+    rng = random.Random(8)
+    for _ in range(50):
+        one = np.array(sorted(rng.sample(range(1 << 60), 200)), np.uint64)
+        other = np.union1d(one[rng.randrange(40) :], np.array(rng.sample(range(1 << 60), rng.randrange(1, 40)), np.uint64))
+        apart = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard.sketch(one) ^ jaccard.sketch(other))
+        assert apart <= len(np.setxor1d(one, other))
+    assert len(jaccard.sketch(np.zeros(0, np.uint64))) == jaccard.SKETCH
+
+
+def test_a_large_group_of_near_copies(spark):
+    # any two link with an even chance, and others share a passage with them that makes up most of their text
+    rng = random.Random(9)
+    base = ["b%d" % rng.randrange(10**6) for _ in range(150)]
+    passage = ["p%d" % rng.randrange(10**6) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(150), 3):
+            own[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(passage + ["u%d" % rng.randrange(10**6) for _ in range(12 + i % 9)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = jaccard.jaccard_components(docs, cold=3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)

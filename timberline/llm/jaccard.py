@@ -4,18 +4,22 @@ A document's set holds its distinct five-word shingles as 64-bit hashes. Equal s
 so that copies cost one row. Two classes link when 100 * intersection >= 75 * union. The product of
 the incidence matrix with itself is never formed whole:
 
-* Columns are ordered by hash, common ones last. A class of n shingles can only link with one that
-  shares one of its first n - ceil(0.75 n) + 1 columns, so only these entries are multiplied, and of
-  them only the columns that two documents have. Both kinds of columns are found by distributed
+* Columns are ordered by hash, common ones last and very common ones after these. A class of n shingles can only
+  link with one that shares one of its first n - ceil(0.75 n) + 1 columns, so only these entries are multiplied,
+  and of them only the columns that two documents have. Both kinds of columns are found by distributed
   counts, the common ones in a first pass by hash alone, and kept in bit tables of fixed size. Any
   table gives right results; a full one only lets more entries through.
 * Columns of at most ``COLD`` classes give all their pairs. Overlap counts are accumulated over the
   columns, and a pair is discarded if what they have in common, all hot columns of either and the
   rest of the larger set can't reach 3/7 of the sum of both sizes, or if the sizes are too unequal.
-* Hot columns first compare their members with one leader each, which joins most of what links.
-  Members that are still in different components after that are paired, with the same bound on the
-  overlap, so that no link between components is lost.
-* Pairs that are left are verified on the whole sets.
+* Hot columns go through rounds. In each, every member outside the column's largest component is compared with
+  ``LEADERS`` members of that component, others in each round; what links joins it and leaves. A group of near copies of
+  which any two link with a fair chance is so joined by a few comparisons a member. A column stays as long as
+  a round joins at least a fifth of its outside members.
+* Members that are still outside after that are paired with all members of other components, so that no link between
+  components is lost: where both stand early enough in the column, and where sketches of the sets, parities of
+  512 hash buckets, differ in no more bits than linked sets may differ in shingles.
+* Pairs that are left are verified on the whole sets, which are read from the texts once.
 
 Components need no pair whose ends are joined already, so links within a component are not all
 listed. The result is exact but for equal 64-bit hashes of different shingles.
@@ -29,10 +33,11 @@ empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import salted_join
@@ -42,6 +47,15 @@ from timberline.session import materialize
 WORDS = 5
 TABLE_BITS = 26
 COLD = 8
+# classes of a column from which on it is very common, in units of COLD
+VERY = 16
+LEADERS = 4
+# a column leaves the rounds when this share of its outside members is left by one
+SHRINK = 0.8
+# words of a sketch
+SKETCH = 8
+# pairs of one class that are verified in one task
+PAIRS_OF_ONE = 4096
 
 _U = np.uint64
 _IS_SPACE = np.zeros(256, bool)
@@ -103,6 +117,15 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of 64 bits; a bit is set if an odd number of shingles falls on it.
+
+    Sets differ in at least as many shingles as their sketches in bits.
+    """
+    odd = np.bincount((_mix(own) >> _U(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def class_hash(own: np.ndarray) -> int:
     """A hash of the set, signed."""
     return int(_mix(own ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U).astype(np.int64))
@@ -134,14 +157,16 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(_U).view(np.int64))
 
 
-def _prefix(own: np.ndarray, common: np.ndarray | None, bits: int) -> np.ndarray:
-    """The first shingles, of which two linked sets share one: by hash, those in the table ``common`` last."""
+def _prefix(own: np.ndarray, common: list[np.ndarray], bits: int) -> np.ndarray:
+    """The first shingles, of which two linked sets share one: by hash, those in more of the ``common`` tables later."""
     first = len(own) - (3 * len(own) + 3) // 4 + 1
-    if common is None or not len(own):
+    if not common or not len(own):
         return own[:first]
-    late = _in_table(own, common, bits)
-    rare = own[~late]
-    return rare[:first] if len(rare) >= first else np.concatenate([rare, own[late][: first - len(rare)]])
+    late = sum(_in_table(own, table, bits).astype(np.int8) for table in common)
+    rare = own[late == 0]
+    if len(rare) >= first:
+        return rare[:first]
+    return own[np.argsort(late, kind="stable")[:first]]
 
 
 def _table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -170,6 +195,15 @@ def _sizes_fit(a: str, b: str):
     return F.least(a, b) * 4 >= F.greatest(a, b) * 3
 
 
+_WORDS = [f"w{i}" for i in range(SKETCH)]
+
+
+def _may_link(m: str, n: str, left: str, right: str) -> Column:
+    """Whether the sizes fit and the sketches, whose words have these prefixes, differ in few enough bits."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(left + w).bitwiseXOR(F.col(right + w))) for w in _WORDS])
+    return _sizes_fit(m, n) & (apart <= F.col(m) + F.col(n) - 2 * _needed(m, n))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
@@ -182,10 +216,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # no salts: they would copy whole sets; a class in very many pairs is split by adaptive execution
-    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("own").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("own").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    # a class in very many pairs is dealt over several tasks; only its own set is copied
+    busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_OF_ONE).alias("_parts")).where(F.col("_parts") > 1)
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    dealt = pairs.join(busy, "a", "left").withColumn("_part", F.pmod(F.xxhash64("b"), parts)).drop("_parts")
+    copied = sets.select(F.col("class").alias("a"), F.col("own").alias("x")).join(busy, "a", "left")
+    copied = copied.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+    with_b = dealt.join(sets.select(F.col("class").alias("b"), F.col("own").alias("y")), "b")
+    return with_b.join(copied, ["a", "_part"]).select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(
@@ -195,40 +233,46 @@ def jaccard_components(
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
 
-    def described(ids, sets):
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_hash(s) for s in sets], pa.int64())], ["doc_id", "n", "class"]
-        )
-
-    info = materialize(_scan(own, f"doc_id {id_type}, n bigint, class bigint", described), "info")
     context = docs.sparkSession.sparkContext
 
-    def heights_of(common) -> DataFrame:
+    def heights_of(common: list[np.ndarray]) -> DataFrame:
         """(key, docs) of the first columns that several documents have."""
+        tables = context.broadcast(common)
 
         def columns(ids, sets):
-            found = [_prefix(s, common and common.value, table_bits) for s in sets]
+            found = [_prefix(s, tables.value, table_bits) for s in sets]
             return pa.RecordBatch.from_arrays([_long(np.concatenate(found))], ["key"])
 
         return _scan(own, "key bigint", columns).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") > 1)
 
-    common = context.broadcast(_table(heights_of(None).where(F.col("docs") > cold), "key", table_bits))
-    table = context.broadcast(_table(heights_of(common), "key", table_bits))
+    tall = materialize(heights_of([]).where(F.col("docs") > cold), "tall")
+    common = [_table(tall.where(F.col("docs") > least), "key", table_bits) for least in (cold, cold * VERY)]
+    shared = context.broadcast((common, _table(heights_of(common), "key", table_bits)))
 
-    def entries(ids, sets):
-        found = [_prefix(s, common.value, table_bits) for s in sets]
-        found = [x[_in_table(x, table.value, table_bits)] for x in found]
+    def described(ids, sets):
+        """A row without key for each document, and one without id for each entry of the product."""
+        common, table = shared.value
+        found = [_prefix(s, common, table_bits) for s in sets]
+        kept = [_in_table(x, table, table_bits) for x in found]
+        places = [np.flatnonzero(k) for k in kept]
+        found = [x[k] for x, k in zip(found, kept, strict=True)]
+        classes, lengths = np.array([class_hash(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
         sizes = [len(x) for x in found]
+        entries = sum(sizes)
         return pa.RecordBatch.from_arrays(
             [
-                _long(np.concatenate(found)),
-                pa.array(np.repeat(np.array([class_hash(s) for s in sets], np.int64), sizes)),
-                pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), sizes)),
+                pa.concat_arrays([ids, pa.nulls(entries, ids.type)]),
+                pa.concat_arrays([pa.nulls(len(sets), pa.int64()), _long(np.concatenate(found))]),
+                pa.array(np.concatenate([classes, np.repeat(classes, sizes)])),
+                pa.array(np.concatenate([lengths, np.repeat(lengths, sizes)])),
+                pa.concat_arrays([pa.nulls(len(sets), pa.int32()), pa.array(np.concatenate(places).astype(np.int32))]),
             ],
-            ["key", "class", "n"],
+            ["doc_id", "key", "class", "n", "place"],
         )
 
-    incidence = materialize(_scan(own, "key bigint, class bigint, n bigint", entries).distinct(), "incidence")
+    described_rows = materialize(_scan(own, f"doc_id {id_type}, key bigint, class bigint, n bigint, place int", described), "described")
+    info = described_rows.where("key is null").select("doc_id", "class", "n")
+    incidence = materialize(described_rows.where("key is not null").select("key", "class", "n", "place").distinct(), "incidence")
     heights = incidence.groupBy("key").agg(F.count("*").alias("height")).where(F.col("height") > 1)
     shared_entries = materialize(salted_join(incidence, heights, ["key"], ["class"], salts=4), "shared")
     few = shared_entries.where(F.col("height") <= cold)
@@ -238,7 +282,7 @@ def jaccard_components(
     ).where((F.col("a") < F.col("b")) & _sizes_fit("m", "n"))
     counted = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
     candidates = _within_reach(counted, many.groupBy("class").agg(F.count("*").alias("other")))
-    return _joined(own, info, candidates, shared_entries, few, many, table_bits, id_type)
+    return _joined(own, info, materialize(candidates, "pairs"), many, table_bits, id_type)
 
 
 def _reachable(common):
@@ -258,75 +302,113 @@ def _within_reach(counted: DataFrame, other: DataFrame) -> DataFrame:
     return counted.where(_reachable(F.col("common") + more)).select("a", "b")
 
 
-def _counted(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The pairs whose overlap in all first columns may be enough."""
-    left = entries.select(F.col("class").alias("a"), "key", F.col("n").alias("m"))
-    right = entries.select(F.col("class").alias("b"), "key", "n")
-    counts = pairs.join(left, "a").join(right, ["b", "key"]).groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
-    return counts.where(_reachable(F.col("common"))).select("a", "b")
-
-
-def _leaders(many: DataFrame) -> DataFrame:
-    """Pairs of a hot column's members with its leader, the smallest class."""
-    lead = many.groupBy("key").agg(F.min("class").alias("leader"))
-    sizes = many.select("key", F.col("class").alias("leader"), F.col("n").alias("m"))
-    lead = sizes.join(lead, ["key", "leader"])
-    pairs = salted_join(many, lead, ["key"], ["class"]).where((F.col("class") != F.col("leader")) & _sizes_fit("m", "n"))
-    return pairs.select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-
-
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.select(F.col("node").alias("class"), "label")
     return entries.join(own, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def _residual(many: DataFrame, few: DataFrame, labels: DataFrame) -> DataFrame:
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after the components that ``links`` connect are one."""
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    ends = ends.select(*[F.coalesce(f"label_{side}", side).alias(side) for side in ("a", "b")]).where("a <> b").distinct()
+    moved = connected_components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    nodes = labels.unionByName(fresh.withColumn("label", F.col("node")))
+    joined = salted_join(nodes, moved, ["label"], ["node"], "left")
+    return materialize(joined.select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _splits(own: DataFrame) -> DataFrame:
+    """(key, top, outside) of the columns with several components: the largest, and how many members are in others."""
+    sizes = own.groupBy("key", "label").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"))
+    return tops.where(F.col("total") > F.col("top.n")).select("key", F.col("top.label").alias("top"), (F.col("total") - F.col("top.n")).alias("outside"))
+
+
+def _leader_rounds(many: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The labels after rounds of comparing what is outside a column's largest component with members of it."""
+    before, number = None, 0
+    while True:
+        own = materialize(_labelled(many, labels), "labelled")
+        splits = materialize(_splits(own), "splits")
+        if before is not None:
+            shrunk = F.col("outside") <= F.col("earlier") * SHRINK
+            splits = splits.join(before.select("key", F.col("outside").alias("earlier")), "key").where(shrunk).drop("earlier")
+        members = salted_join(own, splits.select("key", "top"), ["key"], ["class"])
+        order = F.xxhash64("class", F.lit(number))
+        leaders = (
+            members.where("label = top").groupBy("key", F.pmod(order, F.lit(LEADERS)).alias("lane"))
+            .agg(F.min(F.struct(order.alias("order"), "class", "n", *_WORDS)).alias("led"))
+            .select("key", F.col("led.class").alias("a"), F.col("led.n").alias("m"), *[F.col(f"led.{w}").alias(f"a_{w}") for w in _WORDS])
+        )
+        pairs = salted_join(members.where("label <> top"), leaders, ["key"], ["class"]).where(_may_link("m", "n", "a_", ""))
+        pairs = materialize(pairs.select("a", F.col("class").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            return labels
+        links = materialize(_verified(pairs, sets), "verified")
+        if links.isEmpty():
+            return labels
+        labels, before, number = _relabelled(labels, links), splits, number + 1
+
+
+def _residual(many: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of members of a hot column that are in different components, if they may link.
 
-    All columns that such a pair shares are split ones, so the count of hot columns is whole.
+    The first column that a linked pair shares stands early in both: behind it both sets have at least as many
+    shingles as the pair must share, but for itself.
     """
-    own = _labelled(many, labels)
-    split = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
-    own = salted_join(own, split.select("key"), ["key"], ["class"])
-    left = own.select("key", F.col("class").alias("a"), F.col("n").alias("m"), F.col("label").alias("from"))
-    right = own.select("key", F.col("class").alias("b"), "n", F.col("label").alias("to"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("from") != F.col("to")) & _sizes_fit("m", "n"))
-    counted = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
-    return _within_reach(counted, few.groupBy("class").agg(F.count("*").alias("other")))
+    own = materialize(_labelled(many, labels), "labelled")
+    own = salted_join(own, _splits(own).select("key", "top"), ["key"], ["class"])
+
+    def side(rows: DataFrame, name: str, size: str, *more: str) -> DataFrame:
+        words = [F.col(w).alias(f"{name}_{w}") for w in _WORDS]
+        return rows.select("key", F.col("class").alias(name), F.col("n").alias(size), F.col("place").alias(f"{name}_place"), F.col("label").alias(f"{name}_label"), *words, *more)
+
+    left = side(own.where("label <> top"), "a", "m")
+    right = side(own, "b", "n", "top")
+    early = (F.col("m") - F.col("a_place") >= _needed("m", "n")) & (F.col("n") - F.col("b_place") >= _needed("m", "n"))
+    apart = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("top")) | (F.col("a") < F.col("b")))
+    pairs = left.join(right, "key").where(apart & early & _may_link("m", "n", "a_", "b_"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _whole_sets(own: DataFrame, info: DataFrame, pairs: DataFrame, table_bits: int, id_type: str) -> DataFrame:
-    """(class, own) of the classes in ``pairs``: the whole sets, from one carrier document of each."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+def _whole_sets(own: DataFrame, info: DataFrame, classes: DataFrame, table_bits: int, id_type: str) -> DataFrame:
+    """(class, own) of the classes: the whole sets, from one carrier document of each."""
+    wanted = materialize(classes.distinct(), "wanted")
     carriers = salted_join(info, wanted, ["class"], ["doc_id"]).groupBy("class").agg(F.min("doc_id").alias("carrier"))
     table = own.sparkSession.sparkContext.broadcast(_table(wanted, "class", table_bits))
 
     def whole(ids, sets):
         hashes = np.array([class_hash(s) for s in sets], np.int64)
         keep = _in_table(hashes, table.value, table_bits)
-        rows = [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]
-        return pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array(hashes[keep]), pa.array(rows, pa.binary())], ["doc_id", "class", "own"])
+        kept = [s for s, k in zip(sets, keep, strict=True) if k]
+        words = np.array([sketch(s) for s in kept], np.int64).reshape(-1, SKETCH)
+        columns = [ids.filter(pa.array(keep)), pa.array(hashes[keep]), pa.array([s.tobytes() for s in kept], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *map(pa.array, words.T)], ["doc_id", "class", "own", *_WORDS])
 
-    found = _scan(own, f"doc_id {id_type}, class bigint, own binary", whole)
+    found = _scan(own, f"doc_id {id_type}, class bigint, own binary, " + ", ".join(f"{w} bigint" for w in _WORDS), whole)
     return materialize(
         found.join(carriers, (found["doc_id"].eqNullSafe(carriers["carrier"])) & (found["class"] == carriers["class"]))
-        .select(found["class"], "own").dropDuplicates(["class"]),
+        .select(found["class"], "own", *_WORDS).dropDuplicates(["class"]),
         "sets",
     )
 
 
 def _joined(
-    own: DataFrame, info: DataFrame, candidates: DataFrame, entries: DataFrame, few: DataFrame, many: DataFrame, table_bits: int,
-    id_type: str,
+    own: DataFrame, info: DataFrame, candidates: DataFrame, many: DataFrame, table_bits: int, id_type: str
 ) -> DataFrame:
-    pairs = materialize(candidates.unionAll(_counted(_leaders(many), entries)).distinct(), "pairs")
-    links = materialize(_verified(pairs, _whole_sets(own, info, pairs, table_bits, id_type)), "verified")
-    labels = connected_components(links)
-    pairs = materialize(_residual(many, few, labels), "pairs")
+    classes = candidates.select(F.explode(F.array("a", "b")).alias("class")).unionAll(many.select("class"))
+    sets = _whole_sets(own, info, classes, table_bits, id_type)
+    labels = connected_components(materialize(_verified(candidates, sets), "verified"))
+    many = materialize(many.join(sets.select("class", *_WORDS), "class"), "many")
+    labels = _leader_rounds(many, labels, sets)
+    pairs = materialize(_residual(many, labels), "pairs")
     if not pairs.isEmpty():
-        more = materialize(_verified(pairs, _whole_sets(own, info, pairs, table_bits, id_type)), "verified")
-        if not more.isEmpty():
-            labels = connected_components(links.unionAll(more))
+        links = materialize(_verified(pairs, sets), "verified")
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
     groups = salted_join(info, labels.select(F.col("node").alias("class"), "label"), ["class"], ["doc_id"], "left")
     groups = groups.withColumn("label", F.coalesce("label", "class"))
     by_class = groups.groupBy("class", "label").agg(F.min("doc_id").alias("class_id"))
