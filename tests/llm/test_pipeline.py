@@ -150,3 +150,21 @@ def test_copies_are_gone(spark, tmp_path):
     assert not {1, 11, 21, 31} & set(text) and {102, 103} <= set(text)
     third = corpus_pipeline.dedup_documents(spark, second, folder)
     assert {r.doc_id for r in third.collect()} == {0, 10, 20, 30, 100, 101, 102, 103}
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    rng = random.Random(12)
+    prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    other = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    rows = [(1, prose), (1, prose), (2, prose), (3, other), (3, other), (4, None), (4, None), (5, ""), (None, "no id here"), (None, None), (6, "x " * 60_000)]
+    folder = write(tmp_path, rows)
+    docs = pd.read_parquet(f"{folder}/documents.parquet").astype({"doc_id": "Int64", "n_chars": "Int64"})
+    # names that the stages use inside
+    docs = docs.assign(deduped="d", _dropped_lines=1, class_=2, again=3, first="f", of=4)
+    docs.to_parquet(f"{folder}/documents.parquet")
+    pd.DataFrame({"doc_id": [1], "quality": [1], "toxic": [0]}).to_parquet(f"{folder}/labels.parquet")
+    pd.DataFrame({"item_id": [1], "text": [None]}).astype({"text": "string"}).to_parquet(f"{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "round_trip").collect()
+    ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
+    assert ids == [(False, 0), (False, 0), (True, 1), (True, 3), (True, 4), (True, 5), (True, 6)]
+    assert all(r.round_trip for r in got)

@@ -49,6 +49,46 @@ def test_repeated_words(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def kept_texts(spark, rows, **options):
+    got = line_dedup.deduplicated(documents(spark, rows), added="out", **options)
+    return [r.text for r in got.orderBy("doc_id").select("out.text").collect()]
+
+
+def test_lines_that_are_no_duplicates_stay(spark):
+    # nothing but the leading tokens in common
+    fruit = [(i, f"the total value of {f}", "s") for i, f in enumerate(["apples", "pears", "plums", "figs", "dates"])]
+    # nothing but numbers
+    numbers = [(10 + i, f"{i} {i + 1} {7 * i} {i * i} {90 - i}", "s") for i in range(5)]
+    # the variable token alone is alike
+    mixed = [(20 + i, f"we had some of {i} {f}", "s") for i, f in enumerate(["red", "blue", "green", "black"])]
+    rows = fruit + numbers + mixed
+    assert kept_texts(spark, rows) == [t for _, t, _ in rows]
+
+
+def test_a_leaf_has_several_templates(spark):
+    one = [f"at noon the server {w} was up and well again" for w in ("alpha", "beta", "gamma")]
+    two = [f"at noon the server said {w} loud and very clear" for w in ("hi", "ho", "hu")]
+    rows = [(i, t, "s") for i, t in enumerate(one + two)] + [(10, "at noon the server left no word for us all", "s")]
+    assert kept_texts(spark, rows) == [one[0], "", "", two[0], "", "", rows[-1][1]]
+
+
+def test_exact_lines_of_numbers_are_duplicates(spark):
+    rows = [(i, "3 1 4 1 5\n" + f"own {i}", "s") for i in range(3)]
+    assert kept_texts(spark, rows) == [rows[0][1], "own 1", "own 2"]
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, "a line that is shared here\nfirst", "s"), (2, "a line that is shared here\nsecond", "s")]
+    rows += [(2, "PRECIOUS own words only here\nmore", "s"), (3, "x\na line that is shared here", "s")]
+    got = line_dedup.deduplicated(documents(spark, rows), added="out").select("text", "out.text").collect()
+    assert {r[0]: r[1] for r in got} == {rows[0][1]: rows[0][1], rows[1][1]: "second", rows[2][1]: rows[2][1], rows[3][1]: "x"}
+
+
+def test_a_taken_name_is_refused(spark):
+    with pytest.raises(ValueError, match="deduped already"):
+        line_dedup.deduplicated(documents(spark, ODD))
+
+
 def test_line_dedup_odd_rows(spark):
     docs = documents(spark, ODD)
     got = line_dedup.deduplicated(docs, added="out")
@@ -56,7 +96,7 @@ def test_line_dedup_odd_rows(spark):
     rows = got.select("doc_id", "text", F.col("out").alias("d")).collect()
     assert sorted((r.doc_id or 0, r.d["n_lines"], r.d["n_dropped"]) for r in rows) == [(0, 1, 0), (1, 0, 0), (1, 1, 0), (2, 3, 0), (3, 1, 0), (3, 1, 0)]
     assert all(r.d["text"] == r.text for r in rows)
-    assert line_dedup.deduplicated(documents(spark, ODD).limit(0)).count() == 0
+    assert line_dedup.deduplicated(documents(spark, ODD).limit(0), added="out").count() == 0
 
 
 def test_line_dedup_templates(spark):

@@ -34,3 +34,10 @@ def salted_join(
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
     side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return rows.join(side, [*on, "_salt"], how).drop("_salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

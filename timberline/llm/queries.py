@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import bpe, chat, decontam, importance, jaccard, licenses, line_dedup, merkle, neighbours, pii, quality, secrets, toxicity
+from timberline.llm.common import free_name
 from timberline.session import configure
 
 
@@ -20,8 +21,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = line_dedup.deduplicated(_table(spark, folder, "documents"))
-    return out.select("doc_id", "deduped.text", "deduped.n_lines", "deduped.n_dropped", "deduped.depleted")
+    docs = _table(spark, folder, "documents")
+    name = free_name(docs, "deduped")
+    out = line_dedup.deduplicated(docs, added=name)
+    return out.select("doc_id", *[F.col(f"{name}.{c}") for c in ("text", "n_lines", "n_dropped", "depleted")])
 
 
 def op4_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,20 +284,30 @@ FROM (
 """
 
 _OP2 = r"""
-WITH
+WITH RECURSIVE
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+squeezed AS (SELECT doc_id, i, raw, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM raw),
+masked AS (SELECT *, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM squeezed),
 norm AS (
-  SELECT doc_id, i, raw, regexp_replace(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM raw),
+  SELECT doc_id, i, raw, CASE WHEN len(string_split(line, ' ')) - (length(line) - length(replace(line, '<*>', ''))) / 3 >= 3 THEN line ELSE plain END AS line
+  FROM masked),
 l AS (
   SELECT doc_id, i, line, len(string_split(line, ' ')) AS n, array_to_string(string_split(line, ' ')[1:4], ' ') AS lead
   FROM norm WHERE line <> '' AND len(string_split(line, ' ')) >= 5),
 k AS (SELECT line, n, lead, count(DISTINCT doc_id) AS docs, min(doc_id) AS carrier FROM l GROUP BY line, n, lead),
-lead AS (
-  SELECT n, lead, line AS leader FROM k QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, carrier, line) = 1),
-t AS (
-  SELECT line, CASE WHEN len(list_filter(list_zip(string_split(line, ' '), string_split(leader, ' ')), lambda x: x[1] = x[2])) >= n * 0.6
-         THEN leader ELSE line END AS template
-  FROM k JOIN lead USING (n, lead)),
+rounds AS (
+  SELECT *, NULL::VARCHAR AS template FROM k
+  UNION ALL
+  SELECT line, n, lead, docs, carrier,
+         CASE WHEN follows OR line = leader THEN leader WHEN NOT bool_or(follows) OVER (PARTITION BY n, lead) THEN line END
+  FROM (
+    SELECT *, line <> leader AND len(list_filter(pairs, lambda p: p[1] = p[2])) >= 0.6 * len(pairs) AS follows
+    FROM (
+      SELECT *, list_filter(list_zip(string_split(line, ' ')[5:], string_split(leader, ' ')[5:]), lambda p: p[1] <> '<*>' OR p[2] <> '<*>') AS pairs
+      FROM (
+        SELECT *, first_value(line) OVER (PARTITION BY n, lead ORDER BY docs DESC, carrier, line) AS leader
+        FROM rounds WHERE template IS NULL)))),
+t AS (SELECT line, template FROM rounds WHERE template IS NOT NULL),
 lt AS (SELECT doc_id, i, n, template FROM l JOIN t USING (line)),
 rec AS (
   SELECT template, min(doc_id) AS first FROM lt GROUP BY template, n
