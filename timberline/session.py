@@ -53,7 +53,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/timberline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, which nothing still to be run may read.
+
+    Shuffle files of plans that are no longer held go with a garbage collection of the driver.
+    """
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # A scan below this size is worth spreading over idle cores; larger ones have enough splits.
