@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import salted_join
-from timberline.session import materialize
+from timberline.session import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         jumped = salted_join(least, further, ["label"], ["node"]).select("node", F.least("label", "next").alias("label"))
         newer = materialize(jumped, "labels")
         moved = newer.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old"))
-        if moved.isEmpty():
-            return newer
+        done = moved.isEmpty()
+        discard(labels)
         labels = newer
+        if done:
+            discard(both)
+            return labels

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import salted_join
 from timberline.llm.components import connected_components
-from timberline.session import materialize
+from timberline.session import discard, materialize
 
 WORDS = 5
 TABLE_BITS = 26
@@ -247,6 +247,7 @@ def jaccard_components(
 
     tall = materialize(heights_of([]).where(F.col("docs") > cold), "tall")
     common = [_table(tall.where(F.col("docs") > least), "key", table_bits) for least in (cold, cold * VERY)]
+    discard(tall)
     shared = context.broadcast((common, _table(heights_of(common), "key", table_bits)))
 
     def described(ids, sets):
@@ -271,10 +272,12 @@ def jaccard_components(
         )
 
     described_rows = materialize(_scan(own, f"doc_id {id_type}, key bigint, class bigint, n bigint, place int", described), "described")
-    info = described_rows.where("key is null").select("doc_id", "class", "n")
+    info = materialize(described_rows.where("key is null").select("doc_id", "class", "n"), "info")
     incidence = materialize(described_rows.where("key is not null").select("key", "class", "n", "place").distinct(), "incidence")
     heights = incidence.groupBy("key").agg(F.count("*").alias("height")).where(F.col("height") > 1)
+    discard(described_rows)
     shared_entries = materialize(salted_join(incidence, heights, ["key"], ["class"], salts=4), "shared")
+    discard(incidence)
     few = shared_entries.where(F.col("height") <= cold)
     many = shared_entries.where(F.col("height") > cold)
     pairs = few.select("key", F.col("class").alias("a"), F.col("n").alias("m")).join(
@@ -282,7 +285,10 @@ def jaccard_components(
     ).where((F.col("a") < F.col("b")) & _sizes_fit("m", "n"))
     counted = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("common"))
     candidates = _within_reach(counted, many.groupBy("class").agg(F.count("*").alias("other")))
-    return _joined(own, info, materialize(candidates, "pairs"), many, table_bits, id_type)
+    candidates = materialize(candidates, "pairs")
+    many = materialize(many, "many")
+    discard(shared_entries)
+    return _joined(own, info, candidates, many, table_bits, id_type)
 
 
 def _reachable(common):
@@ -317,7 +323,9 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
     nodes = labels.unionByName(fresh.withColumn("label", F.col("node")))
     joined = salted_join(nodes, moved, ["label"], ["node"], "left")
-    return materialize(joined.select("node", F.coalesce("to", "label").alias("label")), "labels")
+    newer = materialize(joined.select("node", F.coalesce("to", "label").alias("label")), "labels")
+    discard(labels)
+    return newer
 
 
 def _splits(own: DataFrame) -> DataFrame:
@@ -327,33 +335,44 @@ def _splits(own: DataFrame) -> DataFrame:
     return tops.where(F.col("total") > F.col("top.n")).select("key", F.col("top.label").alias("top"), (F.col("total") - F.col("top.n")).alias("outside"))
 
 
+def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, m, n) whose sketches leave a link possible."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("class").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in _WORDS]), side)
+    return pairs.where(_may_link("m", "n", "a_", "b_")).select("a", "b")
+
+
 def _leader_rounds(many: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """The labels after rounds of comparing what is outside a column's largest component with members of it."""
     before, number = None, 0
     while True:
         own = materialize(_labelled(many, labels), "labelled")
-        splits = materialize(_splits(own), "splits")
+        splits = _splits(own)
         if before is not None:
             shrunk = F.col("outside") <= F.col("earlier") * SHRINK
             splits = splits.join(before.select("key", F.col("outside").alias("earlier")), "key").where(shrunk).drop("earlier")
+        splits = materialize(splits, "splits")
         members = salted_join(own, splits.select("key", "top"), ["key"], ["class"])
         order = F.xxhash64("class", F.lit(number))
         leaders = (
             members.where("label = top").groupBy("key", F.pmod(order, F.lit(LEADERS)).alias("lane"))
-            .agg(F.min(F.struct(order.alias("order"), "class", "n", *_WORDS)).alias("led"))
-            .select("key", F.col("led.class").alias("a"), F.col("led.n").alias("m"), *[F.col(f"led.{w}").alias(f"a_{w}") for w in _WORDS])
+            .agg(F.min(F.struct(order.alias("order"), "class", "n")).alias("led"))
+            .select("key", F.col("led.class").alias("a"), F.col("led.n").alias("m"))
         )
-        pairs = salted_join(members.where("label <> top"), leaders, ["key"], ["class"]).where(_may_link("m", "n", "a_", ""))
-        pairs = materialize(pairs.select("a", F.col("class").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            return labels
+        pairs = salted_join(members.where("label <> top"), leaders, ["key"], ["class"]).where(_sizes_fit("m", "n"))
+        pairs = materialize(_sketched(pairs.select("a", F.col("class").alias("b"), "m", "n").distinct(), sets), "pairs")
         links = materialize(_verified(pairs, sets), "verified")
-        if links.isEmpty():
+        found = not links.isEmpty()
+        if found:
+            labels = _relabelled(labels, links)
+        discard(own, pairs, links, *([] if before is None else [before]))
+        before, number = splits, number + 1
+        if not found:
+            discard(splits)
             return labels
-        labels, before, number = _relabelled(labels, links), splits, number + 1
 
 
-def _residual(many: DataFrame, labels: DataFrame) -> DataFrame:
+def _residual(many: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of members of a hot column that are in different components, if they may link.
 
     The first column that a linked pair shares stands early in both: behind it both sets have at least as many
@@ -361,6 +380,7 @@ def _residual(many: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = materialize(_labelled(many, labels), "labelled")
     own = salted_join(own, _splits(own).select("key", "top"), ["key"], ["class"])
+    own = own.join(sets.select("class", *_WORDS), "class")
 
     def side(rows: DataFrame, name: str, size: str, *more: str) -> DataFrame:
         words = [F.col(w).alias(f"{name}_{w}") for w in _WORDS]
@@ -401,14 +421,15 @@ def _joined(
 ) -> DataFrame:
     classes = candidates.select(F.explode(F.array("a", "b")).alias("class")).unionAll(many.select("class"))
     sets = _whole_sets(own, info, classes, table_bits, id_type)
-    labels = connected_components(materialize(_verified(candidates, sets), "verified"))
-    many = materialize(many.join(sets.select("class", *_WORDS), "class"), "many")
+    links = materialize(_verified(candidates, sets), "verified")
+    labels = connected_components(links)
+    discard(candidates, links)
     labels = _leader_rounds(many, labels, sets)
-    pairs = materialize(_residual(many, labels), "pairs")
-    if not pairs.isEmpty():
-        links = materialize(_verified(pairs, sets), "verified")
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
+    pairs = materialize(_residual(many, labels, sets), "pairs")
+    links = materialize(_verified(pairs, sets), "verified")
+    if not links.isEmpty():
+        labels = _relabelled(labels, links)
+    discard(pairs, links, many, sets)
     groups = salted_join(info, labels.select(F.col("node").alias("class"), "label"), ["class"], ["doc_id"], "left")
     groups = groups.withColumn("label", F.coalesce("label", "class"))
     by_class = groups.groupBy("class", "label").agg(F.min("doc_id").alias("class_id"))
