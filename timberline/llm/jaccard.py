@@ -37,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +150,8 @@ def _scan(docs: DataFrame, schema: str, make: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _blocks(batches):
             yield make(ids, shingle_sets(texts))
+        # the worker lives on, and others need the memory
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
@@ -235,26 +238,24 @@ def jaccard_components(
 
     context = docs.sparkSession.sparkContext
 
-    def heights_of(common: list[np.ndarray]) -> DataFrame:
+    def heights_of(common: Broadcast) -> DataFrame:
         """(key, docs) of the first columns that several documents have."""
-        tables = context.broadcast(common)
 
         def columns(ids, sets):
-            found = [_prefix(s, tables.value, table_bits) for s in sets]
+            found = [_prefix(s, common.value, table_bits) for s in sets]
             return pa.RecordBatch.from_arrays([_long(np.concatenate(found))], ["key"])
 
         return _scan(own, "key bigint", columns).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") > 1)
 
-    tall = materialize(heights_of([]).where(F.col("docs") > cold), "tall")
-    common = [_table(tall.where(F.col("docs") > least), "key", table_bits) for least in (cold, cold * VERY)]
+    tall = materialize(heights_of(context.broadcast([])).where(F.col("docs") > cold), "tall")
+    common = context.broadcast([_table(tall.where(F.col("docs") > least), "key", table_bits) for least in (cold, cold * VERY)])
     discard(tall)
-    shared = context.broadcast((common, _table(heights_of(common), "key", table_bits)))
+    shared = context.broadcast(_table(heights_of(common), "key", table_bits))
 
     def described(ids, sets):
         """A row without key for each document, and one without id for each entry of the product."""
-        common, table = shared.value
-        found = [_prefix(s, common, table_bits) for s in sets]
-        kept = [_in_table(x, table, table_bits) for x in found]
+        found = [_prefix(s, common.value, table_bits) for s in sets]
+        kept = [_in_table(x, shared.value, table_bits) for x in found]
         places = [np.flatnonzero(k) for k in kept]
         found = [x[k] for x, k in zip(found, kept, strict=True)]
         classes, lengths = np.array([class_hash(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
@@ -272,6 +273,9 @@ def jaccard_components(
         )
 
     described_rows = materialize(_scan(own, f"doc_id {id_type}, key bigint, class bigint, n bigint, place int", described), "described")
+    # tables that tasks have no more use for leave the executors
+    common.unpersist()
+    shared.unpersist()
     info = materialize(described_rows.where("key is null").select("doc_id", "class", "n"), "info")
     incidence = materialize(described_rows.where("key is not null").select("key", "class", "n", "place").distinct(), "incidence")
     heights = incidence.groupBy("key").agg(F.count("*").alias("height")).where(F.col("height") > 1)
@@ -409,11 +413,14 @@ def _whole_sets(own: DataFrame, info: DataFrame, classes: DataFrame, table_bits:
         return pa.RecordBatch.from_arrays([*columns, *map(pa.array, words.T)], ["doc_id", "class", "own", *_WORDS])
 
     found = _scan(own, f"doc_id {id_type}, class bigint, own binary, " + ", ".join(f"{w} bigint" for w in _WORDS), whole)
-    return materialize(
+    sets = materialize(
         found.join(carriers, (found["doc_id"].eqNullSafe(carriers["carrier"])) & (found["class"] == carriers["class"]))
         .select(found["class"], "own", *_WORDS).dropDuplicates(["class"]),
         "sets",
     )
+    table.unpersist()
+    discard(wanted)
+    return sets
 
 
 def _joined(
