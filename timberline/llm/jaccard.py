@@ -132,8 +132,8 @@ def class_hash(own: np.ndarray) -> int:
     return int(_mix(own ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U).astype(np.int64))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.Array, list]]:
-    """Ids and texts of about a million characters at a time, one text at least."""
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[pa.Array, list]]:
+    """Ids and texts of about 256,000 characters at a time, one text at least."""
     for batch in batches:
         at, size = 0, 0
         texts = batch.column(1)
