@@ -140,3 +140,16 @@ def test_empty_and_wrong_values(spark):
         ck.pack_chunks(none, 5, 6)
     with pytest.raises(ValueError, match="negative"):
         ck.anchored_chunks(none, -1)
+
+
+def test_texts_read_the_entries_twice_at_most(spark):
+    rows = spark.createDataFrame([("f", i, i, None, "INFO", f"m {i}") for i in range(1, 200)], "file string, line bigint, pos bigint, ts timestamp, level string, message string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    packed = ck.pack_chunks(ck.time_chunks(rows.mapInArrow(counted, rows.schema), "1h"), 20, 100)
+    assert ck.pack_texts(packed).count() == 4 and read.value <= 2 * 199

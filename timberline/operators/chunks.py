@@ -5,6 +5,8 @@ Files are worked on in blocks of ``BLOCK`` positions: what a block must know of
 began, how many lines a chunk has, the last known time) is carried over from one small row per block. A file that is one long
 run of errors is many blocks, hence many tasks.
 
+What is read several times is written once, with all columns of the entries: select those you need before.
+
 Defined cases: chunks are numbered from 1 in each file; null levels anchor nothing; an empty table gives an empty
 result. Entries need ``file`` and ``line`` (``pos`` is used if there).
 """
@@ -101,6 +103,7 @@ def time_chunks(entries: DataFrame, window: str | timedelta) -> DataFrame:
     columns = entries.columns
     placed = with_positions(entries)
     placed = placed.withColumn("_block", _block()).withColumn("_idx", F.when(F.col("ts").isNotNull(), window_index(width)))
+    placed = materialize(placed, "placed")
     known = materialize(
         placed.groupBy("file", "_block").agg(
             F.max_by("_idx", F.when(F.col("_idx").isNotNull(), F.col("pos"))).alias("last"),
@@ -135,14 +138,14 @@ def pack_chunks(chunked: DataFrame, least: int, largest: int) -> DataFrame:
     if least < 0 or piece < 1:
         raise ValueError("the largest size must exceed the least by at least 2")
     target = largest - piece
-    keyed = chunked.withColumn("_block", _block())
+    nth = F.row_number().over(Window.partitionBy("file", "chunk_id", "_block").orderBy("pos")) - 1
+    keyed = materialize(chunked.withColumn("_block", _block()).withColumn("_nth", nth), "chunked")
     counts = materialize(keyed.groupBy("file", "chunk_id", "_block").agg(F.count("*").alias("n")), "chunk-blocks")
     sizes = counts.groupBy("file", "chunk_id").agg(F.sum("n").alias("n"))
     before = sizes.select("file", "chunk_id", F.coalesce(F.sum("n").over(_earlier(["file"], "chunk_id")), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("n").over(_earlier(["file", "chunk_id"], "_block")), F.lit(0))
     offsets = counts.select("file", "chunk_id", "_block", inside.alias("_inside")).join(before, ["file", "chunk_id"])
-    nth = F.row_number().over(Window.partitionBy("file", "chunk_id", "_block").orderBy("pos")) - 1
-    placed = keyed.withColumn("_nth", nth).join(offsets, ["file", "chunk_id", "_block"])
+    placed = keyed.join(offsets, ["file", "chunk_id", "_block"])
     of_chunk = F.col("_inside") + F.col("_nth")
     begins = F.col("_before") + of_chunk - F.pmod(of_chunk, F.lit(piece))
     return placed.withColumn("pack_id", F.floor(begins / target) + 1).select(*chunked.columns, "pack_id")
@@ -162,6 +165,7 @@ def pack_texts(packed: DataFrame) -> DataFrame:
     A heading with lines, times and levels is followed by the distinct messages in order of their first
     entry, with how often they occur. A pack's size is bounded, so its messages fit one row.
     """
+    packed = materialize(packed.select("file", "line", "pos", "ts", "level", "message", "pack_id"), "packed")
     table = chunk_table(packed, "pack_id")
     messages = packed.groupBy("file", "pack_id", "message").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "message", "n")))

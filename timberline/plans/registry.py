@@ -609,18 +609,19 @@ def chunk_sliding(spark, folder):
 
 
 def chunk_hours(spark, folder):
-    return ck.time_chunks(event_logs(spark, folder), "1h").select("file", "line", "chunk_id")
+    return ck.time_chunks(event_logs(spark, folder).select("file", "line", "ts"), "1h").select("file", "line", "chunk_id")
 
 
 def chunk_packs(spark, folder):
     """Chunks around fatal errors, packed to 25 to 60 lines."""
-    around = ck.anchored_chunks(event_logs(spark, folder), 4, 2, F.col("level") == "FATAL")
+    around = ck.anchored_chunks(event_logs(spark, folder).select("file", "line", "level"), 4, 2, F.col("level") == "FATAL")
     return ck.pack_chunks(around, 25, 60).select("file", "line", "chunk_id", "pack_id")
 
 
 def chunk_texts(spark, folder):
     """Hours of each file, packed to 20 to 100 lines, as texts."""
-    packed = ck.pack_chunks(ck.time_chunks(event_logs(spark, folder), "1h"), 20, 100)
+    entries = event_logs(spark, folder).select("file", "line", "ts", "level", "message")
+    packed = ck.pack_chunks(ck.time_chunks(entries, "1h"), 20, 100)
     return flat(ck.pack_texts(packed).select("file", "pack_id", "first_line", "last_line", "n_lines", "n_fatal", "text", "tokens"))
 
 
