@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from drain_reference import mine
 from pyspark.sql import functions as F
 
 from timberline.functions import tokens as tk
+from timberline.operators import fold
 from timberline.operators import templates as tp
 
 
@@ -169,3 +171,16 @@ def test_no_row_holds_a_leaf(spark):
     plan = tp._check(keys, templates, (), 0.5)._jdf.queryExecution().executedPlan().toString()
     # pairs of blocks are dealt, not leaves
     assert re.search(r"hashpartitioning\(leaf#\d+, block#\d+L, part#\d+L", plan)
+
+
+def test_equal_messages_are_folded_once():
+    rng = random.Random(5)
+    words = [[rng.choice("abc") for _ in range(5)] for _ in range(40)]
+    order = np.array([rng.randrange(40) for _ in range(3_000)])
+    one, many, added = fold.Leaf(0.7), fold.Leaf(0.7), []
+    want = [one.add(words[i], 0) for i in order.tolist()]
+    add = many.add
+    many.add = lambda *a: added.append(1) or add(*a)
+    places, founded = many.add_all(words, order)
+    assert places.tolist() == want and many.patterns() == one.patterns()
+    assert founded == [want.index(t) for t in range(one.count)] and len(added) < 600

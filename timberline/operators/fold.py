@@ -18,7 +18,7 @@ PRODUCT = 1 << 19
 class Leaf:
     """Templates of one leaf while its keys are folded in; tokens as small integers."""
 
-    WILD, VARIABLE = -1, -2
+    WILD, VARIABLE, OTHER = -1, -2, -3
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -28,6 +28,8 @@ class Leaf:
         self.born: list[int] = []
         self.init: list[list[str]] = []
         self.wild: list[np.ndarray] = []
+        # how often a template got wildcards after it was founded
+        self.merges = 0
 
     @classmethod
     def restored(cls, threshold: float, patterns: list[str]) -> Leaf:
@@ -61,8 +63,10 @@ class Leaf:
         if len(near):
             at = near[0]
             differs = (known[at] != self.WILD) & (known[at] != coded)
-            known[at][differs] = self.WILD
-            self.wild[at][differs] = seq
+            if differs.any():
+                known[at][differs] = self.WILD
+                self.wild[at][differs] = seq
+                self.merges += 1
             return int(at)
         if self.count == len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.empty_like(self.tokens)])
@@ -74,6 +78,25 @@ class Leaf:
         self.wild.append(np.where(masked == self.WILD, seq, NEVER))
         return self.count - 1
 
+    def add_all(self, words: list[list[str]], order: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Add ``words[i]`` for every i in ``order``: the places of their templates, and where in ``order`` one was founded.
+
+        As long as no template gets wildcards, equal messages go where the last one went and change nothing.
+        """
+        places, founded, known, merges = [], [], {}, self.merges
+        for nth, i in enumerate(order.tolist()):
+            at = known.get(i)
+            if at is None:
+                before = self.count
+                at = self.add(words[i], 0)
+                if self.count > before:
+                    founded.append(nth)
+                if self.merges > merges:
+                    known, merges = {}, self.merges
+                known[i] = at
+            places.append(at)
+        return np.array(places, dtype=np.int64), founded
+
     def rows(self, values: tuple) -> Iterator[tuple]:
         for i in range(self.count):
             yield (*values, i, self.born[i], self.init[i], self.wild[i].tolist())
@@ -128,14 +151,16 @@ class Templates:
     def coded(self, words: list[str]) -> list[int]:
         return [self.ids.setdefault(w, len(self.ids)) for w in words]
 
-    def check(self, keys: list[str], first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, bool, int]]:
-        """For every key that is near a template: its place, the first near one at its first line (or -1), whether
-        that covers it, and when one before it came near up to its last line (or NEVER)."""
+    def check(self, keys: list[str], first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For the keys that are near a template: their places, the first near one at their first line (or -1), whether
+        that covers them, and when one before it came near up to their last line (or NEVER)."""
         if not self.idx:
             return
         idx, born = np.array(self.idx), np.array(self.born, dtype=np.int64)
         init, wild = np.array(self.init, dtype=np.int64), np.array(self.wild, dtype=np.int64)
-        codes = np.array([self.coded(k.split(" ")) for k in keys], dtype=np.int64)
+        # a token that no template has is like no other
+        place = self.ids.get
+        codes = np.array([[place(w, Leaf.OTHER) for w in column] for column in zip(*(k.split(" ") for k in keys), strict=True)], dtype=np.int64).T
         width = init.shape[1]
         step = max(1, PRODUCT // len(idx))
         for at in range(0, len(keys), step):
@@ -153,7 +178,8 @@ class Templates:
             found = near.any(axis=1)
             chosen = np.where(found, near.argmax(axis=1), len(idx))
             before = soon & (np.arange(len(idx)) < chosen[:, None])
-            for i in np.flatnonzero(found | before.any(axis=1)).tolist():
+            moments = np.full(len(part), NEVER, dtype=np.int64)
+            for i in np.flatnonzero(before.any(axis=1)).tolist():
                 moment = NEVER
                 for t in np.flatnonzero(before[i]).tolist():
                     matched = (init[t] == part[i]) | (part[i] == Leaf.WILD)
@@ -161,42 +187,46 @@ class Templates:
                     # as many matches as are needed, counted as above
                     enough = np.flatnonzero(np.arange(1, width + 1) / width >= self.threshold)[0]
                     moment = min(moment, max(int(times[enough]), self.born[t]))
-                yield (
-                    at + i, int(idx[chosen[i]]) if found[i] else -1, bool(found[i]) and int(fit[i, chosen[i]]) == width, moment
-                )
+                moments[i] = moment
+            said = np.flatnonzero(found | (moments < NEVER))
+            # (the last template stands in for none)
+            at_most = np.minimum(chosen, len(idx) - 1)
+            covers = found & (fit[np.arange(len(part)), at_most] == width)
+            if len(said):
+                yield at + said, np.where(found, idx[at_most], -1)[said], covers[said], moments[said]
 
 
 def checker(group: tuple[str, ...], threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A ``mapInPandas`` function over blocks of templates, each followed by a block of keys of their leaf."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, block, waiting, done = None, Templates(threshold), [], []
+    names = [*group, "key", "first_seq", "part", "idx", "covers", "moment"]
 
-        def checked() -> None:
-            if waiting:
-                keys, first, last = zip(*waiting, strict=True)
-                for i, *found in block.check(keys, np.array(first), np.array(last)):
-                    done.append((*current[:-2], keys[i], first[i], current[-1], *found))
-                waiting.clear()
+    def runs(batch: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        """The rows of each block that the batch has, in order."""
+        at = [*group, "block", "part"]
+        codes = np.array([pd.factorize(batch[c], use_na_sentinel=False)[0] for c in at])
+        cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = batch.iloc[a:b]
+            yield tuple(None if pd.isna(rows[c].iat[0]) else rows[c].iat[0] for c in at), rows
 
-        names = [*group, "key", "first_seq", "part", "idx", "covers", "moment"]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, block = None, Templates(threshold)
         for batch in batches:
-            blocks = zip(*[batch[c].tolist() for c in (*group, "block", "part")], strict=True)
-            columns = (batch[c] for c in ("key", "first_seq", "last_seq", "idx", "born", "init", "wild"))
-            for own, key, first, last, idx, born, init, wild in zip(blocks, *columns, strict=True):
+            if batch.empty:
+                continue
+            for own, rows in runs(batch):
                 if own != current:
-                    checked()
                     current, block = own, Templates(threshold)
-                if key is None:
+                of_templates = rows["key"].isna()
+                for idx, born, init, wild in rows.loc[of_templates, ["idx", "born", "init", "wild"]].itertuples(index=False):
                     block.add(int(idx), int(born), list(init), list(wild))
-                else:
-                    waiting.append((key, int(first), int(last)))
-                    if len(waiting) == ROWS_PER_BATCH:
-                        checked()
-            if len(done) > ROWS_PER_BATCH:
-                yield pd.DataFrame(done, columns=names)
-                done = []
-        checked()
-        yield pd.DataFrame(done, columns=names)
+                rows = rows[~of_templates]
+                if rows.empty:
+                    continue
+                keys, first, last = rows["key"].to_numpy(), rows["first_seq"].to_numpy(np.int64), rows["last_seq"].to_numpy(np.int64)
+                for at, idx, covers, moment in block.check(keys.tolist(), first, last):
+                    said = {"key": keys[at], "first_seq": first[at], "part": own[-1], "idx": idx, "covers": covers, "moment": moment}
+                    yield pd.DataFrame({**{c: [v] * len(at) for c, v in zip(group, own[:-2], strict=True)}, **said}, columns=names)
 
     return run

@@ -350,6 +350,8 @@ def mine_templates(
         tk.message_key(F.col("message"), mask_placeholders).alias("key"),
         *sums,
     )
+    # parsed and masked once: counting, recounts, examples and assignments read these narrow rows
+    rows = materialize(rows, "rows")
     counted = materialize(_count_keys(rows, [*by, "key"], sums), "message-keys")
     # messages without tokens have no template
     keys = _route(counted.where("key <> ''").drop(*sums), by, depth, max_children)

@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,8 @@ from timberline.operators.stats import level_count_map, share
 from timberline.operators.templates import DEPTH, THRESHOLD
 from timberline.operators.windows import alignment, is_window_error, window_micros
 
-_STATE = "patterns array<string>, counts array<bigint>, firsts array<bigint>, times array<bigint>, messages array<string>, keys array<string>"
+# the lines that wait for the watermark are one Arrow table
+_STATE = "patterns array<string>, counts array<bigint>, firsts array<bigint>, waiting binary"
 _CHANGED = "leaf string, idx int, pattern string, count bigint, first_ts timestamp"
 
 cloudpickle.register_pickle_by_value(fold)
@@ -59,31 +63,40 @@ def leaf_of(key: Column, depth: int = DEPTH) -> Column:
 
 
 def _miner(threshold: float):
+    schema = pa.schema([("micros", pa.int64()), ("message", pa.large_string()), ("key", pa.large_string())])
+
+    def packed(lines: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(lines)
+        return sink.getvalue().to_pybytes()
+
     def mine(leaf: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         watermark = state.getCurrentWatermarkMs()
-        patterns, counts, firsts, *held = [list(x) for x in state.get] if state.exists else [[] for _ in range(6)]
-        waiting = list(zip(*held, strict=True))
+        patterns, counts, firsts, held = state.get if state.exists else ([], [], [], b"")
+        counts, firsts = list(counts), list(firsts)
+        lines = [pa.ipc.open_stream(held).read_all()] if held else [schema.empty_table()]
         for part in rows:
-            fresh = zip(part["micros"].tolist(), part["message"], part["key"], strict=True)
-            waiting.extend(row for row in fresh if row[0] >= watermark * 1000)
+            fresh = pa.Table.from_pandas(part[schema.names], schema, preserve_index=False)
+            lines.append(fresh.filter(pc.greater_equal(fresh["micros"], watermark * 1000)))
+        lines = pa.concat_tables(lines)
+        over = pc.less(lines["micros"], watermark * 1000)
         # nothing earlier than the watermark can come any more, so these are in their final order
-        ready = sorted(row for row in waiting if row[0] < watermark * 1000)
-        waiting = [row for row in waiting if row[0] >= watermark * 1000]
-        templates = fold.Leaf.restored(threshold, patterns)
-        changed = set()
-        for micros, _, key in ready:
-            at = templates.add(key.split(" "), 0)
-            if at == len(counts):
-                counts.append(0)
-                firsts.append(micros)
-            counts[at] += 1
-            changed.add(at)
+        ready, waiting = lines.filter(over).sort_by([("micros", "ascending"), ("message", "ascending"), ("key", "ascending")]), lines.filter(pc.invert(over))
+        templates = fold.Leaf.restored(threshold, list(patterns))
+        keys = ready["key"].combine_chunks().dictionary_encode()
+        words = [k.split(" ") for k in keys.dictionary.to_pylist()]
+        places, first = templates.add_all(words, keys.indices.to_numpy(zero_copy_only=False))
+        times = ready["micros"].to_numpy()
+        firsts.extend(times[first].tolist())
+        counts.extend([0] * len(first))
+        more = np.bincount(places, minlength=len(counts))
+        counts = [n + m for n, m in zip(counts, more.tolist(), strict=True)]
         patterns = templates.patterns()
-        held = [list(x) for x in zip(*waiting, strict=True)] or [[], [], []]
-        state.update((patterns, counts, firsts, *held))
-        if waiting:
-            state.setTimeoutTimestamp(max(watermark + 1, min(held[0]) // 1000))
-        done = sorted(changed)
+        state.update((patterns, counts, firsts, packed(waiting)))
+        if waiting.num_rows:
+            state.setTimeoutTimestamp(max(watermark + 1, pc.min(waiting["micros"]).as_py() // 1000))
+        done = np.flatnonzero(more).tolist()
         if done:
             yield pd.DataFrame(
                 {
