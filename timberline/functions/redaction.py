@@ -102,6 +102,10 @@ CATALOGUE = {
 DEFAULT_NAMES = ("ipv4", "ipv6", "email", "api_key", "aws_key", "jwt", "private_key")
 
 
+# Stands for a match where a text is cut.
+_CUT = "\x00"
+
+
 def select_patterns(names: Sequence[str] | None = None) -> list[Pattern]:
     """Patterns by name, in the given order; unknown names are ignored, none = the defaults."""
     chosen = [CATALOGUE[n] for n in names or () if n in CATALOGUE]
@@ -129,6 +133,15 @@ def find_all(text: Column, pattern: Pattern) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _between(text: Column, regex: str) -> Column:
+    """What stands before, between and behind the matches.
+
+    ``split`` compiles its expression for every text, ``regexp_replace`` once; a text with the mark itself is rare.
+    """
+    marked = F.split(F.regexp_replace(text, regex, _CUT), _CUT, -1)
+    return F.when(text.contains(_CUT), F.split(text, regex, -1)).otherwise(marked)
+
+
 def redact_and_count(
     text: Column,
     names: Sequence[str] | None = None,
@@ -148,7 +161,7 @@ def redact_and_count(
                 marks = F.transform(
                     found, lambda v: placeholder(v, pattern.type, hash_len, normalize)
                 )
-                around = F.split(state["text"], pattern.regex, -1)
+                around = _between(state["text"], pattern.regex)
                 pieces = F.zip_with(
                     around, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)
                 )

@@ -17,7 +17,7 @@ from timberline.functions.text import estimate_tokens, truncate
 from timberline.operators import templates as tp
 from timberline.operators.redact import redact_entries, redacted_type_counts, redacted_values
 from timberline.operators.toplists import leading
-from timberline.session import materialize
+from timberline.session import discard, materialize
 from timberline.sources.text import with_sequence
 
 # Fixed values of the budget and the document.
@@ -57,9 +57,9 @@ def first_match(keys: DataFrame, templates: DataFrame, group: Sequence[str]) ->
         word = F.get(words, F.lit(i))
         heads = F.when(word.isNull(), heads).otherwise(_extended(heads, word))
     key_tail = F.slice(words, F.lit(_HEAD + 1), F.greatest(F.size(words) - _HEAD, F.lit(0)))
+    # few heads meet a shape, so the other tokens are cut behind the join
     probes = keys.select(
-        *group, "key", F.size(words).alias("_len"), key_tail.alias("_tail"),
-        F.explode(F.array_distinct(heads)).alias("_head"),
+        *group, "key", F.size(words).alias("_len"), F.explode(F.array_distinct(heads)).alias("_head")
     )
     masked_tail = F.array_join(
         F.transform(
@@ -76,6 +76,7 @@ def first_match(keys: DataFrame, templates: DataFrame, group: Sequence[str]) ->
     )
     return (
         probes.join(shapes, [*group, "_len", "_head"])
+        .select(*group, "key", "_head", "_mask", key_tail.alias("_tail"))
         .select(*group, "key", pattern.alias("pattern"))
         .join(shaped, [*group, "pattern"])
         .groupBy(*group, "key")
@@ -356,7 +357,7 @@ def compress_logs(
     lines = sequenced.select(*named, "seq", *columns)
     if not by:
         lines = lines.withColumn(_ALL, F.lit(1))
-    # parsed and redacted once: counting, recounts and examples read these narrow rows
+    # parsed and redacted once; mining keeps rows of its own
     narrow = [c for c in ("message", "level", "ts") if c in columns]
     redacted = materialize(
         redact_entries(lines, patterns, redaction, hash_len=hash_len).select(
@@ -367,6 +368,7 @@ def compress_logs(
     mined = tp.mine_templates(
         redacted, group, depth, threshold, max_children, mask_placeholders, sums=["redacted_count"]
     )
+    discard(redacted)
     summaries = materialize(summarize_templates(mined, group, compat), "summaries")
 
     per_key = mined.counted.select(*group, "n", "first_ts", "last_ts", "redacted_count")
