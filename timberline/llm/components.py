@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import salted_join
+from timberline.llm.common import dealt_join
 from timberline.session import discard, materialize
 
 
@@ -19,14 +19,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     both = materialize(both.unionAll(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     labels = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
-        passed = salted_join(both, labels, ["node"], ["other"]).select(F.col("other").alias("node"), "label")
-        least = passed.unionAll(labels).groupBy("node").agg(F.min("label").alias("label"))
+        passed = dealt_join(both, labels, ["node"], ["other"]).select(F.col("other").alias("node"), "label")
+        least = materialize(passed.unionAll(labels).groupBy("node").agg(F.min("label").alias("label")), "least")
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = salted_join(least, further, ["label"], ["node"]).select("node", F.least("label", "next").alias("label"))
+        jumped = dealt_join(least, further, ["label"], ["node"]).select("node", F.least("label", "next").alias("label"))
         newer = materialize(jumped, "labels")
         moved = newer.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old"))
         done = moved.isEmpty()
-        discard(labels)
+        discard(labels, least)
         labels = newer
         if done:
             discard(both)

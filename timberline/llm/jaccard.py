@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import salted_join
+from timberline.llm.common import dealt_join, salted_join
 from timberline.llm.components import connected_components
 from timberline.session import discard, materialize
 
@@ -325,10 +325,10 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = ends.select(*[F.coalesce(f"label_{side}", side).alias(side) for side in ("a", "b")]).where("a <> b").distinct()
     moved = connected_components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
     fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-    nodes = labels.unionByName(fresh.withColumn("label", F.col("node")))
-    joined = salted_join(nodes, moved, ["label"], ["node"], "left")
+    nodes = materialize(labels.unionByName(fresh.withColumn("label", F.col("node"))), "nodes")
+    joined = dealt_join(nodes, moved, ["label"], ["node"], "left")
     newer = materialize(joined.select("node", F.coalesce("to", "label").alias("label")), "labels")
-    discard(labels)
+    discard(labels, nodes)
     return newer
 
 
