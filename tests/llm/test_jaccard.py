@@ -104,3 +104,12 @@ def test_a_large_group_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     got = jaccard.jaccard_components(docs, cold=3)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+
+
+def test_rows_of_busy_keys_are_joined_in_parts(spark):
+    from timberline.llm.common import dealt_join
+
+    rows = spark.range(100).selectExpr("if(id < 50, 0, id) k", "id")
+    side = spark.range(100).selectExpr("id k", "id * 2 twice")
+    joined = dealt_join(rows, side, ["k"], ["id"], busy=40)
+    assert sorted(tuple(r) for r in joined.select("id", "twice").collect()) == [(i, 0 if i < 50 else 2 * i) for i in range(100)]
