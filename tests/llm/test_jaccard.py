@@ -113,3 +113,25 @@ def test_rows_of_busy_keys_are_joined_in_parts(spark):
     side = spark.range(100).selectExpr("id k", "id * 2 twice")
     joined = dealt_join(rows, side, ["k"], ["id"], busy=40)
     assert sorted(tuple(r) for r in joined.select("id", "twice").collect()) == [(i, 0 if i < 50 else 2 * i) for i in range(100)]
+
+
+def test_members_whose_own_text_is_more_than_a_quarter_make_no_pairs(spark):
+    # long sets, of which sketches of everything say nothing: a passage and own text; two of them do link
+    rng = random.Random(10)
+    words = lambda mark, n: [f"{mark}{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words("p", 700)
+    texts = [passage + words(f"u{i}x", 500) for i in range(12)]
+    texts.append(texts[0][:1150] + words("v", 50))
+    found = jaccard.shingle_sets([" ".join(t) for t in texts])
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    common = sorted(set.intersection(*(set(s.tolist()) for s in found)))[:20]
+    many = [(signed(key), i, len(s), place) for i, s in enumerate(found) for place, key in enumerate(common)]
+    many = spark.createDataFrame(many, "key bigint, class bigint, n bigint, place int")
+    labels = spark.createDataFrame([], "node bigint, label bigint")
+    sets_ = spark.createDataFrame(
+        [(i, bytearray(s.tobytes()), *map(int, jaccard.sketch(s))) for i, s in enumerate(found)],
+        "class bigint, own binary, " + ", ".join(f"w{k} bigint" for k in range(jaccard.SKETCH)),
+    )
+    pairs = jaccard._residual(many, labels, sets_)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 12)]
+    assert [(r.a, r.b) for r in jaccard._verified(pairs, sets_).collect()] == [(0, 12)]

@@ -17,8 +17,10 @@ the incidence matrix with itself is never formed whole:
   which any two link with a fair chance is so joined by a few comparisons a member. A column stays as long as
   a round joins at least a fifth of its outside members.
 * Members that are still outside after that are paired with all members of other components, so that no link between
-  components is lost: where both stand early enough in the column, and where sketches of the sets, parities of
-  512 hash buckets, differ in no more bits than linked sets may differ in shingles.
+  components is lost. Only shingles that members of several components have count for such a link: a class in which
+  they are less than three quarters has none. Pairs are made once, in the first column that both are in, where both
+  stand early enough in it, and where sketches of these shingles, parities of 512 hash buckets, differ in no more bits
+  than those of linked sets may.
 * Pairs that are left are verified on the whole sets, which are read from the texts once.
 
 Components need no pair whose ends are joined already, so links within a component are not all
@@ -201,10 +203,14 @@ def _sizes_fit(a: str, b: str):
 _WORDS = [f"w{i}" for i in range(SKETCH)]
 
 
-def _may_link(m: str, n: str, left: str, right: str) -> Column:
-    """Whether the sizes fit and the sketches, whose words have these prefixes, differ in few enough bits."""
+def _may_link(m: str, n: str, left: str, right: str, sketched: Column | None = None) -> Column:
+    """Whether the sizes fit and the sketches, whose words have these prefixes, differ in few enough bits.
+
+    ``sketched`` is how many shingles the sketches of both are made of, if not of all.
+    """
     apart = reduce(Column.__add__, [F.bit_count(F.col(left + w).bitwiseXOR(F.col(right + w))) for w in _WORDS])
-    return _sizes_fit(m, n) & (apart <= F.col(m) + F.col(n) - 2 * _needed(m, n))
+    every = F.col(m) + F.col(n) if sketched is None else sketched
+    return _sizes_fit(m, n) & (apart <= every - 2 * _needed(m, n))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -376,26 +382,73 @@ def _leader_rounds(many: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
             return labels
 
 
-def _residual(many: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _foreign(own: DataFrame, sets: DataFrame, table_bits: int) -> DataFrame:
+    """(class, e, words) of the entries' classes that a link to another component is possible for.
+
+    What a class may share with other components are its ``e`` shingles that members of several components have;
+    the words sketch these. The other ones are in no such overlap, so a class of which they are more than a quarter goes.
+    """
+    labels = own.select("class", "label").distinct()
+    held = materialize(labels.join(sets.select("class", "own"), "class").select("class", "label", "own"), "held")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.frombuffer(x.as_buffer(), _U) for x in part.column(2)]
+                label = np.repeat(part.column(1).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(label), _long(np.concatenate(found))], ["label", "shingle"])
+
+    ends = held.mapInArrow(entries, "label bigint, shingle bigint").groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    table = own.sparkSession.sparkContext.broadcast(_table(ends.where("low <> high"), "shingle", table_bits))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(2)]
+            found = [x[_in_table(x, table.value, table_bits)] for x in whole]
+            keep = np.array([4 * len(x) >= 3 * len(y) for x, y in zip(found, whole, strict=True)], bool)
+            words = np.array([sketch(x) for x, k in zip(found, keep, strict=True) if k], np.int64).reshape(-1, SKETCH)
+            sizes = np.array([len(x) for x in found], np.int64)[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(sizes), *map(pa.array, words.T)], ["class", "e", *_WORDS])
+
+    left = materialize(held.mapInArrow(described, "class bigint, e bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)), "foreign")
+    table.unpersist()
+    discard(held)
+    return left
+
+
+def _residual(many: DataFrame, labels: DataFrame, sets: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
     """Pairs of members of a hot column that are in different components, if they may link.
 
     The first column that a linked pair shares stands early in both: behind it both sets have at least as many
-    shingles as the pair must share, but for itself.
+    shingles as the pair must share, but for itself. A pair is made in the first of the columns that both are in.
     """
-    own = materialize(_labelled(many, labels), "labelled")
-    own = salted_join(own, _splits(own).select("key", "top"), ["key"], ["class"])
-    own = own.join(sets.select("class", *_WORDS), "class")
+    every = materialize(_labelled(many, labels), "labelled")
+    split = materialize(salted_join(every, _splits(every).select("key"), ["key"], ["class"]), "split")
+    left = _foreign(split, sets, table_bits)
+    own = split.join(left, "class")
+    own = own_rows = materialize(salted_join(own, _splits(own).select("key", "top"), ["key"], ["class"]), "members")
+    keys = own.groupBy("class").agg(F.transform(F.array_sort(F.collect_set(F.struct("place", "key"))), lambda x: x["key"]).alias("keys"))
+    own = own.join(keys, "class")
 
     def side(rows: DataFrame, name: str, size: str, *more: str) -> DataFrame:
         words = [F.col(w).alias(f"{name}_{w}") for w in _WORDS]
-        return rows.select("key", F.col("class").alias(name), F.col("n").alias(size), F.col("place").alias(f"{name}_place"), F.col("label").alias(f"{name}_label"), *words, *more)
+        return rows.select(
+            "key", F.col("class").alias(name), F.col("n").alias(size),
+            *[F.col(c).alias(f"{name}_{c}") for c in ("place", "label", "e", "keys")], *words, *more
+        )
 
-    left = side(own.where("label <> top"), "a", "m")
-    right = side(own, "b", "n", "top")
+    first = side(own.where("label <> top"), "a", "m")
+    other = side(own, "b", "n", "top")
     early = (F.col("m") - F.col("a_place") >= _needed("m", "n")) & (F.col("n") - F.col("b_place") >= _needed("m", "n"))
     apart = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("top")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, "key").where(apart & early & _may_link("m", "n", "a_", "b_"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    before = F.slice("a_keys", F.lit(1), (F.array_position("a_keys", F.col("key")) - 1).cast("int"))
+    pairs = first.join(other, "key").where(
+        apart & early & _may_link("m", "n", "a_", "b_", F.col("a_e") + F.col("b_e")) & ~F.arrays_overlap(before, "b_keys")
+    )
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    discard(every, split, left, own_rows)
+    return pairs
 
 
 def _whole_sets(own: DataFrame, info: DataFrame, classes: DataFrame, table_bits: int, id_type: str) -> DataFrame:
@@ -432,7 +485,7 @@ def _joined(
     labels = connected_components(links)
     discard(candidates, links)
     labels = _leader_rounds(many, labels, sets)
-    pairs = materialize(_residual(many, labels, sets), "pairs")
+    pairs = _residual(many, labels, sets, table_bits)
     links = materialize(_verified(pairs, sets), "verified")
     if not links.isEmpty():
         labels = _relabelled(labels, links)
