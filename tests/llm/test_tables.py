@@ -181,3 +181,15 @@ def test_chat_long(spark):
     assert [s for s, _ in long] == list(range(100))
     assert [x.split("\n")[1].removesuffix("<|end|>") for _, t in long for x in t.split("<|begin|>")[1:]] == [f"2-{i}" for i in range(1000)]
     assert len(got) == 100 * 3 + 4 * 3
+
+
+def test_python_gets_whole_texts_in_small_batches(spark):
+    def sizes(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    docs = spark.range(5000, numPartitions=1).withColumn("text", F.lit("some text"))
+    got = [r.n for r in docs.mapInPandas(sizes, "n bigint").collect()]
+    assert sum(got) == 5000 and max(got) <= 1000
