@@ -1,10 +1,11 @@
 """Edge cases of the operators on small tables: nulls, empty texts, ties, repeated rows, clashing columns."""
 
 import random
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
-from timberline.llm import chat, decontam, line_dedup, quality, toxicity
+from timberline.llm import bpe, chat, decontam, line_dedup, quality, toxicity
 
 DOCS = "doc_id bigint, text string, source string, n_words bigint, line string, key string, deduped string, _salt int, hit int"
 
@@ -193,3 +194,17 @@ def test_python_gets_whole_texts_in_small_batches(spark):
     docs = spark.range(5000, numPartitions=1).withColumn("text", F.lit("some text"))
     got = [r.n for r in docs.mapInPandas(sizes, "n bigint").collect()]
     assert sum(got) == 5000 and max(got) <= 1000
+
+
+def test_other_operators_free_what_bpe_keeps_in_a_worker(spark):
+    tokens = [bytes([i]) for i in range(256)]
+    for other in (
+        lambda: list(toxicity._distinct(iter([]))),
+        lambda: list(toxicity._bigrams(spark.sparkContext.broadcast({}))(iter([]))),
+        lambda: list(toxicity._unigrams(spark.sparkContext.broadcast({}))(iter([]))),
+    ):
+        kept = weakref.ref(bpe._mine(bpe.Encoder, "own", tokens, r"\S+"))
+        # later tasks of the operator itself find it
+        assert kept() is not None and bpe._mine(bpe.Encoder, "own") is kept()
+        other()
+        assert kept() is None

@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.llm.common import kept_in_worker
+
 # Bounds of what a worker remembers; none of them changes a result.
 MAX_STATES = 1 << 18
 MAX_PAIRS = 1 << 19
@@ -302,14 +304,8 @@ class Decoder:
         return "".join(self.blocks(ids))
 
 
-# Encoders and decoders of this worker process, so that tasks find what earlier ones remembered.
-_IN_WORKER: dict = {}
-
-
 def _mine(kind: type, key: str, *args):
-    if (kind, key) not in _IN_WORKER:
-        _IN_WORKER[kind, key] = kind(*args)
-    return _IN_WORKER[kind, key]
+    return kept_in_worker((kind, key), lambda: kind(*args))
 
 
 def _key(tokens: list[bytes], pattern: str = "") -> str:

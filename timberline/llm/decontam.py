@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.llm.common import free_worker
+
 WINDOW = 10
 # Text of the items that one automaton holds; more items take more automata, one after the other.
 # An automaton needs about 400 times as many bytes in each Python worker at most.
@@ -107,6 +109,7 @@ def _scanner(spark: SparkSession, block: dict, last: bool):
 
     @F.pandas_udf(SCHEMA)
     def scanned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        free_worker()
         made = automaton(shared.value)
         for texts, ranges, items in batches:
             rows = []

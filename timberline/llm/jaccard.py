@@ -43,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import dealt_join, salted_join
+from timberline.llm.common import dealt_join, free_worker, salted_join
 from timberline.llm.components import connected_components
 from timberline.session import discard, materialize
 
@@ -150,6 +150,7 @@ def _scan(docs: DataFrame, schema: str, make: Callable) -> DataFrame:
     """Rows that ``make(ids, sets)`` gives for blocks of documents; it may be a generator's factory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for ids, texts in _blocks(batches):
             yield make(ids, shingle_sets(texts))
         # the worker lives on, and others need the memory

@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.common import free_worker
 from timberline.session import materialize
 
 MAX_LABELLED = 8000
@@ -115,6 +116,7 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, max_labelled:
 
 
 def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    free_worker()
     found: set[str] = set()
     for batch in batches:
         for text in batch["text"]:
@@ -134,6 +136,7 @@ def _slices(texts: pd.Series) -> Iterator[pd.Series]:
 
 def _bigrams(vocabulary):
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         get, size = vocabulary.value.get, len(vocabulary.value) + 1
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
@@ -146,6 +149,7 @@ def _bigrams(vocabulary):
 
 def _unigrams(vocabulary):
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         get, size = vocabulary.value.get, len(vocabulary.value) + 1
         total = np.zeros(size, np.int64)
         for batch in batches:
@@ -261,6 +265,7 @@ def differences(model: Model, text: Column, docs: DataFrame) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        free_worker()
         own = shared.value
         for texts in batches:
             found = np.concatenate([np.zeros((0, 2)), *(own.differences(part) for part in _slices(texts))])
