@@ -135,3 +135,50 @@ def test_members_whose_own_text_is_more_than_a_quarter_make_no_pairs(spark):
     pairs = jaccard._residual(many, labels, sets_)
     assert [(r.a, r.b) for r in pairs.collect()] == [(0, 12)]
     assert [(r.a, r.b) for r in jaccard._verified(pairs, sets_).collect()] == [(0, 12)]
+
+
+def test_a_passage_of_many_components_makes_one_row_a_shingle(spark):
+    # 40 components hold a passage; what is foreign is the passage, and two sets of one component share more than that
+    rng = random.Random(11)
+    number = lambda: rng.randrange(1, 1 << 64)
+    passage, twins = [number() for _ in range(90)], [number() for _ in range(10)]
+    found = [np.array(sorted(passage + (twins if i < 2 else [number() for _ in range(10)])), np.uint64) for i in range(40)]
+    found.append(np.array(sorted(passage + [number() for _ in range(31)]), np.uint64))
+    label = [0, 0, *range(2, 41)]
+    rows = jaccard._ends(found, label)
+    assert rows.num_rows == 90 + 10 + 38 * 10 + 31
+    holders = {}
+    for own, of in zip(found, label, strict=True):
+        for x in own.astype(np.int64).tolist():
+            holders.setdefault(x, set()).add(of)
+    got = {r["shingle"]: (r["low"], r["high"]) for r in rows.to_pylist()}
+    assert got == {x: (min(of), max(of)) for x, of in holders.items()}
+
+    own = spark.createDataFrame(
+        [(place, i, of, place) for i, of in enumerate(label) for place in range(i % 3, 3)], "key bigint, class bigint, label bigint, place int"
+    )
+    sets_ = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(found)], "class bigint, own binary")
+    left = {r["class"]: r for r in jaccard._foreign(own, sets_, 22).collect()}
+    # 90 of 121 are less than three quarters
+    assert set(left) == set(range(40)) and {r.e for r in left.values()} == {90}
+    words = [int(w) for w in jaccard.sketch(np.array(sorted(passage), np.uint64))]
+    assert all([r[f"w{k}"] for k in range(jaccard.SKETCH)] == words for r in left.values())
+
+
+def test_rounds_of_components_count_busy_links_once(spark, monkeypatch):
+    from timberline.llm import common, components
+
+    written = []
+
+    def counted(df, name="table"):
+        written.append(name)
+        return materialize(df, name)
+
+    materialize = common.materialize
+    monkeypatch.setattr(common, "materialize", counted)
+    monkeypatch.setattr(components, "materialize", counted)
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(160, 101), (7, 7)]
+    got = components.connected_components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3))
+    assert {r.node: r.label for r in got.collect()} == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 161)}
+    rounds = written.count("least")
+    assert rounds > 1 and written.count("busy") == rounds + 1

@@ -57,6 +57,8 @@ LEADERS = 4
 SHRINK = 0.8
 # words of a sketch
 SKETCH = 8
+# shingles of which a task makes distinct ones at a time
+TOGETHER = 1 << 19
 # pairs of one class that are verified in one task
 PAIRS_OF_ONE = 4096
 
@@ -383,24 +385,44 @@ def _leader_rounds(many: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
             return labels
 
 
+def _ends(sets: list[np.ndarray], labels: list[int]) -> pa.RecordBatch:
+    """(shingle, low, high): the distinct shingles of the sets, each with the smallest and the largest label of a set that has it."""
+    shingle, label = np.concatenate(sets), np.repeat(np.array(labels, np.int64), [len(x) for x in sets])
+    order = np.lexsort((label, shingle))
+    shingle, label = shingle[order], label[order]
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    last = np.append(new[1:], True)[: len(new)]
+    return pa.RecordBatch.from_arrays([_long(shingle[new]), pa.array(label[new]), pa.array(label[last])], ["shingle", "low", "high"])
+
+
 def _foreign(own: DataFrame, sets: DataFrame, table_bits: int) -> DataFrame:
     """(class, e, words) of the entries' classes that a link to another component is possible for.
 
     What a class may share with other components are its ``e`` shingles that members of several components have;
     the words sketch these. The other ones are in no such overlap, so a class of which they are more than a quarter goes.
+    Classes with the same first column lie together, so that a task has most of a passage's holders and makes one row of
+    each of its shingles.
     """
-    labels = own.select("class", "label").distinct()
-    held = materialize(labels.join(sets.select("class", "own"), "class").select("class", "label", "own"), "held")
+    labels = own.groupBy("class", "label").agg(F.min_by("key", "place").alias("near"))
+    held = labels.join(sets.select("class", "own"), "class").repartitionByRange("near", "class")
+    held = materialize(held.select("class", "label", "own"), "held")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, label, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [np.frombuffer(x.as_buffer(), _U) for x in part.column(2)]
-                label = np.repeat(part.column(1).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(label), _long(np.concatenate(found))], ["label", "shingle"])
+            for own_label, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found.append(np.frombuffer(x.as_buffer(), _U))
+                label.append(own_label)
+                size += len(found[-1])
+                if size >= TOGETHER:
+                    yield _ends(found, label)
+                    found, label, size = [], [], 0
+        if found:
+            yield _ends(found, label)
 
-    ends = held.mapInArrow(entries, "label bigint, shingle bigint").groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    ends = held.mapInArrow(entries, "shingle bigint, low bigint, high bigint")
+    ends = ends.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     table = own.sparkSession.sparkContext.broadcast(_table(ends.where("low <> high"), "shingle", table_bits))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
