@@ -235,7 +235,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     copied = sets.select(F.col("class").alias("a"), F.col("own").alias("x")).join(busy, "a", "left")
     copied = copied.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
     with_b = dealt.join(sets.select(F.col("class").alias("b"), F.col("own").alias("y")), "b")
-    return with_b.join(copied, ["a", "_part"]).select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    # the copies are more than Spark takes them for, so they don't go to every task
+    return with_b.join(copied.hint("merge"), ["a", "_part"]).select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(
