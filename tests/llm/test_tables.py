@@ -73,6 +73,41 @@ def test_a_leaf_has_several_templates(spark):
     assert kept_texts(spark, rows) == [one[0], "", "", two[0], "", "", rows[-1][1]]
 
 
+def test_templates_behind_a_lone_leader(spark):
+    lone = "at noon the server left no word for us all"
+    two = [f"at noon the server said {w} loud and very clear" for w in ("hi", "ho", "hu")]
+    rows = [(i, lone, "s") for i in range(2)] + [(10 + i, t, "s") for i, t in enumerate(two)]
+    assert kept_texts(spark, rows) == [lone, lone, two[0], "", ""]
+
+
+def test_templates_are_those_of_a_line_by_line_search(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = sorted({"at noon the server " + " ".join(rng.choice(["aa", "bb", "cc", "dd", "x1"]) for _ in range(5)) for _ in range(400)})
+    rows = [(i, "\n".join(rng.sample(lines, 3)), "s") for i in range(250)]
+    keys = {r.line: (-r.n, r.first) for r in spark.createDataFrame(rows, "doc_id bigint, text string, source string").select(
+        "doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", line_dedup.masked(F.col("line")))
+        .groupBy("line").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("first")).collect()}
+
+    def alike(a, b):
+        pairs = [(x, y) for x, y in zip(a.split(" ")[4:], b.split(" ")[4:], strict=True) if (x, y) != ("<*>", "<*>")]
+        return sum(x == y for x, y in pairs) >= 0.6 * len(pairs)
+
+    leaders, template = [], {}
+    for line in sorted(keys, key=lambda x: (*keys[x], x)):
+        template[line] = next((x for x in leaders if alike(line, x)), line)
+        if template[line] == line:
+            leaders.append(line)
+    docs = documents(spark, rows)
+    own = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", line_dedup.masked(F.col("line")))
+    # one round, and many
+    for block, most in ((2048, 2048), (2, 8)):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        monkeypatch.setattr(line_dedup, "BLOCKS_MOST", most)
+        got = line_dedup.line_templates(docs.select("doc_id", "text")).join(own, ["doc_id", "line_no"]).select("line", "template").distinct().collect()
+        hashes = {r.line: r.h for r in own.select("line", F.xxhash64("line").alias("h")).distinct().collect()}
+        assert len(leaders) > 20 and {r.line: r.template for r in got} == {x: hashes[t] for x, t in template.items() if x in hashes}
+
+
 def test_exact_lines_of_numbers_are_duplicates(spark):
     rows = [(i, "3 1 4 1 5\n" + f"own {i}", "s") for i in range(3)]
     assert kept_texts(spark, rows) == [rows[0][1], "own 1", "own 2"]
